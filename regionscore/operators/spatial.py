@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionscore.functions import geometry as G
 from regionscore.functions.projection import project_utm, with_utm
+from regionscore.operators.nearest import nearest
 from regionscore.operators.region_index import (
     RegionIndex,
     build_index,
@@ -157,16 +160,27 @@ def _touches(index: RegionIndex) -> Column:
 
 
 def intersect_pairs(
-    features: DataFrame, feature_id: str, index: RegionIndex, *, geom: str = "geom", region_id: str = "nuts_code"
+    features: DataFrame,
+    feature_id: str,
+    index: RegionIndex,
+    *,
+    geom: str = "geom",
+    region_id: str = "nuts_code",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Distinct ``(region, feature)`` pairs of features of any kind that meet a region.
 
     A feature meets a region when one of its edges touches the region; a polygon feature that
-    contains a whole region is not looked for (assets are smaller than regions).
+    contains a whole region is not looked for (assets are smaller than regions). ``keep``
+    columns of the feature travel along, so the features need not be joined again.
     """
-    pieces = segment_pieces(edge_rows(features, [feature_id], geom), index.cell)
+    pieces = segment_pieces(edge_rows(features, [feature_id, *keep], geom), index.cell)
     hits = pieces.join(index.unpacked(), ["cx", "cy"]).where(_touches(index))
-    return hits.select(F.col("region").alias(region_id), feature_id).distinct()
+    return (
+        hits.groupBy(F.col("region").alias(region_id), feature_id)
+        .agg(F.lit(True).alias("__met"), *[F.first(c).alias(c) for c in keep])
+        .drop("__met")
+    )
 
 
 def clip_lengths(
@@ -177,10 +191,11 @@ def clip_lengths(
     region_id: str = "nuts_code",
     geom: str = "geom",
     projected: str = "geom_m",
+    keep: Sequence[str] = (),
     index: RegionIndex | None = None,
     metric_index: RegionIndex | None = None,
 ) -> DataFrame:
-    """``(region, line, length_km)`` for every line that meets a region in degrees.
+    """``(region, line, *keep, length_km)`` for every line that meets a region in degrees.
 
     The length is measured in metres on the projected shapes, so a line that only touches a
     region appears with length zero, and a line along a shared border counts for both sides.
@@ -188,16 +203,16 @@ def clip_lengths(
     """
     index = index or build_index(regions, region_id, geom)
     metric_index = metric_index or build_index(regions, region_id, projected, metric=True)
-    segments = edge_rows(lines, [line_id], geom)
+    segments = edge_rows(lines, [line_id, *keep], geom)
 
     touching = (
         segment_pieces(segments, index.cell)
         .join(index.unpacked(), ["cx", "cy"])
         .where(_touches(index))
-        .select("region", line_id, F.lit(True).alias("meets"), F.lit(0.0).alias("metres"))
+        .select("region", line_id, *keep, F.lit(True).alias("meets"), F.lit(0.0).alias("metres"))
     )
     flat = with_utm(with_utm(segments, "ax", "ay", "px", "py"), "bx", "by", "qx", "qy").select(
-        line_id, F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("qx").alias("bx"), F.col("qy").alias("by")
+        line_id, *keep, F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("qx").alias("bx"), F.col("qy").alias("by")
     )
     ax, ay, bx, by = (F.col(f) for f in G.EDGE_FIELDS)
     t0, t1 = F.col("t0"), F.col("t1")
@@ -206,14 +221,16 @@ def clip_lengths(
         segment_pieces(flat, metric_index.cell)
         .where(t1 > t0)
         .join(metric_index.unpacked(), ["cx", "cy"])
-        .select("region", line_id, F.lit(False).alias("meets"), (F.hypot(bx - ax, by - ay) * share).alias("metres"))
+        .select(
+            "region", line_id, *keep, F.lit(False).alias("meets"), (F.hypot(bx - ax, by - ay) * share).alias("metres")
+        )
     )
     return (
         touching.unionByName(measured)
         .groupBy("region", line_id)
-        .agg(F.max("meets").alias("meets"), F.sum("metres").alias("metres"))
+        .agg(F.max("meets").alias("meets"), F.sum("metres").alias("metres"), *[F.first(c).alias(c) for c in keep])
         .where("meets")
-        .select(F.col("region").alias(region_id), line_id, (F.col("metres") / 1000.0).alias("length_km"))
+        .select(F.col("region").alias(region_id), line_id, *keep, (F.col("metres") / 1000.0).alias("length_km"))
     )
 
 
@@ -315,3 +332,38 @@ def read_box(
     if where is not None:
         out = out.where(where)
     return out.limit(limit) if limit is not None else out
+
+
+def nearest_feature(
+    origins: DataFrame,
+    features: DataFrame,
+    *,
+    origin_id: str,
+    feature_id: str,
+    geom: str = "geom",
+    x: str = "centroid_x",
+    y: str = "centroid_y",
+    cell: float | None = None,
+) -> DataFrame:
+    """Nearest feature of any kind; an origin inside a polygon feature is at distance zero."""
+    renamed = features.select(F.col(feature_id).alias("__feature"), F.col(geom).alias("__g"))
+    best = nearest(
+        origins, metre_segments(renamed, "__feature", "__g"), origin_id=origin_id, feature_id="__feature", x=x, y=y, cell=cell
+    )
+    areas = renamed.where(F.col("__g.type").isin("Polygon", "MultiPolygon"))
+    if not areas.limit(1).count():
+        return best.withColumnRenamed("__feature", feature_id)
+    projected = areas.select("__feature", project_utm(F.col("__g")).alias("__g"))
+    inside = assign_regions(
+        origins.select(origin_id, F.col(x).alias("__x"), F.col(y).alias("__y")),
+        point_id=origin_id,
+        region_id="__inside",
+        x="__x",
+        y="__y",
+        index=build_index(projected, "__feature", "__g", metric=True),
+    ).select(origin_id, "__inside")
+    return best.join(inside, origin_id, "left").select(
+        origin_id,
+        F.coalesce("__inside", "__feature").alias(feature_id),
+        F.when(F.col("__inside").isNotNull(), 0.0).otherwise(F.col("distance_m")).alias("distance_m"),
+    )
