@@ -108,29 +108,25 @@ def bounds(
     *,
     exact: bool = True,
 ) -> DataFrame:
-    """One row with ``<column>_low`` and ``<column>_high`` for every column.
+    """One row with ``<column>_low`` and ``<column>_high`` for every column, computed right away.
 
     Exact by default. The row count decides how: a table of measured small size uses the
     built-in percentile, a larger one the bucketed search. ``exact=False`` opts into the sketch.
+    The result is two numbers per column, so it may be kept and reused as a local table.
     """
     low, high = (float(f) for f in fractions)
-    if not exact:
-        pairs = {c: F.percentile_approx(F.col(c).cast("double"), [low, high], 10_000) for c in columns}
-    elif df.count() <= SMALL_ROWS:
-        pairs = {c: F.percentile(F.col(c).cast("double"), F.array(F.lit(low), F.lit(high))) for c in columns}
+    spark = df.sparkSession
+    names = [f"{c}_{end}" for c in columns for end in ("low", "high")]
+    schema = ", ".join(f"`{n}` double" for n in names)
+    if exact and df.count() > SMALL_ROWS:
+        found = {(r["metric"], r["fraction"]): r["value"] for r in exact_percentiles(df, columns, (low, high)).collect()}
+        values = [found.get((c, f)) for c in columns for f in (low, high)]
     else:
-        found = exact_percentiles(df, columns, (low, high))
-        return found.agg(
-            *[
-                F.max(F.when((F.col("metric") == c) & (F.col("fraction") == f), F.col("value"))).alias(f"{c}_{end}")
-                for c in columns
-                for f, end in ((low, "low"), (high, "high"))
-            ]
-        )
-    table = df.agg(*[p.alias(c) for c, p in pairs.items()])
-    return table.select(
-        *[F.col(c)[i].alias(f"{c}_{end}") for c in columns for i, end in enumerate(("low", "high"))]
-    )
+        wanted = F.array(F.lit(low), F.lit(high))
+        pick = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
+        row = df.agg(*[pick(F.col(c).cast("double"), wanted).alias(c) for c in columns]).first()
+        values = [None if row[c] is None else row[c][i] for c in columns for i in (0, 1)]
+    return spark.createDataFrame([tuple(values)], schema)
 
 
 def one_row(table: DataFrame) -> Column:

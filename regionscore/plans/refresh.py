@@ -38,7 +38,7 @@ class Inputs:
 
 @dataclass
 class Analytics:
-    """Everything a refresh derives; measurements are stored tables, scores are lazy."""
+    """Everything a refresh derives, as stored district tables."""
 
     inputs: Inputs
     districts: M.Districts
@@ -70,7 +70,7 @@ def validate_inputs(inputs: Inputs, config: RegionConfig = DEFAULT) -> DataFrame
 
 
 def analyse(inputs: Inputs, config: RegionConfig = DEFAULT, *, cell: float | None = None) -> Analytics:
-    """Measure once (stored), score on top (lazy)."""
+    """Measure once, score on top; both are stored because every later step reads them."""
     districts = M.prepare_districts(inputs.districts, config)
     result = Analytics(inputs, districts)
     t = result.tables
@@ -87,16 +87,23 @@ def analyse(inputs: Inputs, config: RegionConfig = DEFAULT, *, cell: float | Non
     t["grid_bounds"] = S.grid_bounds(t["grid_raw"])
     t["renewable_bounds"] = S.renewable_bounds(t["renewable_raw"])
     t["energy_bounds"] = S.energy_bounds(t["energy_raw"])
-    t["transport"] = S.transport_metrics(t["transport_raw"], t["transport_bounds"])
-    t["grid"] = S.grid_metrics(t["grid_raw"], t["grid_bounds"])
-    t["renewable"] = S.renewable_metrics(t["renewable_raw"], t["renewable_bounds"])
-    t["energy"] = E.local_energy_balance(t["energy_raw"], t["energy_bounds"], t["grid"])
-    t["opportunity"] = S.infrastructure_opportunity(t["district_metrics"], t["transport"], t["grid"], t["renewable"])
+    # District tables are read by several later steps; each is stored once instead of planned again.
+    t["transport"] = materialize(S.transport_metrics(t["transport_raw"], t["transport_bounds"]), "transport")
+    t["grid"] = materialize(S.grid_metrics(t["grid_raw"], t["grid_bounds"]), "grid")
+    t["renewable"] = materialize(S.renewable_metrics(t["renewable_raw"], t["renewable_bounds"]), "renewable")
+    t["energy"] = materialize(E.local_energy_balance(t["energy_raw"], t["energy_bounds"], t["grid"]), "energy")
+    t["opportunity"] = materialize(
+        S.infrastructure_opportunity(t["district_metrics"], t["transport"], t["grid"], t["renewable"]), "opportunity"
+    )
     t["ev_raw"] = S.ev_measures(t["district_metrics"])
     t["ev_bounds"] = S.ev_bounds(t["ev_raw"])
     t["ev_scored"] = S.ev_scores(t["ev_raw"], t["ev_bounds"], t["opportunity"])
-    t["baseline"] = S.ev_baseline(
-        t["ev_scored"], t["transport"], t["grid"], t["renewable"], t["energy"], t["opportunity"], inputs.snapshots, config
+    t["baseline"] = materialize(
+        S.ev_baseline(
+            t["ev_scored"], t["transport"], t["grid"], t["renewable"], t["energy"], t["opportunity"], inputs.snapshots,
+            config,
+        ),
+        "baseline",
     )
     t["score_model"] = score_model(
         districts.table.sparkSession,
@@ -112,7 +119,7 @@ def analyse(inputs: Inputs, config: RegionConfig = DEFAULT, *, cell: float | Non
 def verify(result: Analytics, config: RegionConfig = DEFAULT, *, strict: bool = False) -> DataFrame:
     """All checks after a refresh as one ``(check, violations)`` table."""
     t, raw = result.tables, result.inputs
-    baseline = materialize(t["baseline"], "baseline")
+    baseline = t["baseline"]
     checks = [
         *[
             V.check_row_count(t[name], name, config.expected_regions)

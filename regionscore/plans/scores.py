@@ -9,6 +9,7 @@ from regionscore import config as C
 from regionscore.config import DEFAULT, RegionConfig
 from regionscore.operators.quantiles import bounds, one_row, rank_desc_nulls_last
 from regionscore.operators.scoring import measures_of, normalize_and_combine, with_components, with_composite
+from regionscore.storage import materialize
 
 
 def transport_bounds(raw: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def ev_scores(measured: DataFrame, bound: DataFrame, opportunity: DataFrame) ->
         .when(F.col("infrastructure_opportunity_score").isNull(), "missing_infrastructure_input")
         .otherwise("complete_proxy_inputs"),
     )
-    return rank_desc_nulls_last(scored, "investment_priority_score", "priority_rank")
+    return rank_desc_nulls_last(materialize(scored, "scored"), "investment_priority_score", "priority_rank")
 
 
 def formula_version(spark: SparkSession) -> DataFrame:
