@@ -44,7 +44,7 @@ def classify_points(
     )
     candidates = flagged.where(F.col("__first") & F.col("__valid")).select(ident, lon, lat)
     owners = region_matches(candidates, index, ident, x=lon, y=lat).select(
-        F.col(ident).alias("__id"), F.col("regions")[0].alias("__region")
+        F.col(ident).alias("__id"), F.get("regions", F.lit(0)).alias("__region")
     )
     # Only first, valid records may take an owner; the rest join to nothing.
     placed = flagged.join(

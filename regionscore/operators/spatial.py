@@ -81,7 +81,7 @@ def assign_regions(
         matched = matched.where(F.size("regions") == 1)
     elif ambiguous != "lowest":
         raise ValueError(f"unknown rule for ambiguous points: {ambiguous}")
-    return matched.withColumn(region_id, F.col("regions")[0]).drop("regions")
+    return matched.withColumn(region_id, F.get("regions", F.lit(0))).drop("regions")
 
 
 def in_any_region(

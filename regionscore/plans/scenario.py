@@ -201,7 +201,7 @@ def validate_proposals(proposals: DataFrame, index: RegionIndex) -> tuple[DataFr
     placed = passed.join(located, "id", "left")
     owners = F.coalesce(F.size("regions"), F.lit(0))
     accepted = placed.where(owners == 1).withColumns(
-        {"nuts_code": F.col("regions")[0], "status": F.lit("proposed")}
+        {"nuts_code": F.get("regions", F.lit(0)), "status": F.lit("proposed")}
     ).drop("regions")
     outside = placed.where(owners != 1).drop("regions").withColumn("reason", F.lit("district"))
     return accepted, rejected.unionByName(outside)

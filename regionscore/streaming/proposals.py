@@ -1,8 +1,9 @@
 """Proposals as a stream: validated, assigned to a district, stored once per request id.
 
-The watermark only bounds what the in-flight deduplication remembers. Uniqueness is permanent,
-so every batch is also matched against the stored request ids. A replayed batch writes to the
-same folder again, so a restart after a lost driver neither loses nor doubles a row.
+Uniqueness of a request id is permanent and belongs to accepted proposals only, so it is decided
+against the stored table; a watermark would forget ids and would also swallow the retry of a
+rejected proposal. A replayed batch writes to the same folder again and is compared with the
+batches before it, so a restart neither loses nor doubles a row.
 """
 
 from __future__ import annotations
@@ -50,17 +51,24 @@ def stored_proposals(spark: SparkSession, target: str, before_batch: int | None
 def accept_batch(batch: DataFrame, stored: DataFrame, index: RegionIndex) -> tuple[DataFrame, DataFrame]:
     """``(new accepted proposals, rejected)`` of one batch against what is already stored.
 
-    Within a batch the earliest row of a request id counts, the lowest id among equals.
+    Only a valid proposal uses up its request id, so a corrected retry still gets in. Among valid
+    rows of one request the earliest counts, the lowest id among equals.
     """
-    first = batch.groupBy("request_id").agg(F.min(F.struct("created_at", "id")).alias("f"))
-    once = batch.join(
-        first.select("request_id", F.col("f.id").alias("id")), ["request_id", "id"], "left_semi"
-    ).dropDuplicates(["request_id"])
-    fresh = once.join(stored.select("request_id"), "request_id", "left_anti")
-    known = is_uuid(F.col("request_id"))
-    accepted, rejected = validate_proposals(fresh.where(known), index)
-    unknown = fresh.where(~known).withColumn("reason", F.lit("request_id"))
-    return accepted, rejected.unionByName(unknown, allowMissingColumns=True)
+    known = F.coalesce(is_uuid(F.col("request_id")), F.lit(False))
+    valid, rejected = validate_proposals(batch.where(known), index)
+    first = valid.groupBy("request_id").agg(F.min(F.struct("created_at", "id")).alias("f")).select(
+        "request_id", F.col("f.id").alias("id")
+    )
+    # The batch is the small side: what is stored is reduced to the ids at hand before anything else.
+    taken = stored.select("request_id").join(first.select("request_id"), "request_id", "left_semi")
+    fresh = first.join(taken, "request_id", "left_anti")
+    accepted = valid.join(fresh, ["request_id", "id"], "left_semi")
+    repeated = valid.join(fresh, ["request_id", "id"], "left_anti").drop("nuts_code", "status")
+    return accepted, (
+        rejected.unionByName(
+            batch.where(~known).drop("nuts_code").withColumn("reason", F.lit("request_id")), allowMissingColumns=True
+        ).unionByName(repeated.withColumn("reason", F.lit("duplicate_request")), allowMissingColumns=True)
+    )
 
 
 def start_proposal_feed(
@@ -70,7 +78,6 @@ def start_proposal_feed(
     target: str,
     index: RegionIndex,
     *,
-    delay: str = "1 day",
     schema: T.StructType = FEED_SCHEMA,
     once: bool = False,
     files_per_trigger: int | None = None,
@@ -79,9 +86,7 @@ def start_proposal_feed(
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    feed = (
-        reader.parquet(path).withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["request_id"])
-    )
+    feed = reader.parquet(path)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
