@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from queries import analysis as _analysis  # noqa: F401  (defines shared CTEs)
 from queries import world as W
 from queries.registry import big, query, r
 from queries.world import CTES, INSIDE, sql
@@ -403,7 +404,7 @@ def layer_lineage(spark, sf):
     return PV.layer_lineage(layers, catalog, inputs, snapshots).select("layer", "id", "ingest_status", "source_url")
 
 
-@query("current_run_inputs", "SELECT o_orderkey AS source_key FROM orders WHERE o_custkey = (SELECT o_custkey FROM (SELECT o_custkey, max(o_orderdate) AS at FROM orders GROUP BY 1) ORDER BY at DESC, lpad(o_custkey::VARCHAR, 12, '0') DESC LIMIT 1)")
+@query("current_run_inputs", "SELECT o_orderkey AS source_key FROM orders WHERE o_custkey = (SELECT o_custkey FROM (SELECT o_custkey, max(o_orderdate) AS latest FROM orders GROUP BY 1) ORDER BY latest DESC, lpad(o_custkey::VARCHAR, 12, '0') DESC LIMIT 1)")
 def current_run_inputs(spark, sf):
     """Customers as runs, their orders as inputs: only the latest run's inputs count."""
     o = W.table(spark, sf, "orders")

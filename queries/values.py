@@ -22,7 +22,7 @@ def _list(values) -> str:
 
 
 def _numbers(values) -> str:
-    return "[" + ", ".join("NULL" if v is None else repr(v) for v in values) + "]::DOUBLE[]"
+    return "CAST([" + ", ".join("NULL" if v is None else repr(v) for v in values) + "] AS DOUBLE[])"
 
 
 @query("normalized_prices", (
@@ -80,7 +80,7 @@ _VALUES = (7.1, 51.2, 3.0, None, None, -1.0, None, None, None, 1000.0, None, 0.0
 _COUNTS = (7, 51, 3, 1, 1, -1, 1, 1, 1, 1000, 1, 1)
 
 
-@query("decimal_readings", f"SELECT event_id, {_numbers(_VALUES)}[event_id % 12 + 1] AS value, {list(_COUNTS)}[event_id % 12 + 1]::BIGINT AS points FROM events")
+@query("decimal_readings", f"SELECT event_id, {_numbers(_VALUES)}[event_id % 12 + 1] AS value, CAST({list(_COUNTS)} AS BIGINT[])[event_id % 12 + 1] AS points FROM events")
 def decimal_readings(spark, sf):
     text = _pick(F.col("event_id"), _DECIMALS)
     return W.table(spark, sf, "events").select(

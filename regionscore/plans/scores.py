@@ -88,11 +88,17 @@ def ev_measures(metrics: DataFrame) -> DataFrame:
     )
 
 
+def ev_readiness(measured: DataFrame, bound: DataFrame) -> DataFrame:
+    """Components, readiness and deficit alone, ranked by readiness."""
+    scored = with_composite(with_components(measured, "ev_readiness_score", bound), "ev_readiness_score")
+    scored = with_composite(scored, "charger_deficit_score")
+    return rank_desc_nulls_last(scored, "ev_readiness_score", "readiness_rank")
+
+
 def ev_scores(measured: DataFrame, bound: DataFrame, opportunity: DataFrame) -> DataFrame:
     """Readiness, deficit, priority, flag and rank from EV measures and (fixed) bounds."""
     scored = with_components(measured, "ev_readiness_score", bound)
-    scored = with_composite(scored, "ev_readiness_score")
-    scored = with_composite(scored, "charger_deficit_score")
+    scored = with_composite(with_composite(scored, "ev_readiness_score"), "charger_deficit_score")
     scored = scored.join(
         opportunity.select("nuts_code", "infrastructure_opportunity_score").dropDuplicates(["nuts_code"]),
         "nuts_code",
