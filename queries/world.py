@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows spread over all cores when the scan has fewer splits than that (a one-group file).
+
+    A scan with enough splits, as any large table has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _thousandths(value: Column) -> Column:
     return value / F.lit(1000.0)
 
@@ -57,7 +66,7 @@ def stations(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     lon, lat = lattice(k)
     none = F.lit(None).cast("string")
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")).select(
         F.concat(F.lit("s"), k.cast("string")).alias("source_id"),
         F.col("o_orderpriority").alias("operator"),
         F.col("o_orderstatus").alias("status"),
@@ -85,7 +94,7 @@ def roads(spark: SparkSession, sf: str) -> DataFrame:
     bx, by = ax + (k % 7) * 20 + 10, ay + (k % 11) * 15 - 60
     cx, cy = bx + (k % 5) * 30 - 60, by + (k % 3) * 40
     classes = F.array(*[F.lit(c) for c in ROAD_CLASSES])
-    return table(spark, sf, "customer").select(
+    return spread(table(spark, sf, "customer").select("c_custkey", "c_name")).select(
         F.concat(F.lit("r"), k.cast("string")).alias("osm_id"),
         F.get(classes, (k % 8).cast("int")).alias("road_class"),
         F.col("c_name").alias("name"),
@@ -110,7 +119,7 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
     bx, by = ax + (k % 13) * 15 + 5, ay + (k % 17) * 10 - 40
     line = G.linestring((_thousandths(ax), _thousandths(ay)), (_thousandths(bx), _thousandths(by)))
     place = G.point(_thousandths(ax), _thousandths(ay))
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part").select("p_partkey", "p_name")).select(
         F.concat(F.lit("g"), k.cast("string")).alias("source_id"),
         F.get(F.array(*[F.lit(a) for a in ASSETS]), (k % 5).cast("int")).alias("asset_type"),
         F.get(F.array(*[F.lit(v) for v in VOLTAGE_TAGS]), (k % 9).cast("int")).alias("voltage"),
@@ -135,7 +144,7 @@ def renewables(spark: SparkSession, sf: str) -> DataFrame:
     technology = F.when(F.lit(False), "")
     for kind, name in TECHNOLOGIES.items():
         technology = technology.when(F.col("event_type") == kind, name)
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events").select("event_id", "event_type", "value")).select(
         F.concat(F.lit("e"), k.cast("string")).alias("source_id"),
         F.col("event_type").alias("name"),
         F.lit(None).cast("string").alias("operator"),

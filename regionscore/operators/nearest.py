@@ -1,9 +1,9 @@
 """Nearest feature in metres, exact, without pairing everything with everything.
 
-The features are binned into fine cells. One feature per occupied cell, and per coarser cell
-above it, gives every origin an upper bound of its distance; only the fine cells that reach
-inside that bound can hold the answer, and only their features are measured. The fine cell is
-chosen from the data so that no cell is crowded.
+The features are binned into fine cells; most origins are settled by the nine cells around them.
+For the others, one feature per occupied cell, and per coarser cell above it, gives an upper
+bound of the distance; only the fine cells that reach inside that bound can hold the answer, and
+only their features are measured. The fine cell is chosen from the data so that no cell is crowded.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from regionscore.functions.geometry import EDGE_FIELDS, point_segment_distance
 from regionscore.operators.region_index import cell_of, edge_cells
+from regionscore.storage import materialize
 
 EARTH_SPAN_M = 4.1e7
 STEP = 4
-MAX_FEATURES_PER_CELL = 5_000
+MAX_FEATURES_PER_CELL = 256
 SMALLEST_CELL_M = 1.0
 
 
@@ -72,12 +73,56 @@ def nearest(
     ``segments`` is ``(feature_id, ax, ay, bx, by)`` in metres. Features equally near are
     decided by the lowest id. Several features in one place are first reduced to that lowest id.
     """
-    segments = segments.groupBy(*EDGE_FIELDS).agg(F.min(feature_id).alias(feature_id))
+    # Written once: read by the choice of the cell and by both searches.
+    segments = materialize(segments.groupBy(*EDGE_FIELDS).agg(F.min(feature_id).alias(feature_id)), "features")
     cell = cell or suggest_cell(segments)
-    levels = max(1, math.ceil(math.log(EARTH_SPAN_M / cell, STEP)))
     places = origins.select(F.col(origin_id), F.col(x).alias("x"), F.col(y).alias("y"))
     fine = edge_cells(segments, cell, cell * 1e-9)
+    close = materialize(_in_block(places, fine, origin_id, feature_id, cell), "nearest")
+    open_ = F.col("distance_m").isNull() | (F.col("distance_m") > F.col("reach"))
+    settled = close.where(~open_).drop("reach", "x", "y")
+    rest = close.where(open_).select(origin_id, "x", "y")
+    if not rest.limit(1).count():
+        return settled
+    far = _beyond(rest, fine, origin_id, feature_id, cell)
+    unanswered = F.lit(None).cast(close.schema[feature_id].dataType).alias(feature_id), F.lit(None).cast("double").alias("distance_m")
+    none = rest.join(far, origin_id, "left_anti").select(origin_id, *unanswered)
+    return settled.unionByName(far).unionByName(none)
+
+
+def _in_block(places: DataFrame, fine: DataFrame, origin_id: str, feature_id: str, cell: float) -> DataFrame:
+    """The nearest feature among the 3 x 3 cells around each origin.
+
+    It is the answer when it is no farther than ``reach``, the distance to the block's border.
+    """
+    col, row = cell_of(F.col("x"), cell), cell_of(F.col("y"), cell)
+    around = (
+        places.withColumn("cx", F.explode(F.sequence(col - 1, col + 1)))
+        .withColumn("cy", F.explode(F.sequence(row - 1, row + 1)))
+    )
+    best = (
+        around.join(fine, ["cx", "cy"])
+        .groupBy(origin_id)
+        .agg(F.min(F.struct(_to_segment().alias("d"), F.col(feature_id).alias("f"))).alias("best"))
+    )
+
+    def gap(value: str) -> Column:
+        inner = F.col(value) - cell_of(F.col(value), cell) * F.lit(cell)
+        return F.least(inner, F.lit(cell) - inner) + F.lit(cell)
+
+    return places.join(best, origin_id, "left").select(
+        origin_id,
+        "x",
+        "y",
+        F.col("best.f").alias(feature_id),
+        F.col("best.d").alias("distance_m"),
+        F.least(gap("x"), gap("y")).alias("reach"),
+    )
 
+
+def _beyond(places: DataFrame, fine: DataFrame, origin_id: str, feature_id: str, cell: float) -> DataFrame:
+    """Nearest feature of origins whose own block does not settle it, through coarser cells."""
+    levels = max(1, math.ceil(math.log(EARTH_SPAN_M / cell, STEP)))
     sample = [F.any_value(f).alias(f) for f in EDGE_FIELDS]
     occupied = fine.groupBy("cx", "cy").agg(*sample)
     up = F.pow(F.lit(float(STEP)), F.col("level"))
@@ -123,10 +168,9 @@ def nearest(
         .where(_box_distance(cell) <= F.col("tight"))
         .drop("tight")
     )
-    best = (
+    return (
         candidates.join(fine, ["cx", "cy"])
         .groupBy(origin_id)
         .agg(F.min(F.struct(_to_segment().alias("d"), F.col(feature_id).alias("f"))).alias("best"))
         .select(origin_id, F.col("best.f").alias(feature_id), F.col("best.d").alias("distance_m"))
     )
-    return origins.select(origin_id).join(best, origin_id, "left")

@@ -18,9 +18,9 @@ from regionscore.functions import geometry as G
 # Sizes up to which the index may be packed one row per cell and broadcast; both are measured.
 MAX_CANDIDATES_PER_CELL = 64
 MAX_EDGES_PER_CELL = 20_000
-MAX_BROADCAST_CELLS = 200_000
-MAX_BROADCAST_EDGES = 2_000_000
-CELLS_PER_REGION = 64
+MAX_BROADCAST_CELLS = 400_000
+MAX_BROADCAST_EDGES = 4_000_000
+CELLS_PER_REGION = 256
 
 
 @dataclass(frozen=True)
@@ -34,9 +34,21 @@ class RegionIndex:
     broadcastable: bool
 
     def packed(self) -> DataFrame:
-        """One row per cell with all its candidate regions."""
+        """One row per cell: its only region spelled out, or all its candidates as an array."""
         table = self.cells.groupBy("cx", "cy").agg(
-            F.collect_list(F.struct("region", "full", "edges")).alias("candidates")
+            F.first("region").alias("region"),
+            F.first("full").alias("full"),
+            F.first("edges").alias("edges"),
+            F.collect_list(F.struct("region", "full", "edges")).alias("candidates"),
+        )
+        alone = F.size("candidates") == 1
+        table = table.select(
+            "cx",
+            "cy",
+            F.when(alone, F.col("region")).alias("region"),
+            F.when(alone, F.col("full")).alias("full"),
+            F.when(alone, F.col("edges")).alias("edges"),
+            F.when(~alone, F.col("candidates")).alias("candidates"),
         )
         return F.broadcast(table) if self.broadcastable else table
 

@@ -40,11 +40,21 @@ def region_matches(
     located = _with_cell(points, x, y, index.cell)
     if index.packable:
         joined = located.join(index.packed(), ["cx", "cy"])
-        hits = F.transform(
-            F.filter("candidates", lambda c: _covered(c, F.col(x), F.col(y), index.metric)), lambda c: c["region"]
+        # Most cells have one candidate, and most of those are full: no array work for them.
+        several = F.array_sort(
+            F.transform(
+                F.filter("candidates", lambda c: _covered(c, F.col(x), F.col(y), index.metric)), lambda c: c["region"]
+            )
+        )
+        hits = (
+            F.when(F.col("full"), F.array("region"))
+            .when(F.col("candidates").isNotNull(), several)
+            .when(G.covers_edges(F.col("edges"), F.col(x), F.col(y), metric=index.metric), F.array("region"))
         )
         return (
-            joined.withColumn("regions", F.array_sort(hits)).where(F.size("regions") > 0).drop("cx", "cy", "candidates")
+            joined.withColumn("regions", hits)
+            .where(F.size("regions") > 0)
+            .drop("cx", "cy", "region", "full", "edges", "candidates")
         )
     cells = index.unpacked()
     pairs = (
