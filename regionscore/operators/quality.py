@@ -42,21 +42,16 @@ def classify_points(
     flagged = flag_first(df, ident, ordinal, "__first").withColumn(
         "__valid", valid_coordinates(F.col(lon), F.col(lat))
     )
-    candidates = flagged.where(F.col("__first") & F.col("__valid")).select(ident, lon, lat)
-    owners = region_matches(candidates, index, ident, x=lon, y=lat).select(
-        F.col(ident).alias("__id"), F.get("regions", F.lit(0)).alias("__region")
-    )
-    # Only first, valid records may take an owner; the rest join to nothing.
-    placed = flagged.join(
-        owners, (F.col(ident) == F.col("__id")) & F.col("__first") & F.col("__valid"), "left"
-    )
+    # Only first records with a position are looked up; the others pass through unmatched.
+    looked_up = region_matches(flagged, index, ident, x=lon, y=lat, keep_where=F.col("__first") & F.col("__valid"))
+    placed = looked_up.withColumn("__region", F.get("regions", F.lit(0))).drop("regions")
     reason = (
         F.when(~F.col("__first"), "duplicate_id")
         .when(~F.col("__valid"), "invalid_coordinates")
         .when(F.col("__region").isNull(), "outside_nrw")
     )
     return placed.withColumns({region_id: F.col("__region"), "reason": reason}).drop(
-        "__first", "__valid", "__id", "__region"
+        "__first", "__valid", "__region"
     )
 
 

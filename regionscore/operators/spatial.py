@@ -30,16 +30,29 @@ def _covered(candidate: Column, x: Column, y: Column, metric: bool) -> Column:
 
 
 def region_matches(
-    points: DataFrame, index: RegionIndex, point_id: str, *, x: str = "lon", y: str = "lat"
+    points: DataFrame,
+    index: RegionIndex,
+    point_id: str,
+    *,
+    x: str = "lon",
+    y: str = "lat",
+    keep_where: Column | None = None,
 ) -> DataFrame:
     """Every point that lies in some region, with ``regions``: the sorted ids that cover it.
 
-    With a packed index a point meets one row, so nothing is regrouped. Where too many regions
-    pile up in one cell to pack them, candidates are joined one by one and regrouped per point.
+    With ``keep_where`` all points stay: those it holds for are looked up, and points in no
+    region or not looked up have NULL. With a packed index a point meets one row, so nothing is
+    regrouped. Where too many regions pile up in one cell to pack them, candidates are joined
+    one by one and regrouped per point.
     """
-    located = _with_cell(points, x, y, index.cell)
+    if keep_where is None:
+        located = _with_cell(points, x, y, index.cell)
+    else:
+        asked = keep_where & G.finite(F.col(x)) & G.finite(F.col(y))
+        cell = {k: F.when(asked, cell_of(F.col(c), index.cell)) for k, c in (("cx", x), ("cy", y))}
+        located = points.withColumns(cell)
     if index.packable:
-        joined = located.join(index.packed(), ["cx", "cy"])
+        joined = located.join(index.packed(), ["cx", "cy"], "inner" if keep_where is None else "left")
         # Most cells have one candidate, and most of those are full: no array work for them.
         several = F.array_sort(
             F.transform(
@@ -51,11 +64,8 @@ def region_matches(
             .when(F.col("candidates").isNotNull(), several)
             .when(G.covers_edges(F.col("edges"), F.col(x), F.col(y), metric=index.metric), F.array("region"))
         )
-        return (
-            joined.withColumn("regions", hits)
-            .where(F.size("regions") > 0)
-            .drop("cx", "cy", "region", "full", "edges", "candidates")
-        )
+        matched = joined.withColumn("regions", hits).drop("cx", "cy", "region", "full", "edges", "candidates")
+        return matched.where(F.size("regions") > 0) if keep_where is None else matched
     cells = index.unpacked()
     pairs = (
         located.join(cells, ["cx", "cy"])
@@ -63,7 +73,10 @@ def region_matches(
         .groupBy(point_id)
         .agg(F.array_sort(F.collect_set("region")).alias("regions"))
     )
-    return points.join(pairs, point_id)
+    if keep_where is None:
+        return points.join(pairs, point_id)
+    named = pairs.withColumnRenamed(point_id, "__point")
+    return points.join(named, (F.col(point_id) == F.col("__point")) & keep_where, "left").drop("__point")
 
 
 def assign_regions(

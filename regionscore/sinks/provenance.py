@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionscore.functions.parsing import is_sha256
@@ -48,10 +48,15 @@ def record_run(runs: DataFrame, run_id: str, at: Column | None = None) -> DataFr
     return runs.select("ingest_run_id", "recorded_at").unionByName(row)
 
 
+def _current_id(runs: DataFrame) -> Column:
+    """Id of the latest run (the greatest id among equals) as a scalar."""
+    order = F.struct("recorded_at", "ingest_run_id")
+    return runs.agg(F.max_by("ingest_run_id", order).alias("ingest_run_id")).scalar()
+
+
 def with_current(runs: DataFrame) -> DataFrame:
-    """Runs with ``is_current``: exactly the latest one (the run log holds one row per refresh)."""
-    latest = Window.orderBy(F.desc("recorded_at"), F.desc("ingest_run_id"))
-    return runs.withColumn("is_current", F.row_number().over(latest) == 1)
+    """Runs with ``is_current``: exactly the latest one."""
+    return runs.withColumn("is_current", F.col("ingest_run_id") == _current_id(runs))
 
 
 def bind_inputs(inventory: DataFrame, run_id: str) -> DataFrame:
@@ -59,8 +64,7 @@ def bind_inputs(inventory: DataFrame, run_id: str) -> DataFrame:
 
 
 def current_inputs(runs: DataFrame, inputs: DataFrame) -> DataFrame:
-    current = with_current(runs).where("is_current").select("ingest_run_id")
-    return inputs.join(F.broadcast(current), "ingest_run_id", "left_semi")
+    return inputs.where(F.col("ingest_run_id") == _current_id(runs))
 
 
 def set_source_date(snapshots: DataFrame, key: str, row: DataFrame) -> DataFrame:
