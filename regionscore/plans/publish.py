@@ -70,6 +70,10 @@ def publish_grid_absorption_risk(energy: DataFrame, districts: Districts) -> Dat
     return with_district_geometry(energy, districts).select(*PUBLISHED["grid_absorption_risk"])
 
 
+def publish_scenario(compared: DataFrame, districts: Districts) -> DataFrame:
+    return with_district_geometry(compared, districts)
+
+
 def displayed_renewables(
     renewables: DataFrame, config: RegionConfig = DEFAULT, *, blank_status: bool = False
 ) -> DataFrame:

@@ -16,8 +16,8 @@ from regionscore.plans import measures as M
 from regionscore.plans import publish as P
 from regionscore.plans import scores as S
 from regionscore.plans import verify as V
-from regionscore.sinks.export import current_generation, new_generation, promote
-from regionscore.storage import materialize
+from regionscore.sinks.export import current_generation, export_snapshot, new_generation, promote
+from regionscore.storage import materialize, path_exists
 
 
 @dataclass(frozen=True)
@@ -193,11 +193,20 @@ def refresh(
 def exported_layers(spark: SparkSession, root: str, config: RegionConfig = DEFAULT) -> dict[str, DataFrame]:
     """The layers of the served generation that the map export takes, all from one generation."""
     folder = f"{root.rstrip('/')}/generations/{current_generation(spark, root)}"
-    read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    return {
-        "districts": read("ev_baseline_metrics"),
-        "chargers": read("chargers"),
-        "autobahns": read("autobahns"),
-        "regional_roads": read("regional_roads"),
-        "renewables": P.displayed_renewables(read("renewable_potential"), config),
+    names = {
+        "districts": "ev_baseline_metrics",
+        "chargers": "chargers",
+        "autobahns": "autobahns",
+        "regional_roads": "regional_roads",
+        "renewables": "renewable_potential",
     }
+    present = {layer: f"{folder}/{name}" for layer, name in names.items() if path_exists(spark, f"{folder}/{name}")}
+    layers = {layer: spark.read.parquet(path) for layer, path in present.items()}
+    if "renewables" in layers:
+        layers["renewables"] = P.displayed_renewables(layers["renewables"], config)
+    return layers
+
+
+def export(spark: SparkSession, root: str, target: str, config: RegionConfig = DEFAULT) -> DataFrame:
+    """Export the served generation for the map; returns the manifest of what was promoted."""
+    return export_snapshot(spark, target, exported_layers(spark, root, config), config)

@@ -17,6 +17,7 @@ from regionscore.functions.geojson import geometry_to_json
 from regionscore.operators.quality import run_checks, violation
 from regionscore.operators.quantiles import one_row
 from regionscore.sources.inventory import file_digests
+from regionscore.storage import path_exists
 
 # The exported layers, their key, and what a district must carry.
 EXPORTED = {
@@ -163,8 +164,7 @@ def promote(spark: SparkSession, root: str, generation: str) -> None:
 
 def current_generation(spark: SparkSession, root: str) -> str | None:
     pointer = f"{root.rstrip('/')}/pointer"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pointer)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not path_exists(spark, pointer):
         return None
     row = spark.read.parquet(pointer).agg(F.max_by("generation", "promoted_at").alias("g")).first()
     return row["g"]

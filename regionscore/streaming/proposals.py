@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from regionscore.functions.parsing import is_uuid
 from regionscore.operators.region_index import RegionIndex
 from regionscore.plans.scenario import validate_proposals
+from regionscore.storage import path_exists
 
 FEED_SCHEMA = T.StructType(
     [
@@ -38,8 +39,7 @@ STORED_SCHEMA = T.StructType(
 
 def stored_proposals(spark: SparkSession, target: str, before_batch: int | None = None) -> DataFrame:
     """Accepted proposals written so far, or by the batches before a given one."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/accepted")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not path_exists(spark, f"{target}/accepted"):
         return spark.createDataFrame([], STORED_SCHEMA)
     whole = T.StructType([*STORED_SCHEMA.fields, T.StructField("batch", T.LongType())])
     rows = spark.read.schema(whole).parquet(f"{target}/accepted")

@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from regionscore.config import RegionConfig
+from regionscore.plans import publish as P
 from regionscore.plans import refresh as R
 from regionscore.plans import scenario as SC
 from regionscore.plans import verify as V
+from regionscore.sinks.export import current_generation
 from regionscore.storage import materialize
 from tests import worlds as W
 
@@ -71,7 +73,7 @@ def proposed(spark, three):
     return quick, full
 
 
-def test_a_proposal_adds_exactly_itself(three, proposed):
+def test_a_proposal_adds_exactly_itself(spark, three, proposed):
     compared = SC.scenario_compare(proposed[0], three["baseline"], three["ev_bounds"], three["opportunity"])
     deltas = by_code(
         compared, "chargers_total_delta", "charging_points_total_delta", "fast_chargers_total_delta", "unknown_power_chargers_total_delta"
@@ -81,6 +83,15 @@ def test_a_proposal_adds_exactly_itself(three, proposed):
     assert V.check_scenario(stored).where("violations > 0").count() == 0
     view = SC.project_view(stored, "change").select("chargers_total", "infrastructure_opportunity_score").collect()
     assert sorted(r[0] for r in view) == [0, 0, 1] and all(r[1] == 0 for r in view)
+    none = spark.createDataFrame([], PROPOSAL)
+    empty = SC.scenario_measures(three.districts, three["district_metrics"], none, cell=20_000.0)
+    before = materialize(SC.scenario_compare(materialize(empty, "m"), three["baseline"], three["ev_bounds"], three["opportunity"]), "before")
+    assert V.check_proposal_added(before, stored, "DEA01", 4).first()["violations"] == 0
+    assert V.check_proposal_added(before, stored, "DEA02", 4).first()["violations"] == 2
+    assert V.check_restored(before, before).first()["violations"] == 0
+    assert V.check_restored(before, stored).first()["violations"] > 0
+    assert V.check_scenario(stored, before).where("violations > 0").count() == 0
+    assert P.publish_scenario(stored, three.districts).where("geom is null").count() == 0
 
 
 def test_incremental_scenario_equals_the_full_one(proposed):
@@ -119,8 +130,6 @@ def test_all_checks_pass_and_see_a_mutation(spark, six):
 
 
 def test_refresh_publishes_only_after_checks(spark, tmp_path):
-    from regionscore.sinks.export import current_generation
-
     inputs = W.six_districts(spark)
     R.refresh(spark, inputs, str(tmp_path), SIX, cell=20_000.0)
     served = current_generation(spark, str(tmp_path))
@@ -130,3 +139,8 @@ def test_refresh_publishes_only_after_checks(spark, tmp_path):
     assert current_generation(spark, str(tmp_path)) == served
     layer = spark.read.parquet(f"{tmp_path}/generations/{served}/ev_baseline_metrics")
     assert layer.count() == 6
+    manifest = R.export(spark, str(tmp_path), str(tmp_path / "map"), SIX)
+    assert {r["layer"]: r["features"] for r in manifest.collect()} == {"districts": 6, "chargers": 5, "regional_roads": 6, "renewables": 0}
+    kinds = V.check_layer(layer, "districts", ["nuts_code", "ev_readiness_score"], ["Polygon", "MultiPolygon"])
+    assert kinds.where("violations > 0").count() == 0
+    assert V.check_layer(layer, "districts", ["absent"], ["Point"]).where("violations > 0").count() == 2
