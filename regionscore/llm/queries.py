@@ -54,3 +54,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regionscore.llm.packing import pack
 
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op1_importance_resampling")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight and decision of every document; the target is text labelled good."""
+    from regionscore.llm.importance import fit, resample
+
+    docs = documents(spark, sf_dir)
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return resample(docs, model)[0]
