@@ -64,3 +64,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return resample(docs, model)[0]
+
+
+@query("op4_rendezvous_shards")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 equal shards by key, and where each would be with 17."""
+    from regionscore.llm.rendezvous import slots
+
+    placed = slots(documents(spark, sf_dir).select("doc_id", "text"), [1.0] * 16, more=1.0)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query("op9_invertible_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionscore.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(documents(spark, sf_dir))
