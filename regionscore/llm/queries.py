@@ -80,3 +80,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regionscore.llm.fingerprints import fingerprint_edits
 
     return fingerprint_edits(documents(spark, sf_dir))
+
+
+@query("op10_jaccard_classes")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionscore.llm.jaccard_join import similarity_classes
+
+    return similarity_classes(documents(spark, sf_dir), width=4, num=85, den=100)
