@@ -87,3 +87,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regionscore.llm.jaccard_join import similarity_classes
 
     return similarity_classes(documents(spark, sf_dir), width=4, num=85, den=100)
+
+
+@query("op5_surrogates")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for the personal data in their texts."""
+    from regionscore.llm.surrogates import replace_entities
+
+    return replace_entities(documents(spark, sf_dir), key="corpus-2024")
+
+
+@query("op8_simhash_windows")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they hold."""
+    from regionscore.llm.decontaminate import contaminations
+
+    return contaminations(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row")
