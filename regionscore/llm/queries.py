@@ -103,3 +103,43 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regionscore.llm.decontaminate import contaminations
 
     return contaminations(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row")
+
+
+BACKOFF_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+),
+tokens AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM words),
+placed AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM tokens),
+own1 AS (SELECT doc_id, w, count(*) AS n FROM placed GROUP BY ALL),
+all1 AS (SELECT w, sum(n) AS n FROM own1 GROUP BY w),
+own2 AS (SELECT doc_id, v, w, count(*) AS n FROM placed WHERE v IS NOT NULL GROUP BY ALL),
+all2 AS (SELECT v, w, sum(n) AS n FROM own2 GROUP BY ALL),
+sizes AS (SELECT doc_id, len(ws) AS n_words, (SELECT count(*) FROM tokens) AS corpus FROM words),
+scored AS (
+  SELECT p.doc_id, p.v IS NOT NULL AS inner_word, coalesce(a2.n - o2.n, 0) AS both_n,
+    a1.n - o1.n AS word_n, coalesce(c1.n - d1.n, 0) AS context_n, greatest(s.corpus - s.n_words, 1) AS corpus
+  FROM placed p JOIN sizes s USING (doc_id) JOIN own1 o1 ON o1.doc_id = p.doc_id AND o1.w = p.w JOIN all1 a1 ON a1.w = p.w
+  LEFT JOIN own2 o2 ON o2.doc_id = p.doc_id AND o2.v = p.v AND o2.w = p.w LEFT JOIN all2 a2 ON a2.v = p.v AND a2.w = p.w
+  LEFT JOIN own1 d1 ON d1.doc_id = p.doc_id AND d1.w = p.v LEFT JOIN all1 c1 ON c1.w = p.v
+),
+summed AS (
+  SELECT doc_id, CAST(sum(CASE WHEN inner_word AND both_n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_backed_off,
+    sum(CASE WHEN both_n > 0 THEN ln(both_n) - ln(context_n)
+        ELSE ln(greatest(word_n, 1)) - ln(corpus) + CASE WHEN inner_word THEN ln(0.4) ELSE 0 END END) AS total
+  FROM scored GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(s.n_words AS BIGINT) AS n_words, coalesce(n_backed_off, 0) AS n_backed_off,
+  round(coalesce(total, 0), 4) AS log_score, CASE WHEN s.n_words > 0 THEN round(total / s.n_words, 6) END AS mean_log_score
+FROM sizes s LEFT JOIN summed USING (doc_id)
+"""
+
+
+@query("op3_stupid_backoff", BACKOFF_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-one-out bigram scores of all documents under the whole corpus."""
+    from regionscore.llm.backoff import backoff_scores
+
+    scored = backoff_scores(documents(spark, sf_dir))
+    return scored.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
