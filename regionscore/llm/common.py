@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from regionscore.storage import materialize, new_path
 
-__all__ = ["documents", "materialize", "new_path", "positioned", "ship", "u32"]
+__all__ = ["documents", "materialize", "new_path", "numbered", "once", "positioned", "ship", "u32"]
 
 _SHIPPED: set[str] = set()
 
@@ -45,6 +45,11 @@ def u32(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("binary"), F.lit(b"")))
 
 
+def once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once for a row, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def positioned(written: DataFrame) -> DataFrame:
     """A table read from files, with ``file`` and ``row``: where each row lies.
 

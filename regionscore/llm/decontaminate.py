@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionscore.llm.common import materialize
+from regionscore.llm.common import materialize, once
 
 BITS = 64
 #: Up to so many rows of a side are broadcast (under 64 bytes each); more are joined by a shuffle.
@@ -38,6 +38,11 @@ def shingles(tokens: Column, width: int) -> Column:
     )
 
 
+def _hashed(text: Column, width: int) -> Column:
+    """Number of words ``n`` and shingle hashes ``hs`` of a text."""
+    return once(words(text), lambda tokens: F.struct(F.size(tokens).alias("n"), shingles(tokens, width).alias("hs")))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """A broadcast hint where a count allows it."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -76,9 +81,8 @@ def contaminations(
     among equals. Items and documents without words match nothing; a document with fewer words than
     an item is compared as one window. Empty tables give no rows.
     """
-    items = benchmark.select(F.col(item).alias("item"), words(F.col(item_text)).alias("tokens")).where(F.size("tokens") > 0)
-    items = items.select("item", F.size("tokens").alias("size"), shingles(F.col("tokens"), width).alias("hs"))
-    placed = materialize(items.select("item", "size", F.posexplode("hs").alias("place", "h")), "items")
+    items = benchmark.select(F.col(item).alias("item"), _hashed(F.col(item_text), width).alias("t")).where(F.col("t.n") > 0)
+    placed = materialize(items.select("item", F.col("t.n").alias("size"), F.posexplode("t.hs").alias("place", "h")), "items")
     total = placed.select("item").distinct().count()
     known = placed.groupBy("h").agg(F.countDistinct("item").alias("df")).select("h", F.ln(1 + F.lit(float(max(total, 1))) / F.col("df")).alias("w"))
     known = materialize(known, "weights")
@@ -86,17 +90,16 @@ def contaminations(
     item_features = materialize(placed.select("item", "size", "h").distinct().join(_small(known), "h"), "item_features")
 
     rows = docs.select(F.xxhash64(F.col(doc), F.col(text)).alias("row"), F.col(doc).alias("doc"), F.col(text).alias("text"))
-    tokens = rows.select("row", words(F.col("text")).alias("tokens"))
-    hashed = tokens.select("row", F.size("tokens").alias("n"), shingles(F.col("tokens"), width).alias("hs"))
-    met = hashed.select("row", "n", F.posexplode("hs").alias("at", "h")).join(_small(placed), "h")
+    hashed = rows.select("row", _hashed(F.col("text"), width).alias("t")).select("row", F.col("t.n").alias("n"), F.posexplode("t.hs").alias("at", "h"))
+    met = hashed.join(_small(placed), "h")
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("n") - F.col("size")))
     windows = materialize(met.select("row", "size", start.alias("start")).distinct(), "windows")
 
     # the words of each window, from the texts that have any
     held = rows.join(_small(windows.select("row").distinct()), "row").dropDuplicates(["row"])
-    held = held.select("row", words(F.col("text")).alias("tokens")).join(windows, "row")
-    features = held.select("row", "size", "start", F.slice("tokens", F.col("start") + 1, F.col("size")).alias("tokens"))
-    features = features.select("row", "size", "start", F.explode(F.array_distinct(shingles(F.col("tokens"), width))).alias("h"))
+    held = materialize(held.select("row", words(F.col("text")).alias("tokens")), "held_words").join(windows, "row")
+    cut = once(F.slice("tokens", F.col("start") + 1, F.col("size")), lambda t: F.array_distinct(shingles(t, width)))
+    features = held.select("row", "size", "start", F.explode(cut).alias("h"))
     features = features.join(_small(known), "h", "left").select("row", "size", "start", "h", F.coalesce("w", unseen).alias("w"))
     features = materialize(features, "window_features")
 

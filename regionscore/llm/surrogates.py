@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionscore.llm.common import materialize
+from regionscore.llm.common import materialize, once
 
 #: Up to so many rows are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
@@ -142,6 +142,11 @@ def _draw(key: str, kind: Column, group: Column, normal: Column, turn: Column) -
     """The surrogate, in the normal form, of an entity at its ``turn``-th draw."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, group, normal, turn.cast("string"))
     noise = F.concat(*[F.sha2(F.concat(seed, F.lit(f"\x1f{i}")), 256) for i in range(4)])
+    return once(noise, lambda n: _drawn(n, kind, group, normal, turn))
+
+
+def _drawn(noise: Column, kind: Column, group: Column, normal: Column, turn: Column) -> Column:
+    """What the noise makes of an entity, by its kind."""
     chars = F.split(normal, "")
     plain = F.array_join(F.transform(chars, lambda c, i: _like(c, noise, i)), "")
     address = F.concat(
