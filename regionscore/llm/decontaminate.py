@@ -81,7 +81,9 @@ def contaminations(
     among equals. Items and documents without words match nothing; a document with fewer words than
     an item is compared as one window. Empty tables give no rows.
     """
-    items = benchmark.select(F.col(item).alias("item"), _hashed(F.col(item_text), width).alias("t")).where(F.col("t.n") > 0)
+    # items are followed by a hash of name and text, so that one without a name is looked for as well
+    named_items = benchmark.select(F.xxhash64(F.col(item), F.col(item_text)).alias("item"), F.col(item).alias("name"), F.col(item_text).alias("text"))
+    items = named_items.select("item", _hashed(F.col("text"), width).alias("t")).where(F.col("t.n") > 0).dropDuplicates(["item"])
     placed = materialize(items.select("item", F.col("t.n").alias("size"), F.posexplode("t.hs").alias("place", "h")), "items")
     total = placed.select("item").distinct().count()
     known = placed.groupBy("h").agg(F.countDistinct("item").alias("df")).select("h", F.ln(1 + F.lit(float(max(total, 1))) / F.col("df")).alias("w"))
@@ -124,10 +126,11 @@ def contaminations(
     passed = scored.where(F.col("similarity") >= similarity - 1e-9)
     best = passed.groupBy("row", "item").agg(F.min(F.struct((-F.round("similarity", 9)).alias("less"), "start", "size")).alias("best"))
     named = rows.select("row", "doc").join(_small(best.select("row").distinct()), "row", "left_semi").distinct()
-    return named.join(best, "row").select(
+    names = named_items.select("item", "name").dropDuplicates(["item"])
+    return named.join(best, "row").join(_small(names), "item").select(
         "row",
         F.col("doc").alias(doc),
-        F.col("item").alias(item),
+        F.col("name").alias(item),
         (-F.col("best.less")).alias("similarity"),
         F.col("best.start").cast("long").alias("first_word"),
         F.col("best.size").cast("long").alias("n_words"),

@@ -142,7 +142,14 @@ def _draw(key: str, kind: Column, group: Column, normal: Column, turn: Column) -
     """The surrogate, in the normal form, of an entity at its ``turn``-th draw."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, group, normal, turn.cast("string"))
     noise = F.concat(*[F.sha2(F.concat(seed, F.lit(f"\x1f{i}")), 256) for i in range(4)])
-    return once(noise, lambda n: _drawn(n, kind, group, normal, turn))
+    return once(noise, lambda n: _longer(_drawn(n, kind, group, normal, turn), n, kind, turn))
+
+
+def _longer(drawn: Column, noise: Column, kind: Column, turn: Column) -> Column:
+    """After a few draws a surrogate gets further characters of its kind, so that drawing ends when a format is used up."""
+    more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(turn - 3, F.lit(30)))), lambda i: _pick("0123456789", _byte(noise, i * 5))), "")
+    letters = F.translate(more, "0123456789", "bcdfghjklm")
+    return F.when((turn < 4) | kind.isin("person", "ip"), drawn).when(kind == "email", F.concat(letters, drawn)).otherwise(F.concat(drawn, more))
 
 
 def _drawn(noise: Column, kind: Column, group: Column, normal: Column, turn: Column) -> Column:
@@ -196,17 +203,24 @@ def dictionary(entities: DataFrame, key: str) -> DataFrame:
 
 def _render(kind: Column, part: Column, surrogate: Column) -> Column:
     """The surrogate in the format of the mention: its separators, capitals and leading country code."""
-    extra = F.length(_digits(part)) - F.length(surrogate)
+    digits = F.length(_digits(part))
+    extra = F.greatest(F.lit(0), digits - F.length(surrogate))
     chars = F.split(part, "")
+
+    def rest(held: Column) -> Column:
+        return F.substring(surrogate, held + 1, F.greatest(F.lit(0), F.length(surrogate) - held))
+
     def digit_at(c: Column, i: Column) -> Column:
         nth = F.length(_digits(F.substring(part, F.lit(1), i + 1))) - extra
         return F.when(c.rlike(r"^\d$") & (nth > 0), F.substring(surrogate, nth, F.lit(1))).otherwise(c)
 
-    numbers = F.array_join(F.transform(chars, digit_at), "")
+    numbers = F.concat(F.array_join(F.transform(chars, digit_at), ""), rest(digits - extra))
     iban = F.array_join(
         F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(surrogate, F.length(F.regexp_replace(F.substring(part, F.lit(1), i + 1), " ", "")), F.lit(1)))), ""
     )
+    iban = F.concat(iban, rest(F.length(F.regexp_replace(part, " ", ""))))
     cased = F.array_join(F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(surrogate, i + 1, F.lit(1)))).otherwise(F.substring(surrogate, i + 1, F.lit(1)))), "")
+    cased = F.concat(cased, rest(F.length(part)))
     name = F.when((F.upper(part) == part) & (F.length(part) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     return F.when(kind.isin("phone", "card", "ssn"), numbers).when(kind == "iban", iban).when(kind == "person", name).when(kind == "ip", surrogate).otherwise(cased)
 
