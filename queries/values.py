@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from queries import world as W
 from queries.registry import big, query, r
-from queries.world import ROAD_CLASSES, VOLTAGE_TAGS, normalized, sql
+from queries.world import ROAD_CLASSES, normalized, sql
 from regionscore.functions import parsing as X
 from regionscore.functions import scores as SC
 from regionscore.operators import rollups as RU
@@ -57,13 +57,18 @@ def road_classes(spark, sf):
     return W.roads(spark, sf).select("osm_id", X.road_class(F.col("road_class")).alias("class"))
 
 
-_TAGS = ("110000", "110 kV", "380kV", "20kv", "20500.5", " 110000 ", "110000;220000", "110000;380 kV", "-110000", "-110 kV", "-110000;220000", "0", "0;110000", "abc123def", "unknown", "", None, *[t for t in VOLTAGE_TAGS if t and ";" in t])
-_TAG_KV = (110.0, 110.0, 380.0, 20.0, 20.5005, 110.0, 220.0, 380.0, None, None, 220.0, None, 110.0, None, None, None, None, 110.0, 20.0)
-
-
-@query("voltage_tags", f"SELECT l_orderkey, l_linenumber, {_numbers(_TAG_KV)}[l_partkey % {len(_TAGS)} + 1] AS kv FROM lineitem")
+@query("voltage_tags", """SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN v / 1000 WHEN 2 THEN v / 1000 WHEN 3 THEN (v + 7000) / 1000 WHEN 4 THEN NULL WHEN 5 THEN v / 1000 WHEN 6 THEN NULL ELSE (v + 500) / 1000 END AS kv
+FROM (SELECT l_orderkey, l_linenumber, (l_partkey % 380 + 1) * 1000.0::DOUBLE AS v FROM lineitem)""")
 def voltage_tags(spark, sf):
-    return W.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.voltage_kv(_pick(F.col("l_partkey"), _TAGS)).alias("kv"))
+    """Tags written from the part key, in the form that the line number picks."""
+    volts = (F.col("l_partkey") % 380 + 1) * 1000
+    v, kv = volts.cast("string"), (volts / 1000).cast("int").cast("string")
+    more, half = (volts + 7000).cast("string"), ((volts + 500) / 1000).cast("string")
+    forms = {1: v, 2: F.concat(kv, F.lit(" KV")), 3: F.concat(v, F.lit("; "), more), 4: F.concat(F.lit("-"), v), 5: F.concat(F.lit("none;"), kv, F.lit("kv;0")), 6: F.concat(F.lit("ca. "), v)}
+    tag = F.concat(half, F.lit(" kV"))
+    for line, form in forms.items():
+        tag = F.when(F.col("l_linenumber") == line, form).otherwise(tag)
+    return W.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.voltage_kv(tag).alias("kv"))
 
 
 _NAMES = ("Köln, kreisfreie Stadt", "Mülheim a.d. Ruhr", "  Düren ", "Rhein-Sieg-Kreis", "Große Aue", "Ærø Ñandú 2²", None, "Bonn , Kreisfreie  Stadt")

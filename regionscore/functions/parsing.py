@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Mapping, Sequence
 from functools import lru_cache
@@ -68,18 +69,22 @@ def voltage_kv(tag: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _letter_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Characters whose compatibility decomposition is made of plain letters and digits."""
-    single_from, single_to, several = [], [], []
-    for code in (*range(0x80, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF10, 0xFF5B)):
+def _letter_tables() -> tuple[str, str, str]:
+    """What the compatibility decomposition leaves of each character in ``a-z0-9``, over all code points.
+
+    Characters that become one letter, those letters, and a JSON object of those that become several.
+    """
+    single_from, single_to, several = [], [], {}
+    for code in range(0x80, 0x110000):
         char = chr(code)
-        base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii() and base.isalnum():
+        whole = unicodedata.normalize("NFKD", char)
+        base = "".join(c for c in whole if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+        if len(base) == 1:
             single_from.append(char)
             single_to.append(base)
-        elif 2 <= len(base) <= 3 and base.isascii() and base.isalnum():
-            several.append((char, base))
-    return "".join(single_from), "".join(single_to), tuple(several)
+        elif base:
+            several[char] = base
+    return "".join(single_from), "".join(single_to), json.dumps(several)
 
 
 def district_key(name: Column) -> Column:
@@ -92,10 +97,9 @@ def district_key(name: Column) -> Column:
     text = F.replace(text, F.lit("a.d."), F.lit("an der"))
     text = F.regexp_replace(text, r",?\s*kreisfreie\s+stadt\z", "")
     text = F.translate(text, source, target)
-    for char, base in several:
-        if char in "ĳŉǆǉǌǳﬀﬁﬂﬃﬄﬅﬆ":
-            text = F.replace(text, F.lit(char), F.lit(base))
-    return F.regexp_replace(text, r"[^a-z0-9]+", "")
+    table = F.from_json(F.lit(several), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike("^[ -~]$"), c).otherwise(F.coalesce(F.try_element_at(table, c), F.lit("")))), "")
+    return F.regexp_replace(F.when(text.rlike("[^ -~]"), spelled).otherwise(text), "[^a-z0-9]+", "")
 
 
 def publication_date(text: Column) -> Column:

@@ -18,8 +18,6 @@ from regionscore.config import DEFAULT
 
 BUCKETS = 256
 GROUP = 16
-# Up to this many rows the built-in exact percentile (one small state) answers directly.
-SMALL_ROWS = 200_000
 
 
 def _above(cuts: list[float], value: Column) -> Column:
@@ -110,21 +108,21 @@ def bounds(
 ) -> DataFrame:
     """One row with ``<column>_low`` and ``<column>_high`` for every column, computed right away.
 
-    Exact by default. The row count decides how: a table of measured small size uses the
-    built-in percentile, a larger one the bucketed search. ``exact=False`` opts into the sketch.
-    The result is two numbers per column, so it may be kept and reused as a local table.
+    Exact by default, by the same search whatever the size; NULL and NaN are no values.
+    ``exact=False`` opts into the sketch. The result is two numbers per column, so it may be
+    kept and reused as a local table.
     """
     low, high = (float(f) for f in fractions)
     spark = df.sparkSession
     names = [f"{c}_{end}" for c in columns for end in ("low", "high")]
     schema = ", ".join(f"`{n}` double" for n in names)
-    if exact and df.count() > SMALL_ROWS:
+    if exact:
         found = {(r["metric"], r["fraction"]): r["value"] for r in exact_percentiles(df, columns, (low, high)).collect()}
         values = [found.get((c, f)) for c in columns for f in (low, high)]
     else:
         wanted = F.array(F.lit(low), F.lit(high))
-        pick = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
-        row = df.agg(*[pick(F.col(c).cast("double"), wanted).alias(c) for c in columns]).first()
+        known = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+        row = df.agg(*[F.percentile_approx(known[c], wanted, 10_000).alias(c) for c in columns]).first()
         values = [None if row[c] is None else row[c][i] for c in columns for i in (0, 1)]
     return spark.createDataFrame([tuple(values)], schema)
 

@@ -1,6 +1,8 @@
 """Value functions against hand-worked cases."""
 
 import datetime
+import unicodedata
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,17 +22,20 @@ def values(spark, rows, schema, column):
 
 
 def test_normalization(spark):
-    cases = [
-        (10.0, 10.0, 50.0, 0.0, 100.0), (50.0, 10.0, 50.0, 100.0, 0.0), (30.0, 10.0, 50.0, 50.0, 50.0),
-        (-5.0, 10.0, 50.0, 0.0, 100.0), (120.0, 10.0, 50.0, 100.0, 0.0), (10.0, 30.0, 30.0, 50.0, 50.0),
-        (50.0, 30.0, 30.0, 50.0, 50.0), (None, 10.0, 50.0, None, None), (30.0, None, 50.0, None, None),
-        (30.0, 10.0, None, None, None), (99.0, 0.0, 0.0, 50.0, 50.0), (-30.0, -50.0, -10.0, 50.0, 50.0),
-        (-10.0, -50.0, -10.0, 100.0, 0.0), (-80.0, -50.0, -10.0, 0.0, 100.0),
-    ]
-    schema = "m double, lo double, hi double, a double, b double"
+    """Every measure of a grid between, on and beyond every pair of bounds, by the rule itself."""
+    measures, lows, widths = (None, -7.25, -3.0, 0.0, 1.5, 6.0, 8.75, 400.0), (None, -6.0, 0.0, 6.0), (0.0, 2.5, 12.0)
+    cases = [(m, lo, None if lo is None else lo + w) for m in measures for lo in lows for w in widths] + [(1.5, 0.0, None)]
+
+    def rule(m, lo, hi, inverse):
+        if None in (m, lo, hi):
+            return None
+        share = 0.5 if hi == lo else min(1.0, max(0.0, (m - lo) / (hi - lo)))
+        return 100 * (1 - share if inverse else share)
+
     m, lo, hi = F.col("m"), F.col("lo"), F.col("hi")
-    assert values(spark, cases, schema, S.normalize_5_95(m, lo, hi)) == [c[3] for c in cases]
-    assert values(spark, cases, schema, S.normalize_5_95(m, lo, hi, True)) == [c[4] for c in cases]
+    for inverse in (False, True):
+        got = values(spark, cases, "m double, lo double, hi double", S.normalize_5_95(m, lo, hi, inverse))
+        assert got == [None if (e := rule(*c, inverse)) is None else pytest.approx(e) for c in cases]
 
 
 def test_rounding_is_half_away_from_zero_on_fifteen_digits(spark):
@@ -39,40 +44,30 @@ def test_rounding_is_half_away_from_zero_on_fifteen_digits(spark):
     assert got == [62.3, 0.1, 100.0, 2.3, 100.0, None, 54.9]
 
 
-COMPOSITES = [
-    ("ev_readiness_score", (80.0, 60.0, 40.0), 62.0),
-    ("ev_readiness_score", (80.0, None, 40.0), None),
-    ("ev_readiness_score", (0.0, 60.0, 40.0), 30.0),
-    ("charger_deficit_score", (62.0,), 38.0),
-    ("charger_deficit_score", (None,), None),
-    ("investment_priority_score", (38.0, 55.5), 45.0),
-    ("transport_load_score", (70.0, 50.0, 20.0), 57.5),
-    ("grid_readiness_proxy_score", (80.0, 60.0, 40.0), 65.0),
-    ("renewable_context_score", (50.0, 90.0), 62.0),
-    ("grid_absorption_risk_proxy_score", (40.0, 20.0, 65.0), 32.8),
-    ("infrastructure_opportunity_score", (60.0, 50.0, 40.0), 51.5),
-    ("infrastructure_opportunity_score", (60.0, None, 40.0), None),
-    ("ev_readiness_score", (62.3, 60.0, 40.1), 55.0),
-    ("transport_load_score", (70.1, 50.0, 20.0), 57.6),
-]
-
-
 def test_composites_use_rounded_parts(spark):
-    for indicator, parts, expected in COMPOSITES:
-        names = [t.component_score for t in SCORE_MODEL if t.indicator_score == indicator]
-        df = spark.createDataFrame([parts], ", ".join(f"{n} double" for n in names))
-        got = with_composite(df, indicator).first()[indicator]
-        assert (None if got is None else float(got)) == expected, indicator
+    """Each indicator on parts spread by its own position, complete and with each part missing in turn."""
+    for indicator in sorted({t.indicator_score for t in SCORE_MODEL}):
+        terms = [t for t in SCORE_MODEL if t.indicator_score == indicator]
+        whole = [round(97.3 - 11.7 * i - len(indicator) % 7, 1) for i in range(len(terms))]
+        rows = [whole] + [[None if i == gone else v for i, v in enumerate(whole)] for gone in range(len(terms))]
+        for parts in rows:
+            df = spark.createDataFrame([parts], ", ".join(f"{t.component_score} double" for t in terms))
+            got = with_composite(df, indicator).first()[indicator]
+            if None in parts:
+                assert got is None, indicator
+            else:
+                total = sum(Decimal(t.constant) + Decimal(t.weight) * Decimal(str(v)) for t, v in zip(terms, parts, strict=True))
+                assert Decimal(str(got)) == total.quantize(Decimal("0.1"), ROUND_HALF_UP), indicator
 
 
 @pytest.mark.parametrize(
     "scores,ranks",
     [
-        ((90.0, 80.0, 70.0), (1, 2, 3)),
-        ((80.0, 80.0, 80.0, 50.0), (1, 1, 1, 4)),
-        ((50.0, 70.0, 70.0, 50.0, 90.0), (4, 2, 2, 4, 1)),
-        ((70.0, None, 90.0, None, 80.0), (3, 4, 1, 4, 2)),
-        ((None, None, None), (1, 1, 1)),
+        ((3.1,), (1,)),
+        ((12.5, 99.9, 0.0, 55.5), (3, 1, 4, 2)),
+        ((44.4, None, 44.4, 8.8, 44.4), (1, 5, 1, 4, 1)),
+        ((None, 0.0, None, 0.0, 100.0, 33.3, 33.3), (6, 4, 6, 4, 1, 2, 2)),
+        ((None, None), (1, 1)),
     ],
 )
 def test_rank(spark, scores, ranks):
@@ -83,7 +78,8 @@ def test_rank(spark, scores, ranks):
 
 
 def test_percentiles(spark):
-    cases = [((42.0,), 42.0, 42.0), ((10.0, 20.0), 10.5, 19.5), ((10.0, 20.0, 30.0, None), 11.0, 29.0), ((None, None), None, None)]
+    nan = float("nan")
+    cases = [((-3.5,), -3.5, -3.5), ((4.0, 8.0, nan), 4.2, 7.8), (tuple(float(i * i) for i in range(41)), 4.0, 1444.0), ((None, 6.0, None, 1.0, 11.0), 1.5, 10.5), ((None, nan), None, None)]
     for given, low, high in cases:
         row = bounds(spark.createDataFrame([(v,) for v in given], "x double"), ["x"]).first()
         assert row["x_low"] == (None if low is None else pytest.approx(low))
@@ -102,12 +98,14 @@ def test_distributed_percentiles_equal_the_built_in(spark):
 
 
 def test_voltage_tags(spark):
-    cases = {
-        "110000": 110.0, "110 kV": 110.0, "380kV": 380.0, "20kv": 20.0, "20500.5": 20.5005, " 110000 ": 110.0, "110000;220000": 220.0,
-        "110000;380 kV": 380.0, "-110000": None, "-110 kV": None, "-110000;220000": 220.0, "0": None, "0;110000": 110.0,
-        "abc123def": None, "unknown": None, "": None, None: None, "110000\n": None,
-    }
-    assert values(spark, [(t,) for t in cases], "t string", X.voltage_kv(F.col("t"))) == list(cases.values())
+    """Tags written from numbers in each form that counts, and in forms that do not."""
+    cases = {None: None, "  ": None, "high": None, "kV": None, "65 kV extra": None, "15 000": None, "1e5": None, ";;": None}
+    for volts in (400, 10_000, 33_000, 65_500, 150_000, 225_000):
+        kv = volts / 1000
+        cases |= {f"{volts}": kv, f"{kv:g}KV": kv, f"  {kv:g}  kV ": kv, f"{volts}.0": kv, f"-{volts}": None, f"-{kv:g} kV": None, f"x{volts}": None}
+        cases |= {f"{volts};{volts * 2}": 2 * kv, f"{volts * 3};{kv:g} kV": 3 * kv, f"0;{volts};?": kv, f"-{volts * 5};{volts}": kv, f"{volts};": kv}
+    got = values(spark, [(t,) for t in cases], "t string", X.voltage_kv(F.col("t")))
+    assert got == [None if e is None else pytest.approx(e) for e in cases.values()]
 
 
 def test_connector_power_and_threshold(spark):
@@ -127,17 +125,34 @@ def test_dates_names_and_keys(spark):
     assert values(spark, [("5111",), ("123456789",)], "t string", X.pad_ags(F.col("t"))) == ["00005111", "123456789"]
 
 
-TRAFFIC = [
-    ((12000.0, 12500.0, 11000.0, 8000.0, 11400.0, 600.0), (12000.0, 11400.0, 600.0, None)),
-    ((100.0, 105.0, 95.0, 70.0, 100.0, 0.0), (100.0, 100.0, 0.0, None)),
-    ((600.0, 620.0, 580.0, 400.0, 0.0, 600.0), (600.0, 0.0, 600.0, None)),
-    ((0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (None, None, None, None)),
-    ((11454.0, 11800.0, 10900.0, 7600.0, 0.0, 0.0), (11454.0, None, None, None)),
-    ((None, None, None, None, None, None), (None, None, None, None)),
-    ((0.0, 5.0, 0.0, 0.0, 0.0, 0.0), (None, None, None, "zero all-days total with a positive day-type total")),
-    ((10.0, -1.0, 0.0, 0.0, 0.0, 0.0), (None, None, None, "DTVKFZW must not be negative")),
-    ((10.0, 1.0, 1.0, 1.0, float("inf"), 0.0), (None, None, None, "DTVLVA must be finite")),
-]
+def traffic_cases():
+    """Volumes by the rule: nothing counted is no figure, no split is no split, and a bad figure names its field."""
+    for total in (730.0, 9_876.0, 41_003.0):
+        days = (total * 1.125, total * 0.75, total * 0.5)
+        for share in (0.0, 0.125, 1.0):
+            heavy = total * share
+            yield (total, *days, total - heavy, heavy), (total, total - heavy, heavy, None)
+        yield (total, *days, 0.0, 0.0), (total, None, None, None)
+        yield (0.0, 0.0, total, 0.0, 0.0, 0.0), (None, None, None, "zero all-days total with a positive day-type total")
+        yield (total, 0.0, -total, 0.0, 0.0, 0.0), (None, None, None, f"{X.DAY_TYPE_TOTALS[2]} must not be negative")
+        yield (total, *days, float("-inf"), 0.0), (None, None, None, "DTVLVA must be finite")
+    yield (0.0,) * 6, (None, None, None, None)
+    yield (None,) * 6, (None, None, None, None)
+
+
+TRAFFIC = list(traffic_cases())
+
+
+def test_district_keys_over_all_characters(spark):
+    """The stated rule in plain Python for every character of the basic plane, alone and between letters."""
+    names = [f"Ax{chr(c)}y" for c in range(0x21, 0x10000) if not 0xD800 <= c < 0xE000 and not chr(c).isspace()]
+
+    def rule(name):
+        whole = unicodedata.normalize("NFKD", name.lower())
+        return "".join(c for c in whole if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+
+    got = values(spark, [(n,) for n in names], "t string", X.district_key(F.col("t")))
+    assert [(n, g) for n, g in zip(names, got, strict=True) if g != rule(n)] == []
 
 
 def test_traffic_observations(spark):
