@@ -245,28 +245,32 @@ def _outlines(spark, sf):
     k = F.col("p_partkey")
     gx, gy = W.lattice(k, 0, 3000, 0, 2000)
     at = lambda x, y: ((gx * 4 + x) / 4.0, (gy * 4 + y) / 4.0)
-    sq = lambda a, b, c, d: [at(a, b), at(c, b), at(c, d), at(a, d), at(a, b)]
-    unit = sq(0, 0, 16, 16)
+    ring = lambda *ps: [at(x, y) for x, y in (*ps, ps[0])]
     multi = lambda *polys: F.struct(
         F.lit("MultiPolygon").alias("type"), F.concat(*[p["parts"] for p in polys]).alias("parts")
     )
+    # the key moves a vertex of every sound outline
+    tip = (F.pmod(k, F.lit(7)) + 10).cast("double")
+    kite = ring((0, 6), (6, 0), (16, 6), (6, tip))
+    step = ring((0, 0), (18, 0), (18, 5), (9, 5), (9, 12), (0, 12))
+    left, right = ring((1, 1), (4, 1), (2, 4)), ring((11, 1), (16, 1), (16, 3))
     cases = (
-        G.polygon(unit),
-        G.polygon(unit, sq(4, 4, 8, 8)),
-        multi(G.polygon(unit), G.polygon(sq(20, 0, 24, 4))),
-        G.polygon([at(0, 0), at(0, 0), at(0, 0), at(0, 0)]),
-        G.polygon([at(0, 0), at(16, 16), at(0, 16), at(16, 0), at(0, 0)]),
-        G.polygon([at(0, 0), at(4, 4), at(8, 8), at(0, 0)]),
-        G.polygon(unit, sq(20, 20, 24, 24)),
-        G.polygon(unit, sq(8, 8, 24, 12)),
-        multi(G.polygon(unit), G.polygon(sq(8, 8, 24, 24))),
-        multi(G.polygon(unit), G.polygon(sq(16, 0, 32, 16))),
-        multi(G.polygon(unit), G.polygon(sq(4, 4, 8, 8))),
-        G.polygon(unit, sq(2, 2, 14, 14), sq(4, 4, 8, 8)),
-        G.polygon([at(0, 0), at(16, 0), at(16, 16)]),
-        G.polygon([at(0, 0), at(16, 0), at(16, 16), at(0, 16)]),
-        G.polygon([at(0, 0), at(16, 0), (F.lit(float("nan")), F.lit(1.0)), at(0, 0)]),
-        G.point(*at(0, 0)),
+        G.polygon(kite),
+        G.polygon(step, left, right),
+        multi(G.polygon(kite), G.polygon(ring((20, 0), (26, 1), (22, 7))), G.polygon(ring((20, 9), (26, 9), (23, 14)))),
+        G.polygon(ring((3, 3), (5, 3), (3, 3))),
+        G.polygon(ring((0, 0), (12, 10), (12, 0), (6, 12), (0, 10))),
+        G.polygon(ring((2, 1), (5, 4), (11, 10))),
+        G.polygon(step, left, ring((22, 2), (25, 2), (24, 5))),
+        G.polygon(step, left, ring((7, 3), (11, 4), (11, 8), (7, 8))),
+        multi(G.polygon(kite), G.polygon(ring((20, 0), (26, 1), (22, 7))), G.polygon(ring((23, 3), (29, 3), (25, 9)))),
+        multi(G.polygon(step), G.polygon(ring((18, 0), (24, 2), (18, 5)))),
+        multi(G.polygon(step), G.polygon(left), G.polygon(ring((22, 2), (25, 2), (24, 5)))),
+        G.polygon(ring((0, 0), (30, 0), (30, 30), (0, 30)), ring((2, 2), (26, 4), (6, 26)), ring((8, 8), (12, 8), (9, 11))),
+        G.polygon([at(1, 0), at(9, 2), at(4, 8)]),
+        G.polygon([at(1, 0), at(9, 2), at(4, 8), at(0, 5)]),
+        G.polygon([at(1, 0), (F.lit(float("inf")), F.lit(2.0)), at(4, 8), at(1, 0)]),
+        G.point(*at(5, 5)),
     )
     geom = F.when(F.lit(False), G.point(F.lit(0.0), F.lit(0.0)))
     for i, c in enumerate(cases):

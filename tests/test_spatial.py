@@ -143,21 +143,25 @@ def test_classification_order_and_reasons(spark, pair_index):
         classify_points(df.withColumn("id", F.lit(" ")), pair_index)
 
 
+def ring(*points):
+    return [list(p) for p in (*points, points[0])]
+
+
+HEXAGON = ring((7.0, 51.0), (7.2, 50.9), (7.4, 51.0), (7.4, 51.2), (7.2, 51.3), (7.0, 51.2))
+L_SHAPE = ring((8.0, 50.0), (8.9, 50.0), (8.9, 50.3), (8.3, 50.3), (8.3, 50.8), (8.0, 50.8))
 OUTLINES = {
-    "degenerate": ("Polygon", [[[6, 50]] * 4], "too few points"),
-    "bowtie": ("Polygon", [[[6, 50], [7, 51], [6, 51], [7, 50], [6, 50]]], "self-intersection"),
-    "sliver": ("Polygon", [[[0, 0], [1, 1], [2, 2], [0, 0]]], "self-intersection"),
-    "hole outside": ("Polygon", [W.box(0, 0, 1, 1), W.box(2, 2, 2.5, 2.5)], "hole outside shell"),
-    "hole crossing": ("Polygon", [W.box(0, 0, 1, 1), W.box(0.5, 0.5, 1.5, 0.9)], "self-intersection"),
-    "overlap": ("MultiPolygon", [[W.box(0, 0, 1, 1)], [W.box(0.5, 0.5, 1.5, 1.5)]], "self-intersection"),
-    "shared edge": ("MultiPolygon", [[W.box(0, 0, 1, 1)], [W.box(1, 0, 2, 1)]], "self-intersection"),
-    "square": ("Polygon", [W.box(0, 0, 1, 1)], None),
-    "with hole": ("Polygon", [W.box(0, 0, 1, 1), W.box(0.4, 0.4, 0.6, 0.6)], None),
-    "disjoint": ("MultiPolygon", [[W.box(0, 0, 1, 1)], [W.box(2, 0, 3, 1)]], None),
-    "corner touch": ("MultiPolygon", [[W.box(0, 0, 1, 1)], [W.box(1, 1, 2, 2)]], None),
-    "island in hole": ("MultiPolygon", [[W.box(0, 0, 4, 4), W.box(1, 1, 3, 3)], [W.box(1.5, 1.5, 2, 2)]], None),
-    "unclosed": ("Polygon", [[[0, 0], [1, 0], [1, 1], [0, 1]]], "unclosed exterior ring"),
-    "line": ("LineString", [[0, 0], [1, 0]], "unsupported geometry"),
+    "hexagon": ("Polygon", [HEXAGON], None),
+    "l shape with two holes": ("Polygon", [L_SHAPE, ring((8.1, 50.1), (8.2, 50.1), (8.15, 50.2)), ring((8.6, 50.1), (8.7, 50.1), (8.7, 50.2), (8.6, 50.2))], None),
+    "three parts": ("MultiPolygon", [[HEXAGON], [L_SHAPE], [ring((9.1, 52.0), (9.2, 52.0), (9.15, 52.1))]], None),
+    "triangles meeting in a point": ("MultiPolygon", [[ring((6.0, 50.0), (6.5, 50.2), (6.0, 50.4))], [ring((6.5, 50.2), (7.0, 50.0), (7.0, 50.4))]], None),
+    "two distinct points": ("Polygon", [ring((6.3, 51.7), (6.4, 51.7), (6.3, 51.7))], "too few points"),
+    "star": ("Polygon", [ring((7.0, 52.0), (7.6, 52.0), (7.1, 51.6), (7.3, 52.3), (7.5, 51.6))], "self-intersection"),
+    "hexagon cut by a hole": ("Polygon", [HEXAGON, ring((7.3, 51.05), (7.6, 51.1), (7.3, 51.15))], "self-intersection"),
+    "hole far away": ("Polygon", [HEXAGON, ring((9.0, 50.9), (9.1, 50.9), (9.05, 51.0))], "hole outside shell"),
+    "overlapping triangles": ("MultiPolygon", [[ring((6.0, 50.0), (6.6, 50.0), (6.3, 50.6))], [ring((6.3, 50.1), (6.9, 50.1), (6.6, 50.7))]], "self-intersection"),
+    "triangles sharing a side": ("MultiPolygon", [[ring((6.0, 50.0), (6.6, 50.0), (6.3, 50.6))], [ring((6.0, 50.0), (6.3, 49.5), (6.6, 50.0))]], "self-intersection"),
+    "open triangle": ("Polygon", [[[6.0, 50.0], [6.6, 50.0], [6.3, 50.6], [6.1, 50.4]]], "unclosed exterior ring"),
+    "point": ("Point", [6.5, 50.5], "unsupported geometry"),
 }
 
 
