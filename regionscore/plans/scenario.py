@@ -197,8 +197,10 @@ def validate_proposals(proposals: DataFrame, index: RegionIndex) -> tuple[DataFr
     """
     trimmed = proposals.drop("nuts_code").withColumn("name", F.regexp_replace("name", r"^\s+|\s+\z", ""))
     passed, rejected = split_valid(trimmed, proposal_rules())
-    located = region_matches(passed.select("id", "lon", "lat"), index, "id").select("id", "regions")
-    placed = passed.join(located, "id", "left")
+    # places are looked up, not ids: an id may be delivered many times
+    places = passed.select("lon", "lat").distinct().withColumn("place", F.concat_ws(" ", F.hex(F.col("lon").cast("string")), F.hex(F.col("lat").cast("string"))))
+    located = region_matches(places, index, "place").select("lon", "lat", "regions")
+    placed = passed.join(located, ["lon", "lat"], "left").select(*passed.columns, "regions")
     owners = F.coalesce(F.size("regions"), F.lit(0))
     accepted = placed.where(owners == 1).withColumns(
         {"nuts_code": F.get("regions", F.lit(0)), "status": F.lit("proposed")}
@@ -208,9 +210,14 @@ def validate_proposals(proposals: DataFrame, index: RegionIndex) -> tuple[DataFr
 
 
 def current_proposals(log: DataFrame) -> DataFrame:
-    """Current state of an append-only log ``(id, op, at, ...)``: the latest row per id, not deleted."""
-    latest = log.groupBy("id").agg(F.max("at").alias("at"))
-    return log.join(latest, ["id", "at"], "left_semi").where(F.col("op") != "delete").drop("op")
+    """Current state of an append-only log ``(id, op, at, ...)``: the latest row per id, not deleted.
+
+    Among rows of one time a delete wins; equal inserts of one time are one row, chosen by its content.
+    """
+    row = F.struct(*[F.col(c) for c in log.columns])
+    order = F.struct(F.col("at"), (F.col("op") == "delete").alias("gone"), F.xxhash64(*[F.col(c) for c in log.columns]).alias("h"))
+    latest = log.groupBy(F.col("id").alias("__id")).agg(F.max_by(row, order).alias("r"))
+    return latest.select("r.*").where(F.col("op") != "delete").drop("op")
 
 
 def delete_proposals(

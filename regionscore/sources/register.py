@@ -71,8 +71,13 @@ def read_station_register(
     date = spark.range(1).select(publication_date(F.lit("\n".join(head[:preamble])))).first()[0]
     names = [h.strip().strip('"') for h in head[preamble].split(sep)]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    raw = spark.read.csv(path, schema=schema, sep=sep, encoding=encoding, header=False, multiLine=False, mode="PERMISSIVE")
+    # Quotes inside quoted fields are doubled, and such fields may hold line breaks, so records
+    # are found from the start of the file: one task reads one register.
+    options = {"sep": sep, "header": False, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    if encoding != "UTF-8":
+        # This encoding is outside the reader's standard list; the session setting is needed when the scan runs.
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    raw = spark.read.csv(path, schema=schema, encoding=encoding, **options)
     # The file's own block order, then the row order inside a block.
     ordinal = F.struct(
         F.col("_metadata.file_path").alias("file"),

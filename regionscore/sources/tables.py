@@ -71,7 +71,7 @@ def read_statistics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_plants(spark: SparkSession, path: str, state: str = DEFAULT.region_name) -> DataFrame:
     """Power plants of a state that have an id and a position."""
-    raw = spark.read.csv(path, header=True)
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
     return raw.where(
         (F.col("state") == state) & F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("id").isNotNull()
     ).select(

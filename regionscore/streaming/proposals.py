@@ -8,7 +8,7 @@ batches before it, so a restart neither loses nor doubles a row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -52,22 +52,28 @@ def accept_batch(batch: DataFrame, stored: DataFrame, index: RegionIndex) -> tup
     """``(new accepted proposals, rejected)`` of one batch against what is already stored.
 
     Only a valid proposal uses up its request id, so a corrected retry still gets in. Among valid
-    rows of one request the earliest counts, the lowest id among equals.
+    rows of one request the earliest counts, the lowest id among equals; of rows with one id the
+    earliest request counts. Exactly one row is stored for a request and for an id, however often
+    they are delivered; every other valid row is rejected with its reason.
     """
     known = F.coalesce(is_uuid(F.col("request_id")), F.lit(False))
     valid, rejected = validate_proposals(batch.where(known), index)
-    first = valid.groupBy("request_id").agg(F.min(F.struct("created_at", "id")).alias("f")).select(
-        "request_id", F.col("f.id").alias("id")
-    )
+    content = F.xxhash64(*[F.col(c) for c in valid.columns])
+    by_request = Window.partitionBy("request_id").orderBy("created_at", "id", content)
+    by_id = Window.partitionBy("id", "first").orderBy("created_at", "request_id", content)
+    numbered = valid.withColumn("first", F.row_number().over(by_request) == 1).withColumn("nth_id", F.row_number().over(by_id))
     # The batch is the small side: what is stored is reduced to the ids at hand before anything else.
-    taken = stored.select("request_id").join(first.select("request_id"), "request_id", "left_semi")
-    fresh = first.join(taken, "request_id", "left_anti")
-    accepted = valid.join(fresh, ["request_id", "id"], "left_semi")
-    repeated = valid.join(fresh, ["request_id", "id"], "left_anti").drop("nuts_code", "status")
+    requests = stored.select("request_id").join(valid.select("request_id"), "request_id", "left_semi").distinct().withColumn("old_request", F.lit(True))
+    ids = stored.select("id").join(valid.select("id"), "id", "left_semi").distinct().withColumn("old_id", F.lit(True))
+    marked = numbered.join(requests, "request_id", "left").join(ids, "id", "left")
+    reason = F.when(~F.col("first") | F.col("old_request").isNotNull(), "duplicate_request").when((F.col("nth_id") > 1) | F.col("old_id").isNotNull(), "duplicate_id")
+    judged = marked.withColumn("reason", reason).select(*valid.columns, "reason")
+    accepted = judged.where(F.col("reason").isNull()).drop("reason")
+    repeated = judged.where(F.col("reason").isNotNull()).drop("nuts_code", "status")
     return accepted, (
         rejected.unionByName(
             batch.where(~known).drop("nuts_code").withColumn("reason", F.lit("request_id")), allowMissingColumns=True
-        ).unionByName(repeated.withColumn("reason", F.lit("duplicate_request")), allowMissingColumns=True)
+        ).unionByName(repeated, allowMissingColumns=True)
     )
 
 
