@@ -12,7 +12,8 @@ from regionscore.operators import mapdata as MD
 from regionscore.operators import rollups as RU
 from regionscore.operators import spatial as SP
 from regionscore.operators.quantiles import bounds, exact_percentiles, rank_desc_nulls_last
-from regionscore.operators.scoring import SCORE_MODEL, evaluate_model, score_model
+from queries.model import SCORE_MODEL, sql_values
+from regionscore.operators.scoring import evaluate_model, score_model
 from regionscore.plans import energy as E
 from regionscore.plans import measures as M
 from regionscore.plans import publish as P
@@ -369,6 +370,14 @@ def score_model_bounds(spark, sf):
     return m.where(F.col("indicator").isin("EV Readiness", "Transport Load")).select("indicator", "measure", r("lower_bound"), r("upper_bound"))
 
 
+@query("score_model_terms", f"SELECT *, (SELECT count(*) FROM orders) AS orders FROM {sql_values()}")
+def score_model_terms(spark, sf):
+    """Every term of the published model with its weight, constant, measure, unit and direction."""
+    model = score_model(spark).drop("formula_version", "lower_bound", "upper_bound")
+    known = W.table(spark, sf, "orders").agg(F.count("*").alias("orders"))
+    return model.withColumns({c: F.col(c).cast("double") for c in ("component_weight", "constant_term")}).join(F.broadcast(known))
+
+
 @query("model_evaluation", sql(
     "SELECT nuts_code, 'ev_readiness_score' AS indicator_score, ev_readiness_score::DOUBLE AS expected_score FROM ev UNION ALL SELECT nuts_code, 'charger_deficit_score', charger_deficit_score::DOUBLE FROM ev UNION ALL SELECT nuts_code, 'investment_priority_score', investment_priority_score::DOUBLE FROM ev "
     "UNION ALL SELECT nuts_code, 'transport_load_score', transport_load_score::DOUBLE FROM tm UNION ALL SELECT nuts_code, 'grid_readiness_proxy_score', grid_readiness_proxy_score::DOUBLE FROM gm UNION ALL SELECT nuts_code, 'renewable_context_score', renewable_context_score::DOUBLE FROM rm "

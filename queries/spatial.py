@@ -295,11 +295,12 @@ def outline_topology_report(spark, sf):
 
 
 @query("distance_to_district_outline", sql(
-    "SELECT k, round(sqrt(greatest(0, w - lon, lon - e) ** 2 + greatest(0, s - lat, lat - t) ** 2), 9) AS degrees, (lon BETWEEN w AND e AND lat BETWEEN s AND t) AS covered FROM (SELECT k, lon, lat, (k * 7 % 25)::INTEGER AS j FROM st) q JOIN d ON d.n = q.j WHERE n <> 12", "st", "d"))
+    "SELECT k, round(CASE WHEN inner_point THEN least(lon - hw, he - lon, lat - hs, ht - lat) ELSE sqrt(greatest(0, w - lon, lon - e) ** 2 + greatest(0, s - lat, lat - t) ** 2) END, 9) AS degrees, (lon BETWEEN w AND e AND lat BETWEEN s AND t AND NOT inner_point) AS covered "
+    "FROM (SELECT *, n = 12 AND lon > hw AND lon < he AND lat > hs AND lat < ht AS inner_point FROM (SELECT k, lon, lat, (k * 7 % 25)::INTEGER AS j FROM st) q JOIN d ON d.n = q.j)", "st", "d"))
 def distance_to_district_outline(spark, sf):
     """Planar distance of each station to one district picked by its key (0 inside)."""
     s = W.stations(spark, sf).select("k", "lon", "lat", F.format_string("DEA%02d", F.col("k") * 7 % 25).alias("nuts_code"))
-    joined = s.join(W.prepared(spark, sf).table.select("nuts_code", "geom"), "nuts_code").where(F.col("nuts_code") != "DEA12")
+    joined = s.join(W.prepared(spark, sf).table.select("nuts_code", "geom"), "nuts_code")
     point = G.point(F.col("lon"), F.col("lat"))
     return joined.select(
         big("k"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from queries import world as W
 from queries.registry import big, query, r
-from queries.world import ROAD_CLASSES, normalized, sql
+from queries.world import normalized, sql
 from regionscore.functions import parsing as X
 from regionscore.functions import scores as SC
 from regionscore.operators import rollups as RU
@@ -186,10 +186,10 @@ def score_bins(spark, sf):
     )
 
 
-@query("formatted_values", "SELECT event_id, CASE WHEN v > 0 THEN '+' ELSE '' END || printf('%.1f', v) AS signed, rtrim(rtrim(printf('%.1f', v * 10), '0'), '.') || '%' AS coverage FROM (SELECT event_id, (event_id % 401 - 200) / 10::DOUBLE AS v FROM events) WHERE v <> 0 AND v * 10 % 10 <> 0")
+@query("formatted_values", "SELECT event_id, CASE WHEN v > 0 THEN '+' ELSE '' END || printf('%.1f', v) AS signed, regexp_replace(printf('%.1f', v * 10), '\\.0$', '') || '%' AS coverage FROM (SELECT event_id, (event_id % 401 - 200) / 10::DOUBLE AS v FROM events)")
 def formatted_values(spark, sf):
     v = (F.col("event_id") % 401 - 200) / 10.0
-    t = W.table(spark, sf, "events").select("event_id", v.alias("v")).where((F.col("v") != 0) & (F.col("event_id") % 401 % 10 != 0))
+    t = W.table(spark, sf, "events").select("event_id", v.alias("v"))
     return t.select("event_id", SC.signed_value(F.col("v")).alias("signed"), SC.coverage_percentage(F.col("v") / 10).alias("coverage"))
 
 
@@ -221,11 +221,6 @@ def technology_sums(spark, sf):
     return t.select("l_orderkey", "l_linenumber", capacity.alias("capacity"), total.alias("yield"), unknown.alias("unknown"))
 
 
-@query("road_class_list", f"SELECT c_custkey, {_list(ROAD_CLASSES)}[c_custkey % {len(ROAD_CLASSES)} + 1] AS source_class FROM customer")
-def road_class_list(spark, sf):
-    return W.roads(spark, sf).select(big("k").alias("c_custkey"), F.col("road_class").alias("source_class"))
-
-
 @query("gated_supplier_totals", "SELECT l_suppkey, CASE WHEN count(*) FILTER (WHERE l_returnflag <> 'A') = count(*) THEN sum(l_quantity) END AS total, round(count(*) FILTER (WHERE l_returnflag <> 'A') / count(*)::DOUBLE, 9) AS coverage FROM lineitem GROUP BY l_suppkey")
 def gated_supplier_totals(spark, sf):
     """A sum is published only where everything expected was reported."""

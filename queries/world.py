@@ -10,25 +10,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionscore.functions import geometry as G
-from regionscore.functions.projection import ALPHA, ECCENTRICITY, RECTIFYING, SCALE
 from regionscore.plans import measures as M
 from regionscore.plans import refresh as R
 from regionscore.schemas import SOURCE_SNAPSHOTS
 
 HOLE_DISTRICT = 12
 
+# Constants of the SQL twins' own projection, from the inverse flattening of GRS80 and its major axis.
+INVERSE_FLATTENING, MAJOR_AXIS, SCALE = 298.257222101, 6_378_137.0, 0.9996
+THIRD = 1 / (2 * INVERSE_FLATTENING - 1)
+ECCENTRICITY = (2 / INVERSE_FLATTENING - 1 / INVERSE_FLATTENING**2) ** 0.5
+RECTIFYING = MAJOR_AXIS * (64 + 16 * THIRD**2 + THIRD**4) / (64 * (1 + THIRD))
+ALPHA = (
+    THIRD * (1 / 2 + THIRD * (-2 / 3 + THIRD * (5 / 16 + THIRD * 41 / 180))),
+    THIRD**2 * (13 / 48 + THIRD * (-3 / 5 + THIRD * 557 / 1440)),
+    THIRD**3 * (61 / 240 - THIRD * 103 / 140),
+    THIRD**4 * 49561 / 161280,
+)
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows spread over all cores when the scan has fewer splits than that (a one-group file).
-
-    A scan with enough splits, as any large table has, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """The rows as they were read; the reader decides the splits."""
+    return df
 
 
 def _thousandths(value: Column) -> Column:
