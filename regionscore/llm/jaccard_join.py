@@ -219,14 +219,15 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int
     least_listed = _least(small + 1, num, den)
     lists = (
         chosen.where(F.col("n") >= least_listed)
-        .select(F.explode("prefix").alias("h"), "rep", "n")
+        .select(F.posexplode("prefix").alias("at", "h"), "rep", "n")
         .withColumn("size", F.count("*").over(Window.partitionBy("h")))
         .where("size > 1")
-        .select("h", "rep", "n")
+        .select("h", "rep", "n", "at")
     )
     lists = materialize(lists, "lists")
+    # a set's prefix shingles that any other set's prefix holds: no more than its prefix
+    shared = materialize(lists.groupBy("rep", "n").agg(F.collect_list("h").alias("hs")), "shared")
     links = [materialize(_subsets(chosen.where(F.col("n") <= small).select("rep", "whole"), num, den), "links")] if small else []
-    fits = F.col("n") * den >= F.col("m") * num
     for turn in range(star_rounds):
         placed = _labelled(lists, links)
         # within one size class of a list, the leader has the smallest size that may still fit
@@ -234,7 +235,7 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int
         order = ["n", "rep"] if turn == 0 else [F.xxhash64("rep", F.lit(turn)), F.col("rep")]
         led = placed.withColumn("first", F.first(F.struct("rep", "n", "component")).over(Window.partitionBy("h", step).orderBy(*order)))
         pairs = led.where((F.col("component") != F.col("first.component")) & (F.least("n", "first.n") * den >= F.greatest("n", "first.n") * num)).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(_possible(pairs, shared, num, den), "pairs")
         if pairs.isEmpty():
             break
         new = materialize(_compare(plain, pairs, width, num, den), "links")
@@ -244,11 +245,16 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int
     placed = _labelled(lists, links)
     mixed_lists = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
     left = materialize(placed.join(mixed_lists, "h"), "unsettled")
-    one = left.select("h", F.col("rep").alias("a"), "n", F.col("component").alias("c"))
-    two = left.select("h", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("e"))
-    alike = F.least("n", "m") * den >= F.greatest("n", "m") * num
-    rest = one.join(two, "h").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("e")) & alike).select("a", "b").distinct()
-    links.append(materialize(_compare(plain, materialize(rest, "pairs"), width, num, den), "links"))
+    one = left.select("h", F.col("rep").alias("a"), "n", F.col("component").alias("c"), "at")
+    two = left.select("h", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("e"), F.col("at").alias("to"))
+    # in the list of the first shingle that two sets share, what follows it must suffice
+    enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) * (den + num) >= num * (F.col("n") + F.col("m"))
+    rest = one.join(two, "h").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("e")) & enough).select("a", "b").distinct()
+    rest = materialize(_possible(rest, shared, num, den), "pairs")
+    if not rest.isEmpty():
+        links.append(materialize(_compare(plain, rest, width, num, den), "links"))
+    if not links:
+        links.append(lists.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
     classes = components(_all(links))
     by_set = reps.join(classes, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
     same_key = known.select("key", "d1", "d2", "n").join(by_set, ["d1", "d2", "n"]).groupBy("key").agg(F.min("component_id").alias("component_id"))
@@ -259,6 +265,19 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int
     )
 
 
+def _possible(pairs: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose prefixes share enough for the whole sets to be similar.
+
+    The prefix that ends first holds all shared shingles up to its end; beyond it a set of ``n`` has
+    ``ceil(t n) - 1`` more.
+    """
+    one = shared.select(F.col("rep").alias("a"), F.col("n").alias("n"), F.col("hs").alias("x"))
+    two = shared.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("hs").alias("y"))
+    beyond = F.ceil(F.greatest("n", "m") * num / den) - 1
+    most = F.size(F.array_intersect("x", "y")) + beyond
+    return pairs.join(one, "a").join(two, "b").where(most * (den + num) >= num * (F.col("n") + F.col("m"))).select("a", "b").distinct()
+
+
 def _all(links: list[DataFrame]) -> DataFrame:
     out = links[0]
     for more in links[1:]:
@@ -271,7 +290,7 @@ def _labelled(lists: DataFrame, links: list[DataFrame]) -> DataFrame:
     if not links:
         return lists.withColumn("component", F.col("rep"))
     classes = components(_all(links))
-    return lists.join(classes, F.col("rep") == F.col("node"), "left").select("h", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    return lists.join(classes, F.col("rep") == F.col("node"), "left").select("h", "rep", "n", "at", F.coalesce("component", "rep").alias("component"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, doc: str = "doc_id", text: str = "text") -> DataFrame:
