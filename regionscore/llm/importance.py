@@ -1,7 +1,10 @@
 """Operator 1: quality by importance resampling.
 
 Two generative models over hashed n-grams, one of target text and one of all (raw) text, give
-each document a log importance weight: the sum of the log ratios of its n-grams. N-grams are
+each document a log importance weight: the sum over its n-grams of the log ratio of the target's
+count to the count that the raw model expects there, both plus ``PRIOR``, so that a rare n-gram
+says little. A document's own n-grams are taken off both models first: without that, in a small
+table, every document without a label would look unlike the target. N-grams are
 words and word pairs, and pairs of word shapes (case, trailing marks, and whether the word
 repeats the one before), so that a repetition or shouting is seen whatever the words are.
 Documents are resampled without replacement by Gumbel top-k: the ``k`` largest sums of weight
@@ -25,6 +28,8 @@ from regionscore.llm.common import materialize, ship
 from regionscore.llm.words import ODD_1, WordNumbers, mixed, slices
 
 WORD_BITS, SHAPE_BITS = 15, 14
+#: Added to the observed and to the expected count of an n-gram.
+PRIOR = 30.0
 SPACE = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 _SHAPED: list[WordNumbers] = []
 
@@ -80,29 +85,44 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class ImportanceModel:
-    """Log ratio of target to raw probability for each n-gram index; all zero without target text."""
+    """Counts of each n-gram index in raw and in target text, and the keys of the labelled documents."""
 
-    log_ratio: np.ndarray
+    raw: np.ndarray
+    target: np.ndarray
+    good: frozenset
+    bad: frozenset = frozenset()
 
     @property
     def fitted(self) -> bool:
-        return bool(np.any(self.log_ratio))
-
-
-def _log_share(counts: np.ndarray) -> np.ndarray:
-    out = np.empty(SPACE)
-    for part in (slice(0, 1 << WORD_BITS), slice(1 << WORD_BITS, SPACE)):
-        out[part] = np.log(counts[part] + 1.0) - np.log(counts[part].sum() + len(counts[part]))
-    return out
+        return bool(self.target.any())
+
+    def weights(self, index: np.ndarray, owner: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """The log importance weight of each text, its own n-grams left out of the counts."""
+        out = np.zeros(len(good))
+        if not self.fitted:
+            return out
+        words = index < (1 << WORD_BITS)
+        for part, space in ((words, slice(0, 1 << WORD_BITS)), (~words, slice(1 << WORD_BITS, SPACE))):
+            pair, times = np.unique(owner[part] * SPACE + index[part], return_counts=True)
+            whose, gram = pair // SPACE, pair % SPACE
+            size = np.bincount(whose, weights=times, minlength=len(good))
+            mine = times * good[whose]
+            target, raw = self.target[gram] - mine, self.raw[gram] - times
+            totals = np.maximum(self.target[space].sum() - size * good, 0), np.maximum(self.raw[space].sum() - size, 1)
+            expected = raw * (totals[0] / totals[1])[whose]
+            ratio = np.log(np.maximum(target, 0) + PRIOR) - np.log(np.maximum(expected, 0) + PRIOR)
+            out += np.bincount(whose, weights=ratio * times, minlength=len(good))
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 50_000, doc: str = "doc_id", text: str = "text", quality: str = "quality") -> ImportanceModel:
-    """Count n-grams of all documents and of the ones labelled good (``quality`` = 1)."""
+    """Count n-grams of all documents and of the ones labelled good (``quality`` = 1 in all its labels)."""
     spark = docs.sparkSession
     ship(spark)
-    known = labels.where(F.col(doc).isNotNull() & (F.col(quality) == 1)).select(F.col(doc).alias("key")).distinct()
+    known = labels.where(F.col(doc).isNotNull() & F.col(quality).isin(0, 1)).groupBy(F.col(doc).alias("key")).agg(F.min(quality).alias("quality"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(label_rows).collect()
-    good = spark.sparkContext.broadcast(frozenset(r.key for r in chosen))
+    bad = frozenset(r.key for r in chosen if r.quality == 0)
+    good = spark.sparkContext.broadcast(frozenset(r.key for r in chosen if r.quality == 1))
 
     def count(batches):
         raw, target = np.zeros(SPACE, dtype=np.int64), np.zeros(SPACE, dtype=np.int64)
@@ -120,27 +140,30 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 50_000, doc: str =
     raw, target = np.zeros(SPACE), np.zeros(SPACE)
     for row in counted.groupBy("gram").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most SPACE rows
         raw[row.gram], target[row.gram] = row.raw, row.target
-    return ImportanceModel(_log_share(target) - _log_share(raw) if target.any() else np.zeros(SPACE))
+    return ImportanceModel(raw, target, good.value, bad)
 
 
-def log_weight(spark, model: ImportanceModel, text: str = "text") -> Column:
-    """The log importance weight of a text and its number of n-grams, as a struct."""
+def log_weight(spark, model: ImportanceModel, doc: str = "doc_id", text: str = "text") -> Column:
+    """The log importance weight of a text, its number of n-grams and its label (-1: none), as a struct."""
     ship(spark)
-    ratio = spark.sparkContext.broadcast(model.log_ratio)
+    sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("log_weight double, n_features long")
-    def weigh(texts):
+    @F.pandas_udf("log_weight double, n_features long, label int")
+    def weigh(keys, texts):
         import pandas as pd
 
         weight, number = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+        known = keys.tolist()
         for first, part in slices(texts):
             index, owner = features(part)
             end = first + len(part)
-            weight[first:end] = np.bincount(owner, weights=ratio.value[index], minlength=len(part))
+            good = np.fromiter((k in sent.value.good for k in known[first:end]), dtype=bool, count=len(part))
+            weight[first:end] = sent.value.weights(index, owner, good)
             number[first:end] = np.bincount(owner, minlength=len(part))
-        return pd.DataFrame({"log_weight": weight, "n_features": number})
+        label = np.array([1 if k in sent.value.good else 0 if k in sent.value.bad else -1 for k in known], dtype=np.int32)
+        return pd.DataFrame({"log_weight": weight, "n_features": number, "label": label})
 
-    return weigh(F.col(text).cast("binary"))
+    return weigh(F.col(doc), F.col(text).cast("binary"))
 
 
 def gumbel_key(weight: Column, key: Column, seed: int, scale: float) -> Column:
@@ -182,33 +205,59 @@ def kth_largest(table: DataFrame, column: str, k: int, parts: int = 4096) -> flo
     return low
 
 
-def resample(docs: DataFrame, model: ImportanceModel, k: int | None = None, seed: int = 11, scale: float = 0.05, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, float | None]:
-    """Weights and decisions of all documents, and the key a document needs to stay.
+def least_mean(table: DataFrame) -> float:
+    """The mean weight of an n-gram above which labelled documents are told apart best, to a thousandth.
 
-    Columns: the document, ``n_features``, ``log_weight``, ``gumbel_key``, ``keep``. ``k`` is the
-    number to draw; by default as many as are likelier under the target model than under the
-    raw one. Documents whose key equals the k-th all stay. A text without words has no key and
-    does not stay; without target labels all documents with words stay.
+    Sensitivity and specificity count alike; among equally good places the middle of the widest
+    stretch is taken. Without labels of both kinds it is 0.
+    """
+    mean = F.col("log_weight") / F.col("n_features")
+    step = F.greatest(F.lit(-20_000), F.least(F.lit(20_000), F.floor(mean * 1000))).cast("int")
+    rows = table.where((F.col("label") >= 0) & (F.col("n_features") > 0)).groupBy(step.alias("step"), "label").count().collect()  # at most 80,002
+    good, bad = np.zeros(40_002), np.zeros(40_002)
+    for row in rows:
+        (good if row.label else bad)[row.step + 20_000] += row["count"]
+    if not good.any() or not bad.any():
+        return 0.0
+    # at place i, everything below step i is rejected
+    passed = good[::-1].cumsum()[::-1] / good.sum() + np.concatenate([[0], bad.cumsum()[:-1]]) / bad.sum()
+    best = np.flatnonzero(passed >= passed.max() - 1e-12)
+    runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
+    widest = max(runs, key=len)
+    return float((widest[0] + widest[-1]) // 2 - 20_000) / 1000
+
+
+def resample(docs: DataFrame, model: ImportanceModel, k: int | None = None, seed: int = 11, scale: float = 0.05, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, float | None, float]:
+    """Weights and decisions of all documents, the key a document needs to stay, and the ``least_mean``.
+
+    Columns: the document, ``n_features``, ``log_weight``, ``gumbel_key``, ``keep``. The weight of
+    each n-gram is taken relative to :func:`least_mean`. ``k`` is the number to draw; by default
+    as many as have a weight above 0. Documents whose key equals the k-th all stay. A text without
+    words has no key and does not stay; without target labels all documents with words stay.
     """
     spark = docs.sparkSession
-    scored = docs.select(F.col(doc), log_weight(spark, model, text).alias("w")).select(doc, "w.*")
-    keyed = scored.withColumn("gumbel_key", F.when(F.col("n_features") > 0, gumbel_key(F.col("log_weight"), F.col(doc), seed, scale)))
-    table = materialize(keyed, "importance")
+    scored = docs.select(F.col(doc), log_weight(spark, model, doc, text).alias("w")).select(doc, "w.*")
+    raw = materialize(scored, "importance")
+    least = least_mean(raw)
+    relative = F.col("log_weight") - F.lit(least) * F.col("n_features")
+    table = raw.select(doc, "n_features", relative.alias("log_weight")).withColumn(
+        "gumbel_key", F.when(F.col("n_features") > 0, gumbel_key(F.col("log_weight"), F.col(doc), seed, scale))
+    )
     if k is None:
         wanted = table.where(F.col("n_features") > 0)
         k = wanted.where(F.col("log_weight") > 0).count() if model.fitted else wanted.count()
     needed = kth_largest(table, "gumbel_key", k)
     keep = F.coalesce(F.col("gumbel_key") >= F.lit(needed), F.lit(False)) if needed is not None else F.lit(False)
-    return table.select(doc, "n_features", "log_weight", "gumbel_key", keep.alias("keep")), needed
+    return table.select(doc, "n_features", "log_weight", "gumbel_key", keep.alias("keep")), needed, least
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label_rows: int = 50_000, seed: int = 11, scale: float = 0.05, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the resampling draws, with their columns unchanged."""
     spark = docs.sparkSession
     model = fit(docs, labels, label_rows, doc, text)
-    _, needed = resample(docs, model, None, seed, scale, doc, text)
+    _, needed, least = resample(docs, model, None, seed, scale, doc, text)
     if needed is None:
         return docs.limit(0)
-    weighed = docs.select(*[F.col(c) for c in docs.columns], log_weight(spark, model, text).alias("_w"))
-    key = gumbel_key(F.col("_w.log_weight"), F.col(doc), seed, scale)
+    weighed = docs.select(*[F.col(c) for c in docs.columns], log_weight(spark, model, doc, text).alias("_w"))
+    key = gumbel_key(F.col("_w.log_weight") - F.lit(least) * F.col("_w.n_features"), F.col(doc), seed, scale)
     return weighed.where((F.col("_w.n_features") > 0) & (key >= F.lit(needed))).drop("_w")

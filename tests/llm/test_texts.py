@@ -40,7 +40,7 @@ def test_resampling_separates_held_out_rows(spark):
     model = importance.fit(docs, labels.where("doc_id < 200"))
     rows = importance.resample(docs, model)[0].where("doc_id >= 200").collect()
     assert sum(r.keep == (r.doc_id % 5 != 0) for r in rows) >= 0.97 * len(rows)
-    drawn, needed = importance.resample(docs, model, k=50)
+    drawn, needed, _ = importance.resample(docs, model, k=50)
     kept = drawn.where("keep").collect()
     assert len(kept) == 50 and min(r.gumbel_key for r in kept) == needed
     good = importance.keep_good(docs, labels)
