@@ -116,6 +116,8 @@ def brute_contaminated(texts: dict, items: dict, width: int = 5, similarity: flo
     for k, t in texts.items():
         ws = tokens(t)
         for i, s in sets.items():
+            if not s & runs(ws):
+                continue
             n = len(tokens(items[i]))
             for at in range(max(1, len(ws) - n + 1)):
                 w = runs(ws[at : at + n])
