@@ -28,6 +28,8 @@ from regionscore.llm.words import ODD_1, WordNumbers, mixed, slices
 
 #: Distinct n-grams that one hash partition holds, about.
 PARTITION_GRAMS = 3_000_000
+#: Text of one chunk, about; a longer text is a chunk of its own.
+CHUNK_BYTES = 8_000_000
 _WORDS: list[WordNumbers] = []
 
 
@@ -46,6 +48,17 @@ def _unpacked(payload: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _squeezed(rising: np.ndarray) -> np.ndarray:
+    """Rising numbers as steps, byte by byte: the leading bytes of the steps are all alike and pack well."""
+    steps = np.diff(rising, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(steps.view("u1").reshape(-1, 8).T).ravel()
+
+
+def _restored(packed: np.ndarray) -> np.ndarray:
+    steps = np.ascontiguousarray(packed.reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def _grams(numbers: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The number of the n-gram that ends at each place that has one, and the places."""
     at = np.arange(len(numbers)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -76,7 +89,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             _WORDS.append(WordNumbers())
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for first, texts in slices(batch.column(1).to_pylist()):
+            for first, texts in slices(batch.column(1).to_pylist(), CHUNK_BYTES):
                 numbers, counts = _WORDS[0].of(texts)
                 words, index = np.unique(numbers, return_inverse=True)
                 keys = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(0).slice(first, len(texts)))
@@ -103,7 +116,7 @@ def _totals(chunks: DataFrame, order: int, partitions: int) -> DataFrame:
                     found, times, part, _ = _listed(_grams(numbers, counts, k)[0], partitions)
                     edges = np.searchsorted(part, np.arange(partitions + 1))
                     some = np.flatnonzero(np.diff(edges))
-                    blocks = [_packed(found[edges[p] : edges[p + 1]], times[edges[p] : edges[p + 1]].astype("<u4")) for p in some]
+                    blocks = [_packed(_squeezed(found[edges[p] : edges[p + 1]]), times[edges[p] : edges[p + 1]].astype("<u4")) for p in some]
                     yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk] * len(some), pa.int64()), "k": pa.array([k] * len(some), pa.int32()), "part": pa.array(some, pa.int32()), "payload": pa.array(blocks, pa.binary())})
 
     def summed(batches):
@@ -113,8 +126,8 @@ def _totals(chunks: DataFrame, order: int, partitions: int) -> DataFrame:
             k += batch.column(1).to_pylist()
             part += batch.column(2).to_pylist()
             for payload in batch.column(3).to_pylist():
-                found, n = _unpacked(payload, "<u8", "<u4")
-                grams.append(found)
+                found, n = _unpacked(payload, "u1", "<u4")
+                grams.append(_restored(found))
                 times.append(n)
         if not grams:
             return
