@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionscore.llm.common import ship
-from regionscore.llm.words import ODD_1, ODD_2, WordNumbers, mixed
+from regionscore.llm.words import ODD_1, ODD_2, WordNumbers, kept, mixed
 
 #: One word in so many ends a paragraph, besides line ends.
 WORDS_PER_PARAGRAPH = 4
@@ -28,18 +28,16 @@ WORDS_PER_PARAGRAPH = 4
 PUBLISHED_CELLS, FIRST_CELLS = 8, 16
 #: What tells the three cells of a digest apart.
 STEPS = np.arange(1, 4, dtype=np.uint64) * ODD_1
-_WORDS: list[WordNumbers] = []
 
 
 def digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Paragraph digests of all texts one after another, and the number for each text; distinct within a text."""
-    if not _WORDS:
-        _WORDS.append(WordNumbers())
+    known = kept("words", WordNumbers)
     # a line end becomes a word of its own, so that it ends a paragraph and is part of it
-    numbers, counts = _WORDS[0].of([t.replace(b"\n", b" \x01 ") for t in texts], lower=False)
+    numbers, counts = known.of([t.replace(b"\n", b" \x01 ") for t in texts], lower=False)
     if not len(numbers):
         return np.zeros(0, dtype=np.uint64), counts
-    line = np.uint64(_WORDS[0][b"\x01"])
+    line = np.uint64(known[b"\x01"])
     owner = np.repeat(np.arange(len(counts)), counts)
     ends = (numbers == line) | (mixed(numbers) % np.uint64(WORDS_PER_PARAGRAPH) == 0)
     last = np.ones(len(numbers), dtype=bool)

@@ -25,13 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionscore.llm.common import materialize, ship
-from regionscore.llm.words import ODD_1, WordNumbers, mixed, slices
+from regionscore.llm.words import ODD_1, WordNumbers, kept, mixed, slices
 
 WORD_BITS, SHAPE_BITS = 15, 14
 #: Added to the observed and to the expected count of an n-gram.
 PRIOR = 30.0
 SPACE = (1 << WORD_BITS) + (1 << SHAPE_BITS)
-_SHAPED: list[WordNumbers] = []
 
 
 def _shape(word: bytes) -> int:
@@ -65,9 +64,7 @@ def _number(word: bytes) -> int:
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the n-grams of all texts, and the text each belongs to."""
-    if not _SHAPED:
-        _SHAPED.append(WordNumbers(_number))
-    numbers, counts = _SHAPED[0].of(texts, lower=False)
+    numbers, counts = kept("shaped words", lambda: WordNumbers(_number)).of(texts, lower=False)
     owner = np.repeat(np.arange(len(counts)), counts)
     words, shapes = numbers >> np.uint64(9), numbers & np.uint64(511)
     inner = owner[1:] == owner[:-1]

@@ -30,9 +30,8 @@ from pyspark.sql import types as T
 
 from regionscore.llm.common import materialize, ship
 from regionscore.llm.components import components
-from regionscore.llm.words import ODD_1, WordNumbers, distinct, mixed, slices, windows
+from regionscore.llm.words import WordNumbers, distinct, kept, slices, windows
 
-_WORDS: list[WordNumbers] = []
 #: What comparing two whole sets costs, in rows of an inverted list.
 COMPARISON_ROWS = 50
 #: Sizes up to which subsets are considered at all.
@@ -45,9 +44,7 @@ GROUP_ROWS = 512
 
 def _sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle numbers, the text of each, and the size of each text's set."""
-    if not _WORDS:
-        _WORDS.append(WordNumbers())
-    numbers, owner = distinct(*windows(*_WORDS[0].of(texts), width))
+    numbers, owner = distinct(*windows(*kept("words", WordNumbers).of(texts), width))
     return numbers, owner, np.bincount(owner, minlength=len(texts))
 
 

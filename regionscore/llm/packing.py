@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from regionscore.llm.common import materialize, numbered, positioned, ship
 from regionscore.llm.tokenizing import WordIds
+from regionscore.llm.words import kept
 
-_ENCODERS: dict[str, WordIds] = {}
 
 
 def cuts(n: int, capacity: int, uncut: int) -> list[tuple[int, int]]:
@@ -51,7 +51,7 @@ def token_pieces(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "t
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def cut(batches):
-        encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordIds(path))
+        encode = kept(("word ids", path), lambda: WordIds(path))
         for batch in batches:
             at, start, length, crc, tokens, per = [], [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):

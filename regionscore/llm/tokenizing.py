@@ -20,10 +20,9 @@ NOT_PLAIN = re.compile(f"[^\t\n\r -~{LETTERS}¡¿«»–—‘’“”…€]|<
 ODD_SPACE = re.compile(r"[\t\r]|[ \n]{2}")
 #: Words longer than this are encoded but not remembered.
 LONGEST_CACHED = 64
-MOST_CACHED = 500_000
+MOST_CACHED = 250_000
 
 
-@lru_cache(maxsize=4)
 def tokenizer(path: str):
     import os
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -9,8 +11,8 @@ import numpy as np
 import xxhash
 
 #: Texts are taken in slices of about so many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 8_000_000
-MOST_CACHED = 600_000
+SLICE_BYTES = 4_000_000
+MOST_CACHED = 200_000
 LONGEST_CACHED = 64
 
 ODD_1, ODD_2, ODD_3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -42,6 +44,31 @@ class WordNumbers(dict):
         return numbers, counts
 
 
+_KEPT: dict = {}
+
+
+def kept(name, make):
+    """What a Python worker keeps between tasks under one name; asking for another name drops it.
+
+    Workers outlive the stages they serve, so that what one stage remembered would otherwise
+    lie beside what the next one does.
+    """
+    if _KEPT.get("name") != name:
+        _KEPT.clear()
+        _trim()
+        _KEPT.update(name=name, value=make())
+    return _KEPT["value"]
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Numbers spread over 64 bits, one to one."""
     x = (x ^ (x >> np.uint64(30))) * ODD_2
@@ -49,13 +76,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: Iterable[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
+def slices(texts: Iterable[bytes | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first index, texts) of slices of bounded size; no text counts as an empty one."""
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
         held.append(t or b"")
         size += len(held[-1])
-        if size >= SLICE_BYTES:
+        if size >= limit:
             yield first, held
             first, held, size = i + 1, [], 0
     if held:
