@@ -18,10 +18,12 @@ from pyspark.sql import types as T
 
 from regionscore.llm.common import new_path, numbered, positioned, ship
 from regionscore.llm.tokenizing import WordIds
+from regionscore.llm.words import kept
 
 #: Ends every record, as the text writer puts a line end; two bytes keep 16-bit ids aligned.
 RECORD_END = "\n\n"
-_ENCODERS: dict[str, WordIds] = {}
+#: Up to so many rows of about 100 bytes, one for each file of the working table, are broadcast.
+MOST_FILES = 500_000
 
 
 def _mix(x: np.ndarray, key: int, turn: int) -> np.ndarray:
@@ -66,7 +68,7 @@ def sequences(docs: DataFrame, path: str, length: int, doc: str = "doc_id", text
     schema = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("pieces", T.ArrayType(piece))])
 
     def cut(batches):
-        encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordIds(path))
+        encode = kept(("word ids", path), lambda: WordIds(path))
         end = np.array([end_id], dtype="<u4").tobytes()
         held, held_n, held_pieces = [], 0, []
         for batch in batches:
@@ -104,7 +106,7 @@ def materialise(docs: DataFrame, path: str, out: str, key: int = 20_240_229, len
     """
     spark = docs.sparkSession
     working = new_path(spark, "sequences")
-    sequences(docs, path, length, doc, text, end_id).write.option("compression", "zstd").parquet(working)
+    sequences(docs, path, length, doc, text, end_id).write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}).parquet(working)
     table = positioned(spark.read.parquet(working)).withColumn("all", F.lit(0))
     size = table.count()
     stride = 2 * length + len(RECORD_END)
@@ -142,9 +144,10 @@ def _placed(table: DataFrame, files: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)
-    # one small row per file
+    # one small row per file: broadcast unless there are very many files
+    few = files.count() <= MOST_FILES
     before = files.select(F.col("file").alias("_file"), (F.sum("n").over(order) - F.col("n")).alias("_before"))
-    return table.join(before, F.col("file") == F.col("_file")).withColumn("number", F.col("_before") + F.col("row")).drop("_file", "_before", "all")
+    return table.join(F.broadcast(before) if few else before, F.col("file") == F.col("_file")).withColumn("number", F.col("_before") + F.col("row")).drop("_file", "_before", "all")
 
 
 def read_from(spark: SparkSession, out: str, slot: int, length: int = 2048, per_shard: int = 8192) -> DataFrame:
