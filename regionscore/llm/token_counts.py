@@ -15,10 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionscore.llm.common import ship
+from regionscore.llm.common import materialize, ship
 from regionscore.llm.tokenizing import PieceLengths, split_pieces, tokenizer
-
-_COUNTERS: dict[tuple, PieceLengths] = {}
+from regionscore.llm.words import kept
 
 
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text", sample_rows: int = 20_000, table_size: int = 65_536, longest: int = 32) -> dict[str, int]:
@@ -41,7 +40,17 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text", sample_rows
         yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in best], pa.string()), "n": pa.array([n for _, n in best], pa.int64())})
 
     counted = sample.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    pieces = [r.piece for r in counted.orderBy(F.desc("n"), "piece").limit(table_size).collect()]
+    counted = materialize(counted, "frequent")
+    # the least frequency at which all pieces still fit: few distinct frequencies, so a small table
+    held, least = 0, None
+    for row in counted.groupBy(F.least("n", F.lit(10_000)).alias("f")).count().orderBy(F.desc("f")).collect():
+        held += row["count"]
+        if held > table_size:
+            break
+        least = row.f
+    if least is None:
+        return {}
+    pieces = [r.piece for r in counted.where(F.col("n") >= least).select("piece").collect()]
     library = tokenizer(path)
     return dict(zip(pieces, (len(e.ids) for e in library.encode_batch(pieces, add_special_tokens=False)), strict=True))
 
@@ -54,20 +63,16 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", column: str = "
     """
     spark = docs.sparkSession
     ship(spark)
-    kept = docs.drop(column)
-    lengths = spark.sparkContext.broadcast(frequent_lengths(kept, path, text, **table))
+    rest = docs.drop(column)
+    lengths = spark.sparkContext.broadcast(frequent_lengths(rest, path, text, **table))
 
     @F.pandas_udf("long")
     def n_tokens(texts):
         import pandas as pd
 
-        key = (path, id(lengths.value))
-        counter = _COUNTERS.get(key)
-        if counter is None:
-            _COUNTERS.clear()
-            counter = _COUNTERS[key] = PieceLengths(path, lengths.value)
+        counter = kept(("piece lengths", path, id(lengths.value)), lambda: PieceLengths(path, lengths.value))
         out = [counter(t) for t in texts]
         counter.forget(lengths.value)
         return pd.Series(out, dtype="int64")
 
-    return kept.withColumn(column, n_tokens(F.col(text)))
+    return rest.withColumn(column, n_tokens(F.col(text)))
