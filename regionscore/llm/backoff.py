@@ -24,18 +24,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionscore.llm.common import materialize, ship
-from regionscore.llm.words import ODD_1, WordNumbers, mixed, slices
+from regionscore.llm.words import ODD_1, WordNumbers, kept, mixed, slices
 
 #: Distinct n-grams that one hash partition holds, about.
 PARTITION_GRAMS = 3_000_000
 #: Text of one chunk, about; a longer text is a chunk of its own.
 CHUNK_BYTES = 8_000_000
-_WORDS: list[WordNumbers] = []
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
+def _packed(*arrays: np.ndarray, level: int = 1) -> bytes:
     head = np.array([len(arrays), *(len(a) for a in arrays)], dtype="<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpacked(payload: bytes, *kinds: str) -> list[np.ndarray]:
@@ -85,15 +84,13 @@ def _chunks(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("keys", T.ArrayType(key.dataType)), T.StructField("n_words", T.LongType()), T.StructField("payload", T.BinaryType())])
 
     def cut(batches):
-        if not _WORDS:
-            _WORDS.append(WordNumbers())
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for first, texts in slices(batch.column(1).to_pylist(), CHUNK_BYTES):
-                numbers, counts = _WORDS[0].of(texts)
+                numbers, counts = kept("words", WordNumbers).of(texts)
                 words, index = np.unique(numbers, return_inverse=True)
                 keys = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(0).slice(first, len(texts)))
-                payload = _packed(counts, words, index.astype("<u4"))
+                payload = _packed(counts, words, index.astype("<u4"), level=6)
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), keys, pa.array([len(numbers)], pa.int64()), pa.array([payload], pa.binary())], names=schema.names)
                 number += 1
 
