@@ -99,7 +99,7 @@ def windows(numbers: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.nda
     at = np.arange(len(numbers)) - np.repeat(ends - counts, counts)
     left = np.repeat(counts, counts) - at
     rolled = np.zeros(len(numbers), dtype=np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(numbers))):  # a slice may hold fewer words than one run
         rolled[: len(numbers) - k] = (rolled[: len(numbers) - k] + np.uint64(k + 1)) * ODD_1 + numbers[k:] if k else numbers
     whole = left >= width
     out, text = mixed(rolled[whole]), owner[whole]

@@ -10,6 +10,7 @@ import pytest
 
 from regionscore.llm import decontaminate, jaccard_join
 from regionscore.llm.components import components
+from regionscore.llm.words import WordNumbers, windows
 
 from . import worlds
 
@@ -86,6 +87,22 @@ def test_classes_of_messy_and_empty_tables(spark):
     assert jaccard_join.similarity_classes(worlds.empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("width", [4, 5])
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_a_slice_of_fewer_words_than_a_run(width, n):
+    """One text of ``n`` words in all has one run, the same as beside other texts."""
+    text = " ".join(worlds.words(n, n, 0)).encode()
+    alone, owner = windows(*WordNumbers().of([text]), width)
+    beside, owners = windows(*WordNumbers().of([b"", text, " ".join(worlds.words(9, 40, 0)).encode()]), width)
+    assert len(alone) == 1 and owner.tolist() == [0]
+    assert alone.tolist() == beside[owners == 1].tolist()
+
+
+def test_classes_of_one_short_text(spark):
+    rows = jaccard_join.similarity_classes(worlds.table(spark, {1: "two words"}), width=4, num=85, den=100).collect()
+    assert [r.doc_id for r in rows] == [1]
+
+
 def test_boundary_follows_cost():
     assert jaccard_join.subset_rows(6, 85, 100) == 1 and jaccard_join.subset_rows(7, 85, 100) == 8
     sizes = dict.fromkeys(range(1, 25), 10)
