@@ -1,23 +1,33 @@
 """Operator 8: benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-A window of a document has as many words as a benchmark item. Its SimHash sums, bit by bit, the
-weights of its word shingles. Fingerprints of windows and items of one size are cut into
-``radius + 1`` blocks; two within the radius agree on a block, so an equality join on blocks finds
+A window of a document has as many words as a benchmark item. Its SimHash has 128 bits; each sums,
+over its word shingles, the square root of the shingle's weight times a number that the hash of the
+shingle deals evenly around 0. Fingerprints of windows and items of one size are cut into more than
+``radius`` blocks; two within the radius agree on a block, so an equality join on blocks finds
 all of them. Candidates are verified by the exact weighted Jaccard similarity of their shingles:
 a shingle weighs ``ln(1 + items / items that hold it)``, one that no item holds ``ln(1 + items)``.
 
+With square roots the cosine is ``shared / sqrt(window * item)`` in sums of weights, so at weighted
+Jaccard ``s`` it is at least ``2s / (1 + s)`` whatever the single weights are, and the radius follows
+from ``s`` alone (:func:`safe_radius`).
+
 Windows that hold no shingle of any item have similarity 0 and are not fingerprinted: windows
 start where a shared shingle puts an item's start.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionscore.llm.common import materialize, once
 
-BITS = 64
+BITS = 128
+HALF = 64
+#: Chance that a window just as similar as asked lies outside the radius.
+MISS = 1e-6
 #: Up to so many rows of a side are broadcast (under 64 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -48,39 +58,64 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def safe_radius(similarity: float, miss: float = MISS) -> int:
+    """The least radius that a pair of this weighted Jaccard similarity exceeds with a chance of at most ``miss``.
+
+    Bits are taken to differ as those of normal sums do, by the angle of the pair over pi, and a
+    twentieth more often, since the sums are of few even numbers where a window is short.
+    """
+    share = min(0.5, 1.05 * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
+    beyond = 1.0
+    for radius in range(BITS):
+        beyond -= math.comb(BITS, radius) * share**radius * (1 - share) ** (BITS - radius)
+        if beyond <= miss:
+            return radius
+    return BITS
+
+
 def _simhash(features: DataFrame, keys: list[str]) -> DataFrame:
-    """One 64-bit fingerprint per key from rows of (key, shingle ``h``, weight ``w``)."""
-    def signed(b: int) -> Column:
-        return F.sum(F.when(F.shiftright("h", b).bitwiseAND(F.lit(1)) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"b{b}")
+    """One 128-bit fingerprint (``print0``, ``print1``) per key from rows of (key, shingle ``h``, weight ``w``)."""
+    def dealt(b: int) -> Column:
+        even = F.shiftright(f"g{b // 8}", 8 * (b % 8)).bitwiseAND(F.lit(255)) - F.lit(127.5)
+        return F.sum(F.col("r") * even).alias(f"b{b}")
+
+    # eight bits of hash for each bit of the fingerprint
+    rows = features.select(*keys, F.sqrt("w").alias("r"), *[F.xxhash64("h", F.lit(k)).alias(f"g{k}") for k in range(BITS // 8)])
+    sums = rows.groupBy(*keys).agg(*[dealt(b) for b in range(BITS)])
+
+    def half(first: int) -> Column:
+        out = F.lit(0).cast("bigint")
+        for b in range(HALF):
+            out = out.bitwiseOR(F.when(F.col(f"b{first + b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        return out
 
-    sums = features.groupBy(*keys).agg(*[signed(b) for b in range(BITS)])
-    print_ = F.lit(0).cast("bigint")
-    for b in range(BITS):
-        print_ = print_.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return sums.select(*keys, print_.alias("print"))
+    return sums.select(*keys, half(0).alias("print0"), half(HALF).alias("print1"))
 
 
 def _blocks(prints: DataFrame, radius: int) -> DataFrame:
-    """A row per block of each fingerprint."""
-    width = BITS / (radius + 1)
-    edges = [round(i * width) for i in range(radius + 2)]
+    """A row per block of each fingerprint; both halves are cut alike, into more than ``radius`` blocks in all."""
+    per_half = min(HALF, radius // 2 + 1)
+    edges = [round(i * HALF / per_half) for i in range(per_half + 1)]
     parts = [
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("print", low).bitwiseAND(F.lit((1 << (high - low)) - 1)).alias("value"))
+        F.struct(F.lit(half * per_half + i).alias("block"), F.shiftrightunsigned(f"print{half}", low).bitwiseAND(F.lit((1 << (high - low)) - 1 if high - low < 64 else -1)).alias("value"))
+        for half in (0, 1)
         for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False))
     ]
     return prints.select("*", F.inline(F.array(*parts)))
 
 
 def contaminations(
-    docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 15, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, radius: int | None = None, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """(row, document, item, ``similarity``, ``first_word``, ``n_words``) of every document that holds an item.
 
     ``row`` is a hash of key and text that rows are followed by, so rows without a key, or with a
     repeated one, are told apart by their texts. The best window of each pair is returned, the first
     among equals. Items and documents without words match nothing; a document with fewer words than
-    an item is compared as one window. Empty tables give no rows.
+    an item is compared as one window. Empty tables give no rows. ``radius`` is in bits of 128, by
+    default the :func:`safe_radius` of ``similarity``.
     """
+    radius = safe_radius(similarity) if radius is None else radius
     # items are followed by a hash of name and text, so that one without a name is looked for as well
     named_items = benchmark.select(F.xxhash64(F.col(item), F.col(item_text)).alias("item"), F.col(item).alias("name"), F.col(item_text).alias("text"))
     items = named_items.select("item", _hashed(F.col("text"), width).alias("t")).where(F.col("t.n") > 0).dropDuplicates(["item"])
@@ -107,8 +142,8 @@ def contaminations(
 
     window = ["row", "size", "start"]
     ours = _blocks(_simhash(features, window), radius)
-    theirs = _blocks(_simhash(item_features, ["item", "size"]), radius).withColumnRenamed("print", "item_print")
-    near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius
+    theirs = _blocks(_simhash(item_features, ["item", "size"]), radius).withColumnsRenamed({"print0": "item_print0", "print1": "item_print1"})
+    near = sum((F.bit_count(F.col(f"print{half}").bitwiseXOR(F.col(f"item_print{half}"))) for half in (0, 1)), F.lit(0)) <= radius
     candidates = ours.join(_small(materialize(theirs, "item_blocks")), ["size", "block", "value"]).where(near).select(*window, "item").distinct()
     candidates = materialize(candidates, "candidates")
 
@@ -137,7 +172,7 @@ def contaminations(
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 15, doc: str = "doc_id", text: str = "text", **names) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, radius: int | None = None, doc: str = "doc_id", text: str = "text", **names) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, unchanged."""
     found = contaminations(docs, benchmark, width, similarity, radius, doc, text, **names).select(F.col("row").alias("_row")).distinct()
     found = materialize(found, "contaminated")

@@ -169,6 +169,38 @@ def test_contaminations_are_those_of_all_windows(spark):
     assert {r.doc_id for r in kept.collect()} == set(texts) - {k for k, _ in found}
 
 
+def edited_items(seed: int, n_items: int, shared: int, common: int, copies: int) -> tuple[dict, dict]:
+    """Template items, and texts that hold one of them with one or two words changed.
+
+    ``common`` of ``n_items`` items begin with the same ``shared`` words; a new word weighs more than those.
+    """
+    rng = random.Random(seed)
+    template = worlds.words(seed, shared, 0)
+    items = {i: " ".join((template if i < common else []) + worlds.words(seed * 1000 + i, 3 + rng.randrange(30), 0)) for i in range(n_items)}
+    texts = {}
+    for k in range(copies):
+        inside = items[k % common].split()
+        for at in rng.sample(range(len(inside)), 1 + k % 2):
+            inside[min(at, 2) if k % 3 else -1 - min(at, 3)] = f"new{k}"
+        texts[k] = " ".join([*worlds.words(seed + 50 + k, 12, 0), *inside, *worlds.words(seed + 7 + k, 9, 0)])
+    return items, texts
+
+
+def test_edited_template_items_are_found(spark):
+    items, texts = edited_items(11, 40, 30, 10, 150)
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminations(worlds.table(spark, texts), benchmark).collect()}
+    wanted = brute_contaminated(texts, items)
+    assert len(wanted) > 100 and found == wanted
+
+
+def test_radius_leaves_next_to_none_out():
+    radius = decontaminate.safe_radius(0.8)
+    share = math.acos(0.8 * 2 / 1.8) / math.pi
+    beyond = sum(math.comb(128, r) * share**r * (1 - share) ** (128 - r) for r in range(radius + 1, 129))
+    assert beyond < 1e-6 and decontaminate.safe_radius(0.9) < radius < 64 and decontaminate.safe_radius(1.0) == 0
+
+
 def test_contaminations_of_messy_and_empty_tables(spark):
     messy = worlds.messy(spark)
     benchmark = spark.createDataFrame([(1, "Same text here, word for word, in two rows."), (None, "a row without a key but with a text of some words")], "item_id long, text string")
