@@ -10,8 +10,9 @@ repeats the one before), so that a repetition or shouting is seen whatever the w
 Documents are resampled without replacement by Gumbel top-k: the ``k`` largest sums of weight
 and scaled Gumbel noise stay.
 
-The raw model counts every document. The target model counts the documents labelled good,
-of at most ``label_rows`` labels (those with the smallest hash of their key).
+The raw model counts every document. The target model counts the documents labelled good and not
+toxic, of at most ``label_rows`` labels (those with the smallest hash of their key); a toxic label
+counts as bad whatever its quality.
 """
 
 from __future__ import annotations
@@ -112,11 +113,12 @@ class ImportanceModel:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 50_000, doc: str = "doc_id", text: str = "text", quality: str = "quality") -> ImportanceModel:
-    """Count n-grams of all documents and of the ones labelled good (``quality`` = 1 in all its labels)."""
+def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 50_000, doc: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic") -> ImportanceModel:
+    """Count n-grams of all documents and of the ones labelled good (``quality`` = 1 and never ``toxic`` = 1 in all its labels)."""
     spark = docs.sparkSession
     ship(spark)
-    known = labels.where(F.col(doc).isNotNull() & F.col(quality).isin(0, 1)).groupBy(F.col(doc).alias("key")).agg(F.min(quality).alias("quality"))
+    harmful = F.coalesce(F.col(toxic) == 1, F.lit(False))
+    known = labels.where(F.col(doc).isNotNull() & (F.col(quality).isin(0, 1) | harmful)).groupBy(F.col(doc).alias("key")).agg(F.min(F.when(harmful, 0).otherwise(F.col(quality))).alias("quality"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(label_rows).collect()
     bad = frozenset(r.key for r in chosen if r.quality == 0)
     good = spark.sparkContext.broadcast(frozenset(r.key for r in chosen if r.quality == 1))

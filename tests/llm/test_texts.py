@@ -48,6 +48,15 @@ def test_resampling_separates_held_out_rows(spark):
     assert {r.doc_id for r in good.collect()} == {r.doc_id for r in importance.resample(docs, importance.fit(docs, labels))[0].where("keep").collect()}
 
 
+def test_toxic_labels_are_not_target_text(spark):
+    docs, labels = quality_world(spark)
+    toxic = labels.withColumn("toxic", F.when(F.col("doc_id") % 7 == 0, 1).when(F.col("doc_id") % 7 == 1, None).otherwise(0))
+    toxic = toxic.unionByName(spark.createDataFrame([(3, None, 1), (4, 1, 1)], labels.schema))
+    model = importance.fit(docs, toxic)
+    assert model.good == {k for k in range(400) if k % 5 and k % 7 and k not in (3, 4)}
+    assert model.bad == set(range(400)) - model.good
+
+
 def test_resampling_of_messy_and_empty_tables(spark):
     _, labels = quality_world(spark, 10)
     messy = worlds.messy(spark)
