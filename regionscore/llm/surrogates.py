@@ -25,21 +25,28 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Signora", "
 OPEN = ("Dr", "Prof")
 
 _ADDRESS = "|".join(sorted(MALE + FEMALE + OPEN, key=len, reverse=True))
-_NAME = r"\p{Lu}[\p{L}'’\-]{1,40}"
+# a capital and more; the 's of a possessive is not part of a name
+_NAME = r"\p{Lu}(?=[\p{L}'’\-])\p{L}*+(?:['’\-](?![sS](?!\p{L}))\p{L}++)*+"
+_TOKEN = r"[0-9A-Za-z+/_\-]"
+#: A word that may be a name that the text gives elsewhere after a form of address.
+UNTITLED = rf"(?<![\p{{L}}]){_NAME}(?!\p{{L}})"
 
 #: type -> pattern, in the order in which they are tried
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,6}",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9]{0,63}[A-Fa-f])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])"
-    r"|(?<=(?i:token|secret|password|passwd|api_key|apikey)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[0-9A-Za-z+/_\-]{12,200}",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
+    rf"|(?<=(?i:token|secret|password|passwd|api_key|apikey)[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)(?={_TOKEN}[0-9A-Za-z+/_.\-]{{10}}{_TOKEN}){_TOKEN}++(?:\.{_TOKEN}++)*+",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
+    "ipv6": r"(?<![\p{L}\d:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\d:])"
+    r"|(?<![\p{L}\d:.])(?=[0-9A-Fa-f:]{0,39}\d)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\p{L}\d:])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![\d+])(?:\+?\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3}[ .\-]?\d{3,4}(?!\d)"
     r"|(?<![\d+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)"
-    r"|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
+    r"|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])"
+    r"|(?<!\d)(?<!\d[ .\-])\d{3} \d{3} \d{4}(?! ?\d)",
+    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])|(?<!\d)(?<!\d[ .\-])\d{3} \d{2} \d{4}(?! ?\d)",
     "card": r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)",
-    "person": rf"(?<![\p{{L}}])(?:{_ADDRESS})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<![\p{{L}}])(?iu:{_ADDRESS})\.? {_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(PATTERNS.values())
 
@@ -56,16 +63,15 @@ SYLLABLES = {
 def _kind(mention: Column) -> Column:
     out = None
     for kind, pattern in PATTERNS.items():
-        hit = mention.rlike(f"^(?:{pattern})$") if kind != "secret" else mention.rlike(r"^[0-9A-Za-z+/_\-]{12,200}$") & ~mention.rlike(r"^[0-9 \-]{13,37}$") & ~mention.rlike(f"^(?:{PATTERNS['iban']})$")
+        hit = mention.rlike(f"^(?:{pattern})$") if kind != "secret" else mention.rlike(r"^[0-9A-Za-z+/_.\-]{12,}+$") & mention.rlike(r"[A-Za-z+/_]") & ~mention.rlike(f"^(?:{PATTERNS['iban']})$")
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out.otherwise("secret")
 
 
 def may_hold_entities(text: Column) -> Column:
-    """Cheap test that no text with an entity fails: two digits running, an at sign, an assignment, or a form of address."""
-    out = text.contains("@") | text.rlike(r"\d\d|\d\.\d|[0-9A-Fa-f]{32}")
-    for word in (*MALE, *FEMALE, *OPEN):
-        out = out | text.contains(word)
+    """Cheap test that no text with an entity fails: two digits running, an at sign, an assignment, two or seven colons, or a form of address."""
+    out = text.contains("@") | text.rlike(r"\d\d|\d\.\d|[0-9A-Fa-f]{32}|::|(?:[0-9A-Fa-f]{1,4}:){7}")
+    out = out | text.rlike(rf"(?<![\p{{L}}])(?iu:{_ADDRESS})\.? \p{{Lu}}")
     for word in ("token", "secret", "passw", "api_key", "apikey"):
         out = out | F.contains(F.lower(text), F.lit(word))
     return out
@@ -162,6 +168,7 @@ def _drawn(noise: Column, kind: Column, group: Column, normal: Column, turn: Col
     )
     is_hex = normal.rlike("^[0-9a-f]+$")
     secret = F.array_join(F.transform(chars, lambda c, i: _like(c, noise, i, is_hex)), "")
+    groups = F.array_join(F.transform(chars, lambda c, i: _like(c, noise, i, c != ":")), "")
     quad = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (1 + F.pmod(_byte(noise, i) + 256 * _byte(noise, i + 4), F.lit(254))).cast("string")), ".")
     body = F.substring(normal, F.lit(1), F.length(normal) - 1)
     valid = _check_digit(body) == F.substring(normal, -1, 1)
@@ -172,6 +179,7 @@ def _drawn(noise: Column, kind: Column, group: Column, normal: Column, turn: Col
         F.when(kind == "email", address)
         .when(kind == "secret", secret)
         .when(kind == "ip", quad)
+        .when(kind == "ipv6", groups)
         .when(kind == "iban", F.concat(F.substring(normal, 1, 2), F.substring(plain, F.lit(3), F.length(normal))))
         .when(kind == "card", card)
         .when(kind == "person", named)
@@ -201,6 +209,11 @@ def dictionary(entities: DataFrame, key: str) -> DataFrame:
         table = materialize(kept.unionByName(redrawn), "surrogates")
 
 
+def _named_like(part: Column, surrogate: Column) -> Column:
+    """A name in capitals where the mention is, else with a capital first."""
+    return F.when((F.upper(part) == part) & (F.length(part) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+
+
 def _render(kind: Column, part: Column, surrogate: Column) -> Column:
     """The surrogate in the format of the mention: its separators, capitals and leading country code."""
     digits = F.length(_digits(part))
@@ -219,10 +232,10 @@ def _render(kind: Column, part: Column, surrogate: Column) -> Column:
         F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(surrogate, F.length(F.regexp_replace(F.substring(part, F.lit(1), i + 1), " ", "")), F.lit(1)))), ""
     )
     iban = F.concat(iban, rest(F.length(F.regexp_replace(part, " ", ""))))
-    cased = F.array_join(F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(surrogate, i + 1, F.lit(1)))).otherwise(F.substring(surrogate, i + 1, F.lit(1)))), "")
-    cased = F.concat(cased, rest(F.length(part)))
-    name = F.when((F.upper(part) == part) & (F.length(part) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
-    return F.when(kind.isin("phone", "card", "ssn"), numbers).when(kind == "iban", iban).when(kind == "person", name).when(kind == "ip", surrogate).otherwise(cased)
+    cased = F.array_join(
+        F.zip_with(chars, F.split(surrogate, ""), lambda c, s: F.when(s.isNull(), "").when(c != F.lower(c), F.upper(s)).otherwise(s)), ""
+    )
+    return F.when(kind.isin("phone", "card", "ssn"), numbers).when(kind == "iban", iban).when(kind == "person", _named_like(part, surrogate)).when(kind == "ip", surrogate).otherwise(cased)
 
 
 def replace_entities(docs: DataFrame, key: str, doc: str = "doc_id", text: str = "text", counted: str | None = "n_entities") -> DataFrame:
@@ -238,8 +251,8 @@ def replace_entities(docs: DataFrame, key: str, doc: str = "doc_id", text: str =
     mentions = marked.select("row", F.expr(f"regexp_extract_all(text, {_sql(ANY)}, 0)").alias("mentions")).where(F.size("mentions") > 0).dropDuplicates(["row"])
     found = mentions.select("row", F.posexplode("mentions").alias("place", "mention")).withColumn("kind", _kind(F.col("mention")))
     person = F.col("kind") == "person"
-    address = F.regexp_extract("mention", f"^({_ADDRESS})", 1)
-    gender = F.when(address.isin(*MALE), "m").when(address.isin(*FEMALE), "f").otherwise("o")
+    address = F.lower(F.regexp_extract("mention", f"^((?iu:{_ADDRESS}))", 1))
+    gender = F.when(address.isin(*map(str.lower, MALE)), "m").when(address.isin(*map(str.lower, FEMALE)), "f").otherwise("o")
     pieces = F.when(person, F.split("mention", " ")).otherwise(F.array("mention"))
     parts = found.withColumn("gender", gender).select("row", "place", "kind", "gender", F.size(pieces).alias("n"), F.posexplode(pieces).alias("nth", "part"))
     named = F.col("kind") == "person"
@@ -262,15 +275,28 @@ def replace_entities(docs: DataFrame, key: str, doc: str = "doc_id", text: str =
     shown = F.when(F.col("surrogate").isNull(), F.col("part")).otherwise(_render(F.col("kind"), F.col("part"), F.col("surrogate")))
     by_mention = drawn.select("row", "place", "nth", shown.alias("shown")).groupBy("row", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "shown"))), lambda s: s["shown"]), " ").alias("shown"))
     by_row = by_mention.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "shown"))), lambda s: s["shown"]).alias("_shown"))
-    by_row = materialize(by_row.withColumnRenamed("row", "_row"), "replacements")
+    # a name that a text gives after a form of address is replaced without one as well; a family name goes first
+    names = drawn.where((F.col("kind") == "person") & F.col("surrogate").isNotNull()).groupBy("row", "normal")
+    names = names.agg(F.min_by("surrogate", F.struct(F.col("group") != "s", F.col("group"))).alias("surrogate"))
+    names = names.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("normal", "surrogate"))).alias("_names"))
+    by_row = materialize(by_row.join(names, "row", "left").withColumnRenamed("row", "_row"), "replacements")
     by_row = F.broadcast(by_row) if by_row.count() <= BROADCAST_ROWS else by_row
     joined = kept.join(by_row, row == F.col("_row"), "left")
     gaps = F.split(F.col(text), ANY, -1)
-    opened = joined.withColumn("_gaps", F.when(F.col("_shown").isNotNull(), gaps))
+    words = F.transform(gaps, lambda g: F.regexp_extract_all(g, F.lit(UNTITLED), F.lit(0)))
+    opened = joined.withColumn("_gaps", F.when(F.col("_shown").isNotNull(), gaps)).withColumn("_words", F.when(F.col("_names").isNotNull(), words))
+
+    def shown_gap(g: Column, found: Column) -> Column:
+        new = F.transform(found, lambda w: F.coalesce(_named_like(w, F.try_element_at("_names", F.lower(w))), w))
+        return F.array_join(F.zip_with(F.split(g, UNTITLED, -1), new, lambda between, w: F.concat(between, F.coalesce(w, F.lit("")))), "")
+
+    opened = opened.withColumn("_gaps", F.when(F.col("_names").isNotNull(), F.zip_with("_gaps", "_words", shown_gap)).otherwise(F.col("_gaps")))
+    known_words = F.size(F.filter(F.flatten("_words"), lambda w: F.try_element_at("_names", F.lower(w)).isNotNull()))
+    untitled = F.when(F.col("_names").isNotNull(), known_words).otherwise(0)
     whole = F.concat(F.array_join(F.zip_with(F.slice("_gaps", F.lit(1), F.size("_shown")), F.col("_shown"), lambda g, s: F.concat(g, s)), ""), F.element_at("_gaps", -1))
     changed = F.when(F.col("_shown").isNotNull(), whole).otherwise(F.col(text))
     out = [changed.alias(text) if c == text else F.col(c) for c in kept.columns]
-    number = [F.greatest(F.lit(0), F.coalesce(F.size("_shown"), F.lit(0))).cast("long").alias(counted)] if counted else []
+    number = [F.greatest(F.lit(0), F.coalesce(F.size("_shown") + untitled, F.lit(0))).cast("long").alias(counted)] if counted else []
     return opened.select(*out, *number)
 
 

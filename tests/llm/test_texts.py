@@ -193,6 +193,31 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert again == {k: r.text for k, r in rows.items()} and other[1] != rows[1].text
 
 
+def test_no_part_of_an_entity_stays(spark):
+    long, key = "aB3" * 2000, "0123456789abcdef" * 20
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4"
+    texts = {
+        1: f'password = "{long}" and key {key}.',
+        2: f"token: {jwt}. The end",
+        3: "Dr. John Smith came. Later Smith's friend JOHN left, and Smithson too.",
+        4: "MR. JOHN met mrs. Mary Miller; Miller went",
+        5: "Call 555 123 4567 or 555-123-4567, number 123 45 6789",
+        6: "Hosts 2001:db8:85a3:0:0:8a2e:370:7334, 2001:DB8::1 and 2001:db8::1 at 12:30:45 in std::sort",
+    }
+    rows = {r.doc_id: r for r in surrogates.replace_entities(worlds.table(spark, texts), "k").collect()}
+    out = {k: r.text for k, r in rows.items()}
+    assert len(out[1]) == len(texts[1]) and "aB3aB3" not in out[1] and key[:32] not in out[1] and key[-32:] not in out[1]
+    assert not any(part in out[2] for part in jwt.split(".")) and out[2].endswith(". The end") and out[2].count(".") == 3
+    names = re.fullmatch(r"Dr\. (\w+) (\w+) came\. Later (\w+)'s friend (\w+) left, and Smithson too\.", out[3])
+    assert names and names[2] == names[3] != "Smith" and names[1].upper() == names[4] != "JOHN" and rows[3].n_entities == 3
+    names = re.fullmatch(r"MR\. (\w+) met mrs\. (\w+) (\w+); (\w+) went", out[4])
+    assert names and names[1] != "JOHN" and names[1].isupper() and names[3] == names[4] != "Miller"
+    phones = re.fullmatch(r"Call (\d{3} \d{3} \d{4}) or (\d{3}-\d{3}-\d{4}), number (\d{3} \d{2} \d{4})", out[5])
+    assert phones and phones[1].replace(" ", "-") == phones[2] != "555-123-4567" and phones[3] != "123 45 6789"
+    hosts = re.fullmatch(r"Hosts ([\da-f:]+), (\S+) and (\S+) at 12:30:45 in std::sort", out[6])
+    assert hosts and "2001" not in out[6] and hosts[2].lower() == hosts[3] and hosts[1].count(":") == 7
+
+
 def test_distinct_entities_stay_distinct(spark):
     """Many short numbers and names: draws collide and are drawn again."""
     names = [(k, "person", "m", f"name{k}") for k in range(3000)] + [(k, "email", "", f"{chr(97 + k % 26)}@{chr(97 + k // 26)}.de") for k in range(300)]
