@@ -43,7 +43,7 @@ def region_matches(
     With ``keep_where`` all points stay: those it holds for are looked up, and points in no
     region or not looked up have NULL. With a packed index a point meets one row, so nothing is
     regrouped. Where too many regions pile up in one cell to pack them, candidates are joined
-    one by one and regrouped per point.
+    one by one and regrouped per id and place, so that records that share an id stay apart.
     """
     if keep_where is None:
         located = _with_cell(points, x, y, index.cell)
@@ -70,13 +70,14 @@ def region_matches(
     pairs = (
         located.join(cells, ["cx", "cy"])
         .where(F.col("full") | G.covers_edges(F.col("edges"), F.col(x), F.col(y), metric=index.metric))
-        .groupBy(point_id)
+        .groupBy(F.col(point_id).alias("__point"), F.col(x).alias("__at_x"), F.col(y).alias("__at_y"))
         .agg(F.array_sort(F.collect_set("region")).alias("regions"))
     )
+    # a record without an id is matched like any other
+    same = F.col(point_id).eqNullSafe(F.col("__point")) & (F.col(x) == F.col("__at_x")) & (F.col(y) == F.col("__at_y"))
     if keep_where is None:
-        return points.join(pairs, point_id)
-    named = pairs.withColumnRenamed(point_id, "__point")
-    return points.join(named, (F.col(point_id) == F.col("__point")) & keep_where, "left").drop("__point")
+        return points.join(pairs, same).drop("__point", "__at_x", "__at_y")
+    return points.join(pairs, same & keep_where, "left").drop("__point", "__at_x", "__at_y")
 
 
 def assign_regions(

@@ -49,6 +49,17 @@ def test_crowded_cells_give_the_same_owners(spark, pair_index, pair):
     assert sorted(packed.collect()) == sorted(general.collect())
 
 
+def test_records_that_share_an_id_are_matched_one_by_one(spark, pair_index):
+    points = spark.createDataFrame([("twice", 7.1, 51.1), ("twice", 9.0, 51.2), ("twice", 7.7, 51.2), (None, 7.1, 51.1)], "id string, lon double, lat double")
+    crowded = RI.RegionIndex(pair_index.cells, pair_index.cell, False, packable=False, broadcastable=False)
+    for index in (pair_index, crowded):
+        rows = SP.assign_regions(points, point_id="id", index=index).collect()
+        assert {(r["id"], r["lon"], r["nuts_code"]) for r in rows} == {("twice", 7.1, "DEA01"), ("twice", 7.7, "DEA02"), (None, 7.1, "DEA01")}
+        assert len(rows) == 3
+        asked = SP.region_matches(points, index, "id", keep_where=F.col("lon") < 7.5).collect()
+        assert {(r["id"], r["lon"], tuple(r["regions"] or ())) for r in asked} == {("twice", 7.1, ("DEA01",)), ("twice", 9.0, ()), ("twice", 7.7, ()), (None, 7.1, ("DEA01",))}
+
+
 def test_random_polygons_against_per_row_containment(spark):
     rng = random.Random(5)
     import math
