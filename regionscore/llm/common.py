@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regionscore.storage import materialize, new_path
 
-__all__ = ["documents", "materialize", "new_path", "numbered", "once", "positioned", "ship", "u32"]
+__all__ = ["documents", "key_name", "materialize", "new_path", "numbered", "once", "positioned", "ship", "u32"]
 
 _SHIPPED: set[str] = set()
 
@@ -40,6 +41,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def key_name(doc: str, others: Iterable[str]) -> str:
+    """The name of the key column in a result: its own, or ``key_`` before it while another column has that name."""
+    taken = {c.lower() for c in others}
+    while doc.lower() in taken:
+        doc = f"key_{doc}"
+    return doc
+
+
 def u32(column: Column) -> Column:
     """CRC-32 of the UTF-8 bytes, as an unsigned number in a long; of no text as of an empty one."""
     return F.crc32(F.coalesce(column.cast("binary"), F.lit(b"")))

@@ -143,3 +143,80 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = backoff_scores(documents(spark, sf_dir))
     return scored.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT i, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM d
+),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT i) AS df FROM w GROUP BY ALL),
+vocab AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS total FROM c GROUP BY ALL HAVING sum(df) >= 10),
+langs AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(total) AS HUGEINT) AS n FROM vocab GROUP BY lang),
+k AS (SELECT c.lang, c.source, c.term, CAST(c.n AS HUGEINT) AS n FROM c JOIN vocab USING (lang, term)),
+g AS (
+  SELECT s.lang, s.source, CAST(coalesce(sum(k.n), 0) AS HUGEINT) AS n FROM (SELECT DISTINCT lang, source FROM d) s
+  LEFT JOIN k ON k.lang = s.lang AND k.source = s.source GROUP BY ALL
+),
+p AS (
+  SELECT g.lang, g.source, vocab.term, coalesce(k.n, 0) AS n, 1 + (1000000000 * (coalesce(k.n, 0) + 2)) // (g.n + 2 * l.v) AS p,
+    1 + (1000000000 * (vocab.total + 2)) // (l.n + 2 * l.v) AS q
+  FROM g JOIN langs l ON l.lang = g.lang JOIN vocab ON vocab.lang = g.lang LEFT JOIN k ON k.lang = g.lang AND k.source = g.source AND k.term = vocab.term
+),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(far.value, 0) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+),
+listed AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM listed)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between all sources of each language, and the ten terms that mark each source most."""
+    from regionscore.llm.divergence import divergence_audit
+
+    return divergence_audit(documents(spark, sf_dir))
+
+
+CAPTURES_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, html, list_aggregate([
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (j // 4), 5))::INT >> (15 - 5 * (j % 4))) & 31), 1) FOR j IN range(32)
+    ], 'string_agg', '') AS digest
+  FROM p
+),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM d)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM g
+"""
+
+
+@query("op12_capture_history", CAPTURES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, read back from the archives through their merged index."""
+    from regionscore.llm.warc import capture_history
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    index = capture_history(pages, new_path(spark, "captures"))
+    return index.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of the byte-level and the piece tokenizer over all documents."""
+    from regionscore.llm.alignment import align_tokens
+
+    return align_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
