@@ -170,7 +170,8 @@ def write_archives(pages: DataFrame, out: str, key: str = "page_id", url: str =
     small = records.drop("member").where(F.col("n_bytes") >= least_bytes)
     leaders = small.groupBy("digest", "n_bytes").agg(F.max(F.struct("rank", "record", "key", "url", "at")).alias("leader"), F.count("*").alias("n")).where(F.col("n") > 1)
     revisits = small.select("record", "digest", "n_bytes").join(leaders, ["digest", "n_bytes"]).where(F.col("record") != F.col("leader.record"))
-    chosen = revisits.select("record", F.struct("leader.record", "leader.key", "leader.url", "leader.at").alias("leader"))
+    # written first, so that its size is known: the members are shuffled only where there are many revisits
+    chosen = materialize(revisits.select("record", F.struct("leader.record", "leader.key", "leader.url", "leader.at").alias("leader")), "revisits")
     dealt = records.select("record", "key", "url", "at", "digest", "n_bytes", "member").join(chosen, "record", "left")
     # a revisit carries no payload on
     dealt = dealt.withColumn("member", F.when(F.col("leader").isNull(), F.col("member")))
