@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,10 @@ class Aligner:
         self.b_size = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
         if len(self.a_bytes) > 1 << 16:
             raise ValueError("ids of tokenizer A take more than 16 bits")
+        # the text of a token with what follows it, by id: inside and at the end of its side of a group
+        self.words = [f"{i}{c}" for n, marks in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for c in marks for i in range(n)]
         self.known: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}
 
     def _b_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -90,11 +94,13 @@ class Aligner:
         return parts
 
     def learn(self, parts: set[str]) -> None:
+        """Align what is not known. When the table is full it becomes the one before, from which what is met again is taken over."""
+        if len(self.known) + len(parts) > MOST_CACHED:
+            self.before, self.known = self.known, {}
         new = parts - self.known.keys()
-        if len(self.known) + len(new) > MOST_CACHED:
-            self.known.clear()
-            new = parts
-        if new:
+        again = new & self.before.keys()
+        self.known.update((p, self.before[p]) for p in again)
+        if new := new - again:
             listed = sorted(new)
             self.known.update(zip(listed, self.align(listed), strict=True))
 
@@ -108,32 +114,44 @@ class Aligner:
         """For each part: numbers of A and B tokens and groups, its links as ``b << 16 | a``, its groups as text."""
         a_ids = [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
         b_ids = self.b.encode(parts, num_threads=1)
-        fine = []
-        for p, x, y in zip(parts, a_ids, b_ids, strict=True):
-            raw = (" " + p).encode()
-            fine.append(b"".join([self.a_bytes[i] for i in x]) == raw and b"".join([self.b_bytes[i] for i in y]) == raw)
-        kept_parts = [i for i, ok in enumerate(fine) if ok]
-        a_n, b_n = (np.array([len(ids[i]) for i in kept_parts], dtype=np.int64) for ids in (a_ids, b_ids))
-        a = np.array([t for i in kept_parts for t in a_ids[i]], dtype=np.int64)
-        b = np.array([t for i in kept_parts for t in b_ids[i]], dtype=np.int64)
+        raw = [(" " + p).encode() for p in parts]
+        a_n, b_n, size = (np.fromiter(map(len, x), dtype=np.int64, count=len(parts)) for x in (a_ids, b_ids, raw))
+        a, b = (np.fromiter(chain.from_iterable(x), dtype=np.int64, count=int(n.sum())) for x, n in ((a_ids, a_n), (b_ids, b_n)))
+        fine = self._gives(a, a_n, self.a_size, self.a_bytes, raw, size) & self._gives(b, b_n, self.b_size, self.b_bytes, raw, size)
+        if not fine.all():
+            a, b = a[np.repeat(fine, a_n)], b[np.repeat(fine, b_n)]
+            a_n, b_n = a_n * fine, b_n * fine
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])  # the parts one after another
         a_start, b_start = a_end - self.a_size[a], b_end - self.b_size[b]
         a_group, b_group = coalesced(a_start, a_end, b_start, b_end)
         link_a, link_b = overlaps(a_start, a_end, b_start, b_end)
-        links = (b[link_b] << 16 | a[link_a]).astype("<u4")
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups = int(a_group[-1]) + 1 if len(a) else 0
-        a_edge, b_edge = np.searchsorted(a_group, np.arange(groups + 1)).tolist(), np.searchsorted(b_group, np.arange(groups + 1)).tolist()
-        group_text = [",".join(a_text[a_edge[g] : a_edge[g + 1]]) + "|" + ",".join(b_text[b_edge[g] : b_edge[g + 1]]) for g in range(groups)]
-        a_to = np.cumsum(a_n)
-        link_to = np.searchsorted(link_a, a_to).tolist()
-        group_to = (a_group[a_to - 1] + 1).tolist() if len(a) else []
-        out: list[tuple | None] = [None] * len(parts)
-        for k, i in enumerate(kept_parts):
-            g0, l0 = (group_to[k - 1], link_to[k - 1]) if k else (0, 0)
-            out[i] = (int(a_n[k]), int(b_n[k]), group_to[k] - g0, links[l0 : link_to[k]].tobytes(), ";".join(group_text[g0 : group_to[k]]))
+        links = (b[link_b] << 16 | a[link_a]).astype("<u4").tobytes()
+        a_last, b_last = (np.append(g[1:] != g[:-1], True)[: len(g)] for g in (a_group, b_group))
+        index = np.concatenate([a + a_last * len(self.a_bytes), 2 * len(self.a_bytes) + b + b_last * len(self.b_bytes)])
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        text = [self.words[i] for i in index[order].tolist()]
+        a_to, b_to = np.cumsum(a_n), np.cumsum(b_n)
+        link_to = 4 * np.searchsorted(link_a, a_to)
+        group_to = np.append(a_group + 1, 0)[a_to - 1]  # parts without tokens at the beginning get the 0
+        rows = zip(fine.tolist(), a_n.tolist(), b_n.tolist(), np.diff(group_to, prepend=0).tolist(), link_to.tolist(), (a_to + b_to).tolist(), strict=True)
+        out: list[tuple | None] = []
+        link, token = 0, 0
+        for ok, n_a, n_b, groups, link_end, token_end in rows:
+            out.append((n_a, n_b, groups, links[link:link_end], "".join(text[token:token_end])[:-1]) if ok else None)
+            link, token = link_end, token_end
         return out
 
+    @staticmethod
+    def _gives(ids: np.ndarray, number: np.ndarray, sizes: np.ndarray, table: list[bytes], raw: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each part give its bytes."""
+        ends = np.concatenate([[0], np.cumsum(sizes[ids])])
+        to = np.cumsum(number)
+        same = ends[to] - ends[to - number] == size
+        joined = [table[i] for i in ids.tolist()]
+        if same.all() and b"".join(joined) == b"".join(raw):
+            return same
+        return same & np.array([b"".join(joined[t - n : t]) == r for t, n, r in zip(to.tolist(), number.tolist(), raw, strict=True)], dtype=bool)
+
     def of(self, text: str | None, parts: list[str]) -> tuple[int, int, int, bytes, str]:
         """The whole text; nothing where the tokens do not give its bytes back."""
         if not text:

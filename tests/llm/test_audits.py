@@ -251,6 +251,7 @@ def test_alignment_over_chunks_and_a_small_cache(spark, monkeypatch):
         parts = aligner.parts(t)
         aligner.learn(set(parts))
         assert aligner.of(t, parts)[:3] == plain_alignment([t])[0][:3]
+        aligner.forget(set(parts))
 
 
 def test_general_intervals():
