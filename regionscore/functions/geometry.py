@@ -217,6 +217,45 @@ def covers_edges(edge_array: Column, x: Column, y: Column, *, metric: bool = Fal
     return F.exists(edge_array, lambda e: on_edge(e, x, y, metric=metric)) | odd
 
 
+def _turn(e: Column, x: Column, y: Column) -> Column:
+    return (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
+
+
+def passes_east(e: Column, x: Column, y: Column) -> Column:
+    """Whether the edge's line is east of ``(x, y)`` at that height (strictly)."""
+    turn = _turn(e, x, y)
+    return F.when(e["by"] > e["ay"], turn > 0).otherwise(turn < 0)
+
+
+def _below(e: Column, x: Column, y: Column) -> Column:
+    """Whether going up the line at ``x`` to ``(x, y)`` passes the edge, which spans ``x``.
+
+    On the edge itself a rising edge is not passed yet, so that this agrees with :func:`passes_east`.
+    """
+    turn = _turn(e, x, y)
+    s = F.when(e["ax"] < e["bx"], turn).otherwise(-turn)
+    rising = F.when(e["ax"] < e["bx"], e["by"] > e["ay"]).otherwise(e["ay"] > e["by"])
+    return (s > 0) | ((s == 0) & ~rising)
+
+
+def odd_in_cell(edge_array: Column, odd: Column, east: Column, south: Column, x: Column, y: Column) -> Column:
+    """Whether the ray going east from ``(x, y)`` meets an odd number of a region's edges.
+
+    Only the edges that touch the point's cell are needed: ``odd`` says it for the cell's corner ``(east, south)``.
+    From there the way leads up the east side, over the edges that cross it, and then west
+    to the point, over the edges between. Ends of edges count half-open, as for a ray.
+    """
+    up = F.filter(
+        edge_array,
+        lambda e: ((e["ax"] > east) != (e["bx"] > east)) & (_below(e, east, y) != _below(e, east, south)),
+    )
+    west = F.filter(
+        edge_array,
+        lambda e: ((e["ay"] > y) != (e["by"] > y)) & passes_east(e, x, y) & ~passes_east(e, east, y),
+    )
+    return ((F.size(up) + F.size(west)) % 2 == 1) != odd
+
+
 def covers(geom: Column, x: Column, y: Column, *, metric: bool = False) -> Column:
     return covers_edges(edges(geom), x, y, metric=metric)
 
@@ -274,12 +313,14 @@ def distance(left: Column, right: Column) -> Column:
     return F.when(inside, 0.0).otherwise(F.array_min(pairs))
 
 
-def covered_fraction(ax, ay, bx, by, t0, t1, edge_array, *, metric: bool = True) -> Column:
+def covered_fraction(ax, ay, bx, by, t0, t1, edge_array, *, metric: bool = True, inside=None) -> Column:
     """Share of a segment's parameter range ``[t0, t1]`` that lies in a polygon's closed area.
 
     The segment is cut wherever it meets an edge (parallel edges cut it at their ends), and a
-    piece counts when its midpoint is covered, so a piece along a border counts.
+    piece counts when its midpoint is covered, so a piece along a border counts. ``inside(x, y)``
+    decides that where the edges alone do not.
     """
+    inside = inside or (lambda x, y: covers_edges(edge_array, x, y, metric=metric))
     sx, sy = bx - ax, by - ay
     norm = F.nullif(sx * sx + sy * sy, F.lit(0.0))
 
@@ -308,9 +349,7 @@ def covered_fraction(ax, ay, bx, by, t0, t1, edge_array, *, metric: bool = True)
 
         def share(piece: Column) -> Column:
             mid = (piece["a"] + piece["b"]) / 2.0
-            return F.when(
-                covers_edges(edge_array, ax + mid * sx, ay + mid * sy, metric=metric), piece["b"] - piece["a"]
-            ).otherwise(0.0)
+            return F.when(inside(ax + mid * sx, ay + mid * sy), piece["b"] - piece["a"]).otherwise(0.0)
 
         return _sum(pieces, share)
 

@@ -1,30 +1,37 @@
 """Nearest feature in metres, exact, without pairing everything with everything.
 
-The features are binned into fine cells; most origins are settled by the nine cells around them.
-For the others, one feature per occupied cell, and per coarser cell above it, gives an upper
-bound of the distance; only the fine cells that reach inside that bound can hold the answer, and
-only their features are measured. The fine cell is chosen from the data so that no cell is crowded.
+The features are cut into cells of a grid. A cell that holds too many of them is cut again, and again,
+where it is crowded and nowhere else; so every leaf of this quadtree (sixteen children a node) has few
+features, whatever places they crowd in. Most origins are settled by the nine cells around them.
+
+The others descend the tree, all of them one level at a time: a node carries the tight box of its
+features, which gives the least distance any of them can have and, since every side of a tight box
+is touched by one, a distance that one of them does have at most. The smallest of the latter bounds the
+answer and is tightened at every level; nodes farther than the bound are left behind. An origin
+thus meets a few nodes a level, however far away or crowded the features are.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionscore.functions.geometry import EDGE_FIELDS, point_segment_distance
-from regionscore.operators.region_index import cell_of, edge_cells
+from regionscore.operators.region_index import cell_of, segment_pieces
 from regionscore.storage import materialize
 
-EARTH_SPAN_M = 4.1e7
+#: Children of a node along each axis.
 STEP = 4
-MAX_FEATURES_PER_CELL = 256
-SMALLEST_CELL_M = 1.0
+MAX_FEATURES_PER_LEAF = 64
+SMALLEST_CELL_M = 1e-3
+BOX = ("x0", "y0", "x1", "y1")
 
 
 def suggest_cell(segments: DataFrame) -> float:
-    """A cell holding a few features on average, made finer while any cell is crowded."""
+    """A cell holding a few features on average, no shorter than the average feature."""
     mid_x, mid_y = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
     w, h, n, longest = segments.agg(
         F.max(mid_x) - F.min(mid_x),
@@ -34,28 +41,100 @@ def suggest_cell(segments: DataFrame) -> float:
     ).first()
     if not n:
         return 1000.0
-    cell = max(SMALLEST_CELL_M, 2.0 * math.sqrt(max(w, 1.0) * max(h, 1.0) / n), longest or 0.0)
-    while cell > SMALLEST_CELL_M:
-        places = segments.select(cell_of(mid_x, cell).alias("cx"), cell_of(mid_y, cell).alias("cy"), *EDGE_FIELDS)
-        crowd = places.groupBy("cx", "cy").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        if crowd <= MAX_FEATURES_PER_CELL:
+    return max(SMALLEST_CELL_M, 2.0 * math.sqrt(max(w, 1.0) * max(h, 1.0) / n), longest or 0.0)
+
+
+@dataclass(frozen=True)
+class Quadtree:
+    """Leaves ``(level, px, py, feature, edge, box)``; a cell of ``level`` is ``cell * STEP ** level`` wide.
+
+    Level 0 is the grid; crowded cells continue at negative levels, and ``crowded(px, py)`` lists those of level 0.
+    """
+
+    cell: float
+    bottom: int
+    leaves: DataFrame
+    crowded: DataFrame | None
+
+    def size(self, level: int) -> float:
+        return self.cell * STEP**level
+
+
+def _pieces(segments: DataFrame, size: float, feature_id: str) -> DataFrame:
+    """The features of each cell of one size, with the box of the part inside the cell."""
+
+    def at(a: str, b: str, t: str) -> Column:
+        return F.col(a) + F.col(t) * (F.col(b) - F.col(a))
+
+    cut = segment_pieces(segments, size).where("t0 <= t1")
+    xs, ys = [[at(a, b, t) for t in ("t0", "t1")] for a, b in (("ax", "bx"), ("ay", "by"))]
+    box = (F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
+    return cut.select(
+        F.col("cx").alias("px"), F.col("cy").alias("py"), feature_id, *EDGE_FIELDS, *[c.alias(n) for n, c in zip(BOX, box, strict=True)]
+    )
+
+
+def build_quadtree(segments: DataFrame, feature_id: str, cell: float, most: int = MAX_FEATURES_PER_LEAF) -> Quadtree:
+    """Cut segments into cells, and crowded cells into smaller ones until none has more than ``most`` features.
+
+    Each round reads the features of crowded cells alone. Distinct features in one place cannot be told apart by
+    cells; there the smallest cell ends the division.
+    """
+    pieces = materialize(_pieces(segments, cell, feature_id), "pieces")
+    leaves, first, level = [], None, 0
+    while True:
+        full = pieces.groupBy("px", "py").agg(F.count("*").alias("n")).where(F.col("n") > most).select("px", "py")
+        finer = cell * STEP ** (level - 1)
+        crowded = materialize(full, "crowded") if finer >= SMALLEST_CELL_M else None
+        if crowded is None or not crowded.limit(1).count():
+            leaves.append(pieces.withColumn("level", F.lit(level)))
             break
-        cell = max(cell / 8.0, SMALLEST_CELL_M)
-    return cell
+        first = crowded if first is None else first
+        leaves.append(pieces.join(crowded, ["px", "py"], "left_anti").withColumn("level", F.lit(level)))
+        parents = pieces.join(crowded, ["px", "py"], "left_semi")
+        parents = parents.select(F.col("px").alias("ux"), F.col("py").alias("uy"), feature_id, *EDGE_FIELDS)
+        # of the cells a feature passes, those inside the crowded one; its other cells have it too
+        cut = _pieces_within(parents, finer, feature_id)
+        pieces, level = materialize(cut, "pieces"), level - 1
+    out = leaves[0]
+    for more in leaves[1:]:
+        out = out.unionByName(more)
+    return Quadtree(cell, level, out, first)
+
 
+def _pieces_within(parents: DataFrame, size: float, feature_id: str) -> DataFrame:
+    tagged = parents.withColumn(feature_id, F.struct(F.col(feature_id).alias("f"), "ux", "uy"))
+    cut = _pieces(tagged, size, feature_id)
+    inside = (F.floor(F.col("px") / STEP) == F.col(f"{feature_id}.ux")) & (F.floor(F.col("py") / STEP) == F.col(f"{feature_id}.uy"))
+    return cut.where(inside).withColumn(feature_id, F.col(f"{feature_id}.f"))
 
-def _to_segment(prefix: str = "") -> Column:
-    return point_segment_distance(F.col("x"), F.col("y"), *[F.col(prefix + f) for f in EDGE_FIELDS])
 
+def _to_segment() -> Column:
+    return point_segment_distance(F.col("x"), F.col("y"), *[F.col(f) for f in EDGE_FIELDS])
 
-def _box_distance(cell: float) -> Column:
-    """Distance from the origin point to the closed box of its candidate cell."""
 
-    def gap(value: str, key: str) -> Column:
-        low = F.col(key) * F.lit(cell)
-        return F.greatest(low - F.col(value), F.col(value) - (low + F.lit(cell)), F.lit(0.0))
+def _least(box: Column) -> Column:
+    """Distance from the origin to a box: nothing in it is nearer."""
+    dx = F.greatest(box["x0"] - F.col("x"), F.col("x") - box["x1"], F.lit(0.0))
+    dy = F.greatest(box["y0"] - F.col("y"), F.col("y") - box["y1"], F.lit(0.0))
+    return F.hypot(dx, dy)
 
-    return F.hypot(gap("x", "cx"), gap("y", "cy"))
+
+def _most(box: Column) -> Column:
+    """A distance that some feature in a tight box has at most.
+
+    Each side is touched; the feature touching the nearer side of one axis is no farther than that side's far end.
+    """
+    x, y = F.col("x"), F.col("y")
+    near_x = F.least(F.abs(x - box["x0"]), F.abs(x - box["x1"]))
+    near_y = F.least(F.abs(y - box["y0"]), F.abs(y - box["y1"]))
+    far_x = F.greatest(F.abs(x - box["x0"]), F.abs(x - box["x1"]))
+    far_y = F.greatest(F.abs(y - box["y0"]), F.abs(y - box["y1"]))
+    return F.least(F.hypot(near_x, far_y), F.hypot(far_x, near_y))
+
+
+def _within(distance: Column, bound: Column) -> Column:
+    return distance <= bound * (1 + 1e-9) + 1e-6
 
 
 def nearest(
@@ -73,38 +152,38 @@ def nearest(
     ``segments`` is ``(feature_id, ax, ay, bx, by)`` in metres. Features equally near are
     decided by the lowest id. Several features in one place are first reduced to that lowest id.
     """
-    # Written once: read by the choice of the cell and by both searches.
+    # Written once: read by the choice of the cell and by the division.
     segments = materialize(segments.groupBy(*EDGE_FIELDS).agg(F.min(feature_id).alias(feature_id)), "features")
-    cell = cell or suggest_cell(segments)
+    tree = build_quadtree(segments, feature_id, cell or suggest_cell(segments))
     places = origins.select(F.col(origin_id), F.col(x).alias("x"), F.col(y).alias("y"))
-    fine = edge_cells(segments, cell, cell * 1e-9)
-    close = materialize(_in_block(places, fine, origin_id, feature_id, cell), "nearest")
+    close = materialize(_in_block(places, tree, origin_id, feature_id), "nearest")
     open_ = F.col("distance_m").isNull() | (F.col("distance_m") > F.col("reach"))
     settled = close.where(~open_).drop("reach", "x", "y")
-    rest = close.where(open_).select(origin_id, "x", "y")
+    rest = close.where(open_)
     if not rest.limit(1).count():
         return settled
-    far = _beyond(rest, fine, origin_id, feature_id, cell)
-    unanswered = F.lit(None).cast(close.schema[feature_id].dataType).alias(feature_id), F.lit(None).cast("double").alias("distance_m")
-    none = rest.join(far, origin_id, "left_anti").select(origin_id, *unanswered)
-    return settled.unionByName(far).unionByName(none)
+    found = descend(rest.select(origin_id, "x", "y", F.col("distance_m").alias("bound")), tree, origin_id, feature_id)
+    answers = rest.select(origin_id).join(found, origin_id, "left").select(*settled.columns)
+    return settled.unionByName(answers)
 
 
-def _in_block(places: DataFrame, fine: DataFrame, origin_id: str, feature_id: str, cell: float) -> DataFrame:
-    """The nearest feature among the 3 x 3 cells around each origin.
+def _in_block(places: DataFrame, tree: Quadtree, origin_id: str, feature_id: str) -> DataFrame:
+    """The nearest feature among the uncrowded ones of the 3 x 3 cells around each origin.
 
-    It is the answer when it is no farther than ``reach``, the distance to the block's border.
+    It is the answer when it is no farther than ``reach``, the distance to the block's border; next to a
+    crowded cell nothing is settled.
     """
+    cell = tree.cell
     col, row = cell_of(F.col("x"), cell), cell_of(F.col("y"), cell)
     around = (
-        places.withColumn("cx", F.explode(F.sequence(col - 1, col + 1)))
-        .withColumn("cy", F.explode(F.sequence(row - 1, row + 1)))
-    )
-    best = (
-        around.join(fine, ["cx", "cy"])
-        .groupBy(origin_id)
-        .agg(F.min(F.struct(_to_segment().alias("d"), F.col(feature_id).alias("f"))).alias("best"))
+        places.withColumn("px", F.explode(F.sequence(col - 1, col + 1)))
+        .withColumn("py", F.explode(F.sequence(row - 1, row + 1)))
     )
+    here = tree.leaves.where("level = 0").select("px", "py", feature_id, *EDGE_FIELDS, F.lit(False).alias("crowded"))
+    if tree.crowded is not None:
+        here = here.unionByName(tree.crowded.withColumn("crowded", F.lit(True)), allowMissingColumns=True)
+    seen = F.when(~F.col("crowded"), F.struct(_to_segment().alias("d"), F.col(feature_id).alias("f")))
+    best = around.join(here, ["px", "py"]).groupBy(origin_id).agg(F.min(seen).alias("best"), F.max("crowded").alias("crowded"))
 
     def gap(value: str) -> Column:
         inner = F.col(value) - cell_of(F.col(value), cell) * F.lit(cell)
@@ -116,61 +195,66 @@ def _in_block(places: DataFrame, fine: DataFrame, origin_id: str, feature_id: st
         "y",
         F.col("best.f").alias(feature_id),
         F.col("best.d").alias("distance_m"),
-        F.least(gap("x"), gap("y")).alias("reach"),
+        F.when(F.coalesce("crowded", F.lit(False)), F.lit(-1.0)).otherwise(F.least(gap("x"), gap("y"))).alias("reach"),
     )
 
 
-def _beyond(places: DataFrame, fine: DataFrame, origin_id: str, feature_id: str, cell: float) -> DataFrame:
-    """Nearest feature of origins whose own block does not settle it, through coarser cells."""
-    levels = max(1, math.ceil(math.log(EARTH_SPAN_M / cell, STEP)))
-    sample = [F.any_value(f).alias(f) for f in EDGE_FIELDS]
-    occupied = fine.groupBy("cx", "cy").agg(*sample)
-    up = F.pow(F.lit(float(STEP)), F.col("level"))
-    leveled = occupied.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns(
-        {"px": F.floor(F.col("cx") / up).cast("bigint"), "py": F.floor(F.col("cy") / up).cast("bigint")}
-    )
-    pyramid = leveled.groupBy("level", "px", "py").agg(*sample)
-
-    around = (
-        places.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-        .withColumn("dx", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-        .withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-        .withColumns(
-            {
-                "px": F.floor(F.col("x") / (up * cell)).cast("bigint") + F.col("dx"),
-                "py": F.floor(F.col("y") / (up * cell)).cast("bigint") + F.col("dy"),
-            }
-        )
-        .drop("dx", "dy")
-    )
-    bound = (
-        around.join(pyramid, ["level", "px", "py"])
-        .groupBy(origin_id, "x", "y")
-        .agg((F.min(_to_segment()) * (1 + 1e-9) + 1e-6).alias("reach"))
+def _nodes(tree: Quadtree) -> tuple[DataFrame, int]:
+    """All nodes with their tight boxes, and the level at which at most 5 x 5 of them hold everything."""
+    leaf = tree.leaves.groupBy("level", "px", "py").agg(
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
     )
-    # The coarsest level needed: there the circle of the bound meets at most 3 x 3 cells.
-    level = F.greatest(
-        F.lit(0), F.ceil(F.log(F.greatest(F.col("reach") / cell, F.lit(1e-12))) / math.log(STEP)).cast("int")
+    leaf = materialize(leaf, "leaf_nodes")
+    span = leaf.agg(F.greatest(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0"))).first()[0]
+    top = 0
+    while span is not None and span > tree.size(top) * STEP:
+        top += 1
+    up = F.pow(F.lit(float(STEP)), F.col("at") - F.col("level"))
+    every = leaf.withColumn("at", F.explode(F.sequence(F.col("level"), F.lit(top)))).select(
+        "at", (F.col("at") == F.col("level")).alias("leaf"), F.floor(F.col("px") / up).alias("px"), F.floor(F.col("py") / up).alias("py"), *BOX
     )
-    size = F.pow(F.lit(float(STEP)), F.col("level")) * cell
-
-    def span(value: str) -> Column:
-        low = F.floor((F.col(value) - F.col("reach")) / size).cast("bigint")
-        high = F.floor((F.col(value) + F.col("reach")) / size).cast("bigint")
-        return F.explode(F.sequence(low, high))
-
-    parents = bound.withColumn("level", level).withColumn("px", span("x")).withColumn("py", span("y"))
-    reachable = parents.join(leveled, ["level", "px", "py"]).where(_box_distance(cell) <= F.col("reach"))
-    tight = reachable.groupBy(origin_id).agg((F.min(_to_segment()) * (1 + 1e-9) + 1e-6).alias("tight"))
-    candidates = (
-        reachable.select(origin_id, "x", "y", "cx", "cy")
-        .join(tight, origin_id)
-        .where(_box_distance(cell) <= F.col("tight"))
-        .drop("tight")
+    nodes = every.groupBy(F.col("at").alias("level"), "px", "py").agg(
+        F.bool_or("leaf").alias("leaf"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
     )
-    return (
-        candidates.join(fine, ["cx", "cy"])
-        .groupBy(origin_id)
-        .agg(F.min(F.struct(_to_segment().alias("d"), F.col(feature_id).alias("f"))).alias("best"))
-        .select(origin_id, F.col("best.f").alias(feature_id), F.col("best.d").alias("distance_m"))
+    return materialize(nodes, "nodes"), top
+
+
+def descend(places: DataFrame, tree: Quadtree, origin_id: str, feature_id: str, *, visited: list | None = None) -> DataFrame:
+    """The nearest feature of each of ``places(origin, x, y, bound)``; ``bound`` is a distance known to some feature, or NULL.
+
+    ``visited`` receives the nodes met at each level (for tests).
+    """
+    nodes, top = _nodes(tree)
+    node = F.struct("px", "py", "leaf", *BOX)
+    children = (
+        nodes.where(F.col("level") < top)
+        .groupBy((F.col("level") + 1).alias("level"), F.floor(F.col("px") / STEP).alias("px"), F.floor(F.col("py") / STEP).alias("py"))
+        .agg(F.collect_list(node).alias("kids"))
     )
+    children = materialize(children, "children")
+    roots = nodes.where(F.col("level") == top).agg(F.collect_list(node).alias("kids"))  # one row of at most 25 nodes
+    known = places.withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    usable = known.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    frontier = _closer(usable.crossJoin(F.broadcast(roots)), origin_id).withColumn("level", F.lit(top))
+    by_origin = Window.partitionBy(origin_id)
+    for level in range(top, tree.bottom, -1):
+        if visited is not None:
+            visited.append(frontier)
+        below = children.where(F.col("level") == level).drop("level")
+        met = frontier.where(~F.col("leaf")).drop("leaf", "level", *BOX).join(below, ["px", "py"]).drop("px", "py")
+        down = _closer(met, origin_id).withColumn("level", F.lit(level - 1))
+        # leaves met above wait for the end
+        frontier = down.unionByName(frontier.where("leaf")) if level <= 0 else down
+        frontier = frontier.withColumn("bound", F.min("bound").over(by_origin)).where(_within(_least(F.struct(*BOX)), F.col("bound")))
+    if visited is not None:
+        visited.append(frontier)
+    measured = frontier.select(origin_id, "x", "y", "level", "px", "py").join(tree.leaves.select("level", "px", "py", feature_id, *EDGE_FIELDS), ["level", "px", "py"])
+    best = measured.groupBy(origin_id).agg(F.min(F.struct(_to_segment().alias("d"), F.col(feature_id).alias("f"))).alias("best"))
+    return best.select(origin_id, F.col("best.f").alias(feature_id), F.col("best.d").alias("distance_m"))
+
+
+def _closer(met: DataFrame, origin_id: str) -> DataFrame:
+    """Nodes among ``kids`` that may hold the answer, one row each, with the bound they give."""
+    bound = F.least(F.col("bound"), F.array_min(F.transform("kids", _most)))
+    near = met.withColumn("bound", bound).withColumn("kids", F.filter("kids", lambda k: _within(_least(k), F.col("bound"))))
+    return near.select(origin_id, "x", "y", "bound", F.explode("kids").alias("k")).select(origin_id, "x", "y", "bound", "k.*")

@@ -11,22 +11,20 @@ from regionscore.functions import geometry as G
 from regionscore.functions.projection import project_utm, with_utm
 from regionscore.operators.nearest import nearest
 from regionscore.operators.region_index import (
+    KEY,
     RegionIndex,
+    _anchors,
     build_index,
     cell_of,
     edge_cells,
     edge_rows,
     region_cells,
+    segment_pieces,
 )
 
 
-def _with_cell(points: DataFrame, x: str, y: str, cell: float) -> DataFrame:
-    usable = G.finite(F.col(x)) & G.finite(F.col(y))
-    return points.where(usable).withColumns({"cx": cell_of(F.col(x), cell), "cy": cell_of(F.col(y), cell)})
-
-
-def _covered(candidate: Column, x: Column, y: Column, metric: bool) -> Column:
-    return candidate["full"] | G.covers_edges(candidate["edges"], x, y, metric=metric)
+def _usable(x: str, y: str) -> Column:
+    return G.finite(F.col(x)) & G.finite(F.col(y))
 
 
 def region_matches(
@@ -41,43 +39,41 @@ def region_matches(
     """Every point that lies in some region, with ``regions``: the sorted ids that cover it.
 
     With ``keep_where`` all points stay: those it holds for are looked up, and points in no
-    region or not looked up have NULL. With a packed index a point meets one row, so nothing is
-    regrouped. Where too many regions pile up in one cell to pack them, candidates are joined
+    region or not looked up have NULL. A point meets one row, the packed regions of its cell, so nothing is
+    regrouped. In the cells where too many regions pile up to pack them, candidates are joined
     one by one and regrouped per id and place, so that records that share an id stay apart.
     """
-    if keep_where is None:
-        located = _with_cell(points, x, y, index.cell)
-    else:
-        asked = keep_where & G.finite(F.col(x)) & G.finite(F.col(y))
-        cell = {k: F.when(asked, cell_of(F.col(c), index.cell)) for k, c in (("cx", x), ("cy", y))}
-        located = points.withColumns(cell)
-    if index.packable:
-        joined = located.join(index.packed(), ["cx", "cy"], "inner" if keep_where is None else "left")
-        # Most cells have one candidate, and most of those are full: no array work for them.
-        several = F.array_sort(
-            F.transform(
-                F.filter("candidates", lambda c: _covered(c, F.col(x), F.col(y), index.metric)), lambda c: c["region"]
-            )
-        )
-        hits = (
-            F.when(F.col("full"), F.array("region"))
-            .when(F.col("candidates").isNotNull(), several)
-            .when(G.covers_edges(F.col("edges"), F.col(x), F.col(y), metric=index.metric), F.array("region"))
+    asked = _usable(x, y) if keep_where is None else keep_where & _usable(x, y)
+    located = index.located(points if keep_where is not None else points.where(asked), x, y, asked)
+    packed, crowded = index.packed()
+    at = F.col(x), F.col(y)
+    joined = located.join(packed, list(KEY), "left")
+    # Most cells have one candidate, and most of those are full: no array work for them.
+    several = F.array_sort(
+        F.transform(
+            F.filter("candidates", lambda c: c["full"] | index.covers(c["edges"], c["odd"], *at)), lambda c: c["region"]
         )
-        matched = joined.withColumn("regions", hits).drop("cx", "cy", "region", "full", "edges", "candidates")
-        return matched.where(F.size("regions") > 0) if keep_where is None else matched
-    cells = index.unpacked()
-    pairs = (
-        located.join(cells, ["cx", "cy"])
-        .where(F.col("full") | G.covers_edges(F.col("edges"), F.col(x), F.col(y), metric=index.metric))
-        .groupBy(F.col(point_id).alias("__point"), F.col(x).alias("__at_x"), F.col(y).alias("__at_y"))
-        .agg(F.array_sort(F.collect_set("region")).alias("regions"))
     )
-    # a record without an id is matched like any other
-    same = F.col(point_id).eqNullSafe(F.col("__point")) & (F.col(x) == F.col("__at_x")) & (F.col(y) == F.col("__at_y"))
-    if keep_where is None:
-        return points.join(pairs, same).drop("__point", "__at_x", "__at_y")
-    return points.join(pairs, same & keep_where, "left").drop("__point", "__at_x", "__at_y")
+    hits = (
+        F.when(F.col("full"), F.array("region"))
+        .when(F.col("candidates").isNotNull(), several)
+        .when(index.covers(F.col("edges"), F.col("odd"), *at), F.array("region"))
+    )
+    matched = joined.withColumn("regions", hits).drop("region", "full", "edges", "odd", "candidates")
+    if crowded.limit(1).count():
+        pairs = (
+            located.where(F.col("cx").isNotNull())
+            .join(crowded, list(KEY))
+            .where(F.col("full") | index.covers(F.col("edges"), F.col("odd"), *at))
+            .groupBy(F.col(point_id).alias("__point"), F.col(x).alias("__at_x"), F.col(y).alias("__at_y"))
+            .agg(F.array_sort(F.collect_set("region")).alias("__several"))
+        )
+        # a record without an id is matched like any other
+        same = F.col(point_id).eqNullSafe(F.col("__point")) & (F.col(x) == F.col("__at_x")) & (F.col(y) == F.col("__at_y"))
+        matched = matched.join(pairs, same & F.col("cx").isNotNull(), "left")
+        matched = matched.withColumn("regions", F.coalesce("__several", "regions")).drop("__point", "__at_x", "__at_y", "__several")
+    matched = matched.drop(*KEY)
+    return matched.where(F.size("regions") > 0) if keep_where is None else matched
 
 
 def assign_regions(
@@ -120,11 +116,11 @@ def in_any_region(
 ) -> DataFrame:
     """Points covered by at least one region: membership in the union without building it."""
     index = index or build_index(regions, region_id, geom)
-    located = _with_cell(points, x, y, index.cell).alias("p")
-    cells = index.unpacked().alias("c")
-    inside = F.col("c.full") | G.covers_edges(F.col("c.edges"), F.col(f"p.{x}"), F.col(f"p.{y}"), metric=index.metric)
-    on = (F.col("p.cx") == F.col("c.cx")) & (F.col("p.cy") == F.col("c.cy")) & inside
-    return located.join(cells, on, "left_semi").drop("cx", "cy")
+    located = index.located(points.where(_usable(x, y)), x, y)
+    cells = index.cells.select(*[F.col(c).alias(f"__{c}") for c in index.cells.columns])
+    inside = F.col("__full") | index.covers(F.col("__edges"), F.col("__odd"), F.col(x), F.col(y))
+    on = (F.col("depth") == F.col("__depth")) & (F.col("cx") == F.col("__cx")) & (F.col("cy") == F.col("__cy")) & inside
+    return located.join(cells, on, "left_semi").drop(*KEY)
 
 
 def count_in_regions(
@@ -151,24 +147,6 @@ def count_in_regions(
     return regions.select(region_id).join(rolled, region_id, "left")
 
 
-def _clip_range(cell: float) -> tuple[Column, Column]:
-    """Parameter range of an edge inside the closed box of its cell (Liang-Barsky)."""
-    lows, highs = [F.lit(0.0)], [F.lit(1.0)]
-    for a, b, c in (("ax", "bx", "cx"), ("ay", "by", "cy")):
-        start, step = F.col(a), F.nullif(F.col(b) - F.col(a), F.lit(0.0))
-        enter = (F.col(c) * F.lit(cell) - start) / step
-        leave = ((F.col(c) + 1) * F.lit(cell) - start) / step
-        lows.append(F.least(enter, leave))
-        highs.append(F.greatest(enter, leave))
-    return F.greatest(*lows), F.least(*highs)
-
-
-def segment_pieces(segments: DataFrame, cell: float) -> DataFrame:
-    """Segments cut by the grid: one row per cell passed, with the parameter range inside it."""
-    t0, t1 = _clip_range(cell)
-    return edge_cells(segments, cell, cell * 1e-9).withColumns({"t0": t0, "t1": t1})
-
-
 def _touches(index: RegionIndex) -> Column:
     """Whether a segment piece and its candidate region share a point."""
     ax, ay, bx, by = (F.col(f) for f in G.EDGE_FIELDS)
@@ -179,10 +157,22 @@ def _touches(index: RegionIndex) -> Column:
             ax, ay, bx, by, e["ax"], e["ay"], e["bx"], e["by"], slack=G.BORDER_TOLERANCE
         ),
     )
-    mid_covered = G.covers_edges(F.col("edges"), ax + mid * (bx - ax), ay + mid * (by - ay), metric=index.metric)
+    mid_covered = index.covers(F.col("edges"), F.col("odd"), ax + mid * (bx - ax), ay + mid * (by - ay))
     return F.col("full") & (F.col("t0") <= F.col("t1")) | meets | (F.col("t0") <= F.col("t1")) & mid_covered
 
 
+def containing(features: DataFrame, feature_id: str, anchors: DataFrame, *, geom: str = "geom") -> DataFrame | None:
+    """``(region, feature)`` for polygon features that cover a position of ``anchors(region, x, y)``; None without polygons."""
+    areas = features.where(F.col(f"{geom}.type").isin("Polygon", "MultiPolygon"))
+    if not areas.limit(1).count():
+        return None
+    found = assign_regions(
+        anchors.withColumnRenamed("region", "__region"), point_id="__region", region_id="feature", x="x", y="y", ambiguous="all",
+        index=build_index(areas, feature_id, geom),
+    )
+    return found.select(F.col("__region").alias("region"), "feature").distinct()
+
+
 def intersect_pairs(
     features: DataFrame,
     feature_id: str,
@@ -194,12 +184,16 @@ def intersect_pairs(
 ) -> DataFrame:
     """Distinct ``(region, feature)`` pairs of features of any kind that meet a region.
 
-    A feature meets a region when one of its edges touches the region; a polygon feature that
-    contains a whole region is not looked for (assets are smaller than regions). ``keep``
-    columns of the feature travel along, so the features need not be joined again.
+    A feature meets a region when one of its edges touches the region, or when it is a polygon around a part of the
+    region: then it covers any position of that part, so one position of each is looked up among the
+    polygon features. ``keep`` columns of the feature travel along, so the features need not be joined again.
     """
-    pieces = segment_pieces(edge_rows(features, [feature_id, *keep], geom), index.cell)
-    hits = pieces.join(index.unpacked(), ["cx", "cy"]).where(_touches(index))
+    pieces = index.cut(edge_rows(features, [feature_id, *keep], geom))
+    hits = pieces.join(index.cells, list(KEY)).where(_touches(index)).select("region", feature_id, *keep)
+    around = containing(features, feature_id, index.anchors, geom=geom)
+    if around is not None:
+        named = around.withColumnRenamed("feature", feature_id)
+        hits = hits.unionByName(named.join(features.select(feature_id, *keep), feature_id) if keep else named)
     return (
         hits.groupBy(F.col("region").alias(region_id), feature_id)
         .agg(F.lit(True).alias("__met"), *[F.first(c).alias(c) for c in keep])
@@ -230,8 +224,8 @@ def clip_lengths(
     segments = edge_rows(lines, [line_id, *keep], geom)
 
     touching = (
-        segment_pieces(segments, index.cell)
-        .join(index.unpacked(), ["cx", "cy"])
+        index.cut(segments)
+        .join(index.cells, list(KEY))
         .where(_touches(index))
         .select("region", line_id, *keep, F.lit(True).alias("meets"), F.lit(0.0).alias("metres"))
     )
@@ -240,11 +234,15 @@ def clip_lengths(
     )
     ax, ay, bx, by = (F.col(f) for f in G.EDGE_FIELDS)
     t0, t1 = F.col("t0"), F.col("t1")
-    share = F.when(F.col("full"), t1 - t0).otherwise(G.covered_fraction(ax, ay, bx, by, t0, t1, F.col("edges")))
+
+    def inside(px: Column, py: Column) -> Column:
+        return metric_index.covers(F.col("edges"), F.col("odd"), px, py)
+
+    share = F.when(F.col("full"), t1 - t0).otherwise(G.covered_fraction(ax, ay, bx, by, t0, t1, F.col("edges"), inside=inside))
     measured = (
-        segment_pieces(flat, metric_index.cell)
+        metric_index.cut(flat)
         .where(t1 > t0)
-        .join(metric_index.unpacked(), ["cx", "cy"])
+        .join(metric_index.cells, list(KEY))
         .select(
             "region", line_id, *keep, F.lit(False).alias("meets"), (F.hypot(bx - ax, by - ay) * share).alias("metres")
         )
@@ -274,18 +272,28 @@ def metre_segments(features: DataFrame, feature_id: str, geom: str = "geom") ->
 
 
 def _near_cells(edges: DataFrame, cells: DataFrame, metres: float, cell: float) -> tuple[DataFrame, DataFrame]:
-    """Cells wholly within the margin, and for the rest the edges that may be within it."""
-    touched = edge_cells(edges, cell, cell * 1e-9).select("cx", "cy").distinct()
-    inner = touched.unionByName(cells.select("cx", "cy")).distinct()
-    reach = cell_of(F.lit(metres), cell) + 1
-    spread = (
-        edge_cells(edges, cell, cell * 1e-9)
-        .withColumn("dx", F.explode(F.sequence(-reach, reach)))
-        .withColumn("dy", F.explode(F.sequence(-reach, reach)))
-        .select((F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), *G.EDGE_FIELDS)
-        .distinct()
+    """Cells wholly within the margin, and for the rest the edges that may be within it.
+
+    An edge is spread over the cells that the box of its part in a cell reaches, and dropped where it is farther than
+    the margin from the cell.
+    """
+    pieces = segment_pieces(edges, cell).where("t0 <= t1")
+    inner = pieces.select("cx", "cy").unionByName(cells.select("cx", "cy")).distinct()
+
+    def ends(a: str, b: str) -> list[Column]:
+        return [F.col(a) + F.col(t) * (F.col(b) - F.col(a)) for t in ("t0", "t1")]
+
+    xs, ys = ends("ax", "bx"), ends("ay", "by")
+    box = pieces.select(
+        *G.EDGE_FIELDS, F.least(*xs).alias("x0"), F.greatest(*xs).alias("x1"), F.least(*ys).alias("y0"), F.greatest(*ys).alias("y1")
+    )
+    spread = box.withColumn("cx", F.explode(F.sequence(cell_of(F.col("x0") - metres, cell), cell_of(F.col("x1") + metres, cell)))).withColumn(
+        "cy", F.explode(F.sequence(cell_of(F.col("y0") - metres, cell), cell_of(F.col("y1") + metres, cell)))
     )
-    outer = spread.join(inner, ["cx", "cy"], "left_anti")
+    gap_x = F.greatest(F.col("cx") * F.lit(cell) - F.col("x1"), F.col("x0") - (F.col("cx") + 1) * F.lit(cell), F.lit(0.0))
+    gap_y = F.greatest(F.col("cy") * F.lit(cell) - F.col("y1"), F.col("y0") - (F.col("cy") + 1) * F.lit(cell), F.lit(0.0))
+    near = spread.where(F.hypot(gap_x, gap_y) <= metres * (1 + 1e-9)).join(inner, ["cx", "cy"], "left_anti")
+    outer = near.select("cx", "cy", *G.EDGE_FIELDS).distinct()
     return inner, outer
 
 
@@ -303,7 +311,8 @@ def within_distance(
 
     Cells are small enough that any cell an edge passes lies wholly inside the margin. Only the
     cells around them need a distance, and that is a semi-join: the first edge close enough ends
-    the search, whatever the number of features in a cell.
+    the search, whatever the number of features in a cell. A polygon feature around a region may have
+    no edge near it; it covers a position of the region.
     """
     cell = metres / 2.0
     metric = regions.select(F.col(region_id).alias("region"), F.col(projected).alias("__g"))
@@ -322,7 +331,11 @@ def within_distance(
     near = p.join(
         o, (F.col("p.cx") == F.col("o.cx")) & (F.col("p.cy") == F.col("o.cy")) & close, "left_semi"
     ).select(feature_id)
-    return features.join(sure.unionByName(near).distinct(), feature_id, "left_semi")
+    found = sure.unionByName(near)
+    around = containing(features, feature_id, _anchors(regions, region_id, geom), geom=geom)
+    if around is not None:
+        found = found.unionByName(around.select(F.col("feature").alias(feature_id)))
+    return features.join(found.distinct(), feature_id, "left_semi")
 
 
 def with_region_measures(regions: DataFrame, *, geom: str = "geom") -> DataFrame:

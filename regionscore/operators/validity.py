@@ -150,6 +150,7 @@ def _nesting(rings: DataFrame) -> DataFrame:
         F.col("region.ring").alias("outer_ring"),
         "full",
         "edges",
+        "odd",
     )
     vertices = rings.select("region", "part", "ring", F.explode(F.array_distinct("line")).alias("p")).select(
         "region",
@@ -162,7 +163,7 @@ def _nesting(rings: DataFrame) -> DataFrame:
     )
     x, y = F.col("x"), F.col("y")
     on = F.exists("edges", lambda e: G.on_edge(e, x, y))
-    odd = F.size(F.filter("edges", lambda e: G.ray_crosses(e, x, y))) % 2 == 1
+    odd = G.odd_in_cell(F.col("edges"), F.col("odd"), (F.col("cx") + 1) * F.lit(cell), F.col("cy") * F.lit(cell), x, y)
     other = (F.col("part") != F.col("outer_part")) | (F.col("ring") != F.col("outer_ring"))
     inside = (
         vertices.join(cells, ["region", "cx", "cy"])

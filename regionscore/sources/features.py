@@ -12,6 +12,7 @@ from regionscore.config import DEFAULT, RegionConfig
 from regionscore.functions.geojson import geojson_is_valid, geometry_from_json
 from regionscore.functions.parsing import first_text, iso_date, traffic_observation, valid_position_json
 from regionscore.operators.relational import split_valid
+from regionscore.sources.splits import collection_features
 
 _GEOMETRY = T.StructType(
     [
@@ -38,18 +39,13 @@ def read_feature_collection(
 ) -> DataFrame:
     """One row per feature: ``type, id, properties<strings>, geometry<type, raw coordinates>``.
 
-    ``lines`` reads one feature per line, which splits and parallelizes; a single document is
-    one record of one task, as any JSON document is.
+    ``lines`` reads one feature per line. A single document is read by as many tasks as it has splits,
+    however its lines are broken.
     """
     one = feature_schema(properties)
     if lines:
         return spark.read.schema(one).json(path)
-    document = T.StructType([T.StructField("type", T.StringType()), T.StructField("features", T.ArrayType(one))])
-    documents = spark.read.schema(document).json(path, multiLine=True)
-    wrong = documents.where((F.col("type") != "FeatureCollection") | F.col("type").isNull() | F.col("features").isNull())
-    if wrong.limit(1).count():
-        raise ValueError(f"{path} is not a GeoJSON FeatureCollection")
-    return documents.select(F.inline("features"))
+    return collection_features(spark, path).select(F.from_json("feature", one).alias("f")).select("f.*")
 
 
 def read_features(

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regionscore.sources.splits import decoded
+
 # Sources whose sidecar goes by another name.
 SIDECAR_NAMES = {
     "bnetza_ladesaeulenregister": "bnetza_charging_register_nrw",
@@ -99,7 +101,7 @@ def format_report(files: DataFrame) -> DataFrame:
     readable = F.when(is_register & ~mark, F.lit("")).otherwise(
         F.when(F.is_valid_utf8(body.cast("string")), F.lit("")).otherwise(F.lit(None))
     )
-    text = F.when(is_register & ~mark, F.decode("content", "windows-1252")).otherwise(body.cast("string"))
+    text = F.when(is_register & ~mark, decoded(F.col("content"), "windows-1252")).otherwise(body.cast("string"))
     parsed = F.try_parse_json(text)
     collection = F.coalesce(
         (F.try_variant_get(parsed, "$.type", "string") == "FeatureCollection")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from regionscore.config import DEFAULT, RegionConfig
 from regionscore.functions.parsing import (
@@ -14,6 +13,7 @@ from regionscore.functions.parsing import (
     point_count,
     publication_date,
 )
+from regionscore.sources.splits import read_csv
 
 PREAMBLE_LINES = 10
 UTF8_MARK = b"\xef\xbb\xbf"
@@ -62,7 +62,8 @@ def read_station_register(
 
     The column names come from the line after the preamble, so the scan itself needs no header:
     preamble and header rows do not carry the state and drop out with the state filter.
-    ``ordinal`` orders the records as the file does.
+    ``ordinal`` orders the records as the file does. Splits of a file are read in parallel, line breaks
+    in quoted fields included.
     """
     encoding = _mark_of(spark, path)
     head = _head(spark, path, encoding, preamble + 1)
@@ -70,21 +71,7 @@ def read_station_register(
         raise ValueError("station register has no header line")
     date = spark.range(1).select(publication_date(F.lit("\n".join(head[:preamble])))).first()[0]
     names = [h.strip().strip('"') for h in head[preamble].split(sep)]
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    # Quotes inside quoted fields are doubled, and such fields may hold line breaks, so records
-    # are found from the start of the file: one task reads one register.
-    options = {"sep": sep, "header": False, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    if encoding != "UTF-8":
-        # This encoding is outside the reader's standard list; the session setting is needed when the scan runs.
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    raw = spark.read.csv(path, schema=schema, encoding=encoding, **options)
-    # The file's own block order, then the row order inside a block.
-    ordinal = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    raw = raw.select("*", ordinal.alias("ordinal"))
+    raw = read_csv(spark, path, [f"c{i}" for i in range(len(names))], sep=sep, encoding=encoding, skip_first=False)
     place = {name: f"c{i}" for i, name in reversed(list(enumerate(names)))}
 
     def text(name: str) -> Column:

@@ -12,6 +12,7 @@ from regionscore.functions.parsing import district_key, finite_or_null, first_te
 from regionscore.operators.quality import population_problems, unique_or_raise
 from regionscore.operators.relational import last_by_order
 from regionscore.operators.rollups import CAPACITY_SUFFIX, YIELD_SUFFIX, sum_known, sum_yield
+from regionscore.sources.splits import header_of, read_csv
 
 POPULATION_SOURCE = "Eurostat demo_r_pjanaggr3"
 ENERGY_SOURCE = "LANUK NRW Energieatlas"
@@ -71,7 +72,7 @@ def read_statistics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_plants(spark: SparkSession, path: str, state: str = DEFAULT.region_name) -> DataFrame:
     """Power plants of a state that have an id and a position."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    raw = read_csv(spark, path, header_of(spark, path))
     return raw.where(
         (F.col("state") == state) & F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("id").isNotNull()
     ).select(
@@ -261,7 +262,7 @@ def read_catalogs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Source catalogs merged by dataset id; where both name one, the later catalog wins whole."""
     merged = None
     for order, path in enumerate(paths):
-        table = spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("catalog_order", F.lit(order))
+        table = read_csv(spark, path, header_of(spark, path)).drop("ordinal").withColumn("catalog_order", F.lit(order))
         merged = table if merged is None else merged.unionByName(table, allowMissingColumns=True)
     return last_by_order(merged, "dataset_id", "catalog_order").drop("catalog_order")
 

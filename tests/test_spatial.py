@@ -1,5 +1,7 @@
 """Spatial operators against brute force and the small worlds."""
 
+import dataclasses
+import math
 import random
 
 import pytest
@@ -43,7 +45,7 @@ def test_containment(spark, pair_index):
 
 def test_crowded_cells_give_the_same_owners(spark, pair_index, pair):
     points = spark.createDataFrame(POINTS, "id string, lon double, lat double")
-    crowded = RI.RegionIndex(pair_index.cells, pair_index.cell, False, packable=False, broadcastable=False)
+    crowded = dataclasses.replace(pair_index, most_packed=0)
     packed = SP.assign_regions(points, point_id="id", index=pair_index).select("id", "nuts_code")
     general = SP.assign_regions(points, point_id="id", index=crowded).select("id", "nuts_code")
     assert sorted(packed.collect()) == sorted(general.collect())
@@ -51,7 +53,7 @@ def test_crowded_cells_give_the_same_owners(spark, pair_index, pair):
 
 def test_records_that_share_an_id_are_matched_one_by_one(spark, pair_index):
     points = spark.createDataFrame([("twice", 7.1, 51.1), ("twice", 9.0, 51.2), ("twice", 7.7, 51.2), (None, 7.1, 51.1)], "id string, lon double, lat double")
-    crowded = RI.RegionIndex(pair_index.cells, pair_index.cell, False, packable=False, broadcastable=False)
+    crowded = dataclasses.replace(pair_index, most_packed=0)
     for index in (pair_index, crowded):
         rows = SP.assign_regions(points, point_id="id", index=index).collect()
         assert {(r["id"], r["lon"], r["nuts_code"]) for r in rows} == {("twice", 7.1, "DEA01"), ("twice", 7.7, "DEA02"), (None, 7.1, "DEA01")}
@@ -62,8 +64,6 @@ def test_records_that_share_an_id_are_matched_one_by_one(spark, pair_index):
 
 def test_random_polygons_against_per_row_containment(spark):
     rng = random.Random(5)
-    import math
-
     shapes = []
     for i in range(12):
         cx, cy, n = rng.uniform(6, 9), rng.uniform(50, 52), rng.randint(5, 40)
@@ -77,6 +77,82 @@ def test_random_polygons_against_per_row_containment(spark):
     assert sorted(quick.collect()) == sorted(brute.collect())
 
 
+def star(rng, cx, cy, n, low, high):
+    out = [[cx + math.cos(2 * math.pi * k / n) * (s := rng.uniform(low, high)), cy + math.sin(2 * math.pi * k / n) * s] for k in range(n)]
+    return [*out, out[0]]
+
+
+@pytest.mark.parametrize("cell", [2.5, 0.7])
+def test_split_cells_against_per_row_containment(spark, monkeypatch, cell):
+    rng = random.Random(8)
+    monkeypatch.setattr(RI, "MAX_EDGES_PER_CELL", 6)
+    shapes = [(f"DEA{i:02d}", "0", "x", [star(rng, rng.uniform(6, 9), rng.uniform(50, 52), rng.randint(30, 90), 0.2, 0.8)]) for i in range(8)]
+    shapes.append(("DEA90", "0", "x", [W.box(5, 49, 10, 53), W.box(6.5, 50.5, 8.5, 51.5)]))
+    regions = W.districts(spark, shapes)
+    points = spark.createDataFrame([(i, rng.uniform(5.5, 9.5), rng.uniform(49.5, 52.5)) for i in range(1500)], "id int, lon double, lat double")
+    index = RI.build_index(regions, "nuts_code", "geom", cell=cell)
+    assert index.depths and index.cells.where("depth > 0").count() > 100
+    quick = SP.assign_regions(points, point_id="id", index=index, ambiguous="all").select("id", "nuts_code")
+    brute = points.join(regions, G.covers(F.col("geom"), F.col("lon"), F.col("lat"))).select("id", "nuts_code")
+    assert sorted(quick.collect()) == sorted(brute.collect())
+    assert sorted(SP.in_any_region(points, index=index).select("id").collect()) == sorted(brute.select("id").distinct().collect())
+    lines = W.lines(spark, [(f"l{i}", [[x := rng.uniform(5, 9), y := rng.uniform(49.5, 52)], [x + rng.uniform(0, 1), y + rng.uniform(-1, 1)]]) for i in range(60)], "id string")
+    whole = RI.build_index(regions, "nuts_code", "geom", cell=0.05)
+    met = [sorted(SP.intersect_pairs(lines, "id", i).collect()) for i in (index, whole)]
+    assert met[0] == met[1] and len(met[0]) > 60
+
+
+def test_positions_and_outlines_on_the_lines_of_the_grid(spark):
+    # cell sides, corners, vertices, horizontal and vertical edges all fall on multiples of the cell
+    shapes = [
+        ("DEA01", "0", "x", [[[0, 0], [4, 0], [4, 2], [2, 2], [2, 4], [0, 4], [0, 0]], [[0.5, 0.5], [1, 1], [0.5, 1], [0.5, 0.5]]]),
+        ("DEA02", "0", "x", [[[4, 0], [6, 2], [4, 4], [2, 2], [4, 0]]]),
+        ("DEA03", "0", "x", [[[-1, -1], [7, -1], [7, 5], [-1, 5], [-1, -1]], [[1, 3], [3, 3], [3, 4.5], [1, 4.5], [1, 3]]]),
+        ("DEA04", "0", "x", [[[0, 4], [1, 3], [2, 4], [3, 3], [4, 4], [2, 5], [0, 4]]]),
+    ]
+    regions = W.districts(spark, shapes)
+    points = spark.createDataFrame([(i * 100 + j, i / 4 - 2, j / 4 - 2) for i in range(40) for j in range(32)], "id int, lon double, lat double")
+    brute = sorted(points.join(regions, G.covers(F.col("geom"), F.col("lon"), F.col("lat"))).select("id", "nuts_code").collect())
+    for cell in (1.0, 0.5, 0.25, 2.0, 0.3):
+        index = RI.build_index(regions, "nuts_code", "geom", cell=cell)
+        quick = SP.assign_regions(points, point_id="id", index=index, ambiguous="all").select("id", "nuts_code")
+        assert sorted(quick.collect()) == brute, cell
+
+
+def test_a_detailed_outline_has_few_edges_a_cell(spark):
+    n = 20_000
+    ring_ = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((7 + 0.6 * F.cos(i * (2 * math.pi / n))).alias("x"), (51 + 0.6 * F.sin(i * (2 * math.pi / n))).alias("y")))
+    circle = F.struct(F.lit("Polygon").alias("type"), F.array(F.array(F.concat(ring_, F.slice(ring_, 1, 1)))).alias("parts"))
+    regions = spark.range(1).select(F.lit("DEA01").alias("nuts_code"), circle.alias("geom"))
+    index = RI.build_index(regions, "nuts_code", "geom")
+    assert index.cells.agg(F.max(F.size("edges"))).first()[0] <= 2 * RI.MAX_EDGES_PER_CELL
+    points = spark.range(3000).select("id", (6.3 + F.rand(1) * 1.4).alias("lon"), (50.3 + F.rand(2) * 1.4).alias("lat"))
+    points = spark.createDataFrame(points.collect(), points.schema)
+    inside = {r["id"] for r in points.collect() if math.hypot(r["lon"] - 7, r["lat"] - 51) <= 0.6}
+    assert {r["id"] for r in SP.assign_regions(points, point_id="id", index=index).collect()} == inside
+
+
+def test_polygons_around_regions(spark):
+    regions = SP.with_region_measures(W.districts(spark, [
+        ("DEA01", "1", "a", [W.box(7, 51, 7.2, 51.2)]),
+        ("DEA02", "2", "b", [W.box(9, 51, 9.4, 51.4), W.box(9.1, 51.1, 9.3, 51.3)]),
+    ]))
+    sites = [
+        ("around one", [W.box(6, 50, 8, 52)]),
+        ("around both", [W.box(5, 49, 11, 53)]),
+        ("ring around one", [W.box(5, 49, 8.5, 53), W.box(6.5, 50.5, 7.7, 51.7)]),
+        ("in the hole", [W.box(9.15, 51.15, 9.25, 51.25)]),
+        ("inside", [W.box(7.05, 51.05, 7.1, 51.1)]),
+        ("away", [W.box(11, 54, 12, 55)]),
+    ]
+    features = W.districts(spark, [(n, "0", "x", rings) for n, rings in sites]).select(F.col("nuts_code").alias("id"), F.lit(1).alias("kw"), "geom")
+    index = RI.build_index(regions, "nuts_code", "geom")
+    met = {tuple(r) for r in SP.intersect_pairs(features, "id", index, keep=["kw"]).select("nuts_code", "id", "kw").collect()}
+    assert met == {("DEA01", "around one", 1), ("DEA01", "around both", 1), ("DEA02", "around both", 1), ("DEA01", "inside", 1)}
+    near = {r["id"] for r in SP.within_distance(features, regions, feature_id="id", metres=5000.0).collect()}
+    assert near == {"around one", "around both", "in the hole", "inside"}
+
+
 def test_clipped_lengths_against_per_row_clipping(spark):
     rng = random.Random(9)
     regions = SP.with_region_measures(W.districts(spark, [("DEA01", "1", "a", HOLED), ("DEA02", "2", "b", [W.box(7.5, 51, 8, 51.5)])]))
