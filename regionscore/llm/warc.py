@@ -35,7 +35,7 @@ from regionscore.llm.common import materialize, ship
 
 #: Ends an archive file: a gzip member without content, as the text writer ends every line with it.
 END_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
-ARCHIVE_BYTES = 8_000_000
+ARCHIVE_BYTES = 4_000_000
 #: Entries of one range of the index, about.
 RANGE_ENTRIES = 100_000
 FIRST_DATE = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -179,8 +179,10 @@ def write_archives(pages: DataFrame, out: str, key: str = "page_id", url: str =
     def packed(batches):
         held, size = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                held.append(row["member"] if row["leader"] is None else _revisit(row))
+            for i in range(batch.num_rows):  # one row at a time: a batch may be large
+                leader = batch.column("leader")[i].as_py()
+                row = batch.slice(i, 1).to_pylist()[0] if leader else {}
+                held.append(_revisit(row) if leader else batch.column("member")[i].as_py())
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
