@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionscore.llm.common import new_path, numbered, positioned, ship
-from regionscore.llm.tokenizing import WordIds
+from regionscore.llm.common import key_name, new_path, positioned, ship
+from regionscore.llm.tokenizing import WordIds, tokenizer
 from regionscore.llm.words import kept
 
+#: Ids of a step, in bytes, about.
+STEP_BYTES = 4_000_000
 #: Ends every record, as the text writer puts a line end; two bytes keep 16-bit ids aligned.
 RECORD_END = "\n\n"
 #: Up to so many rows of about 100 bytes, one for each file of the working table, are broadcast.
@@ -57,40 +59,65 @@ def permute(numbers: np.ndarray, size: int, key: int, turns: int = 6) -> np.ndar
     return out.astype(np.int64)
 
 
+def id_width(path: str) -> int:
+    """Bytes of an id: two where the vocabulary allows it, else four."""
+    return 2 if tokenizer(path).get_vocab_size() <= 1 << 16 else 4
+
+
 def sequences(docs: DataFrame, path: str, length: int, doc: str = "doc_id", text: str = "text", end_id: int = 2) -> DataFrame:
-    """Fixed-length sequences of 16-bit ids, in input order: ``ids``, ``n_tokens`` and the ``pieces`` of documents.
+    """Fixed-length sequences of ids (:func:`id_width` bytes each), in input order: ``ids``, ``n_tokens`` and the ``pieces`` of documents.
 
     Ids of consecutive documents follow one another, ``end_id`` after each; the last sequence of
-    a task is filled up with ``end_id``.
+    a task is filled up with ``end_id``. Documents and sequences are cut against each other as arrays.
     """
     ship(docs.sparkSession)
-    piece = T.StructType([T.StructField(doc, docs.schema[doc].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
+    kind = f"<u{id_width(path)}"
+    name = key_name(doc, ("start", "length"))
+    piece = T.StructType([T.StructField(name, docs.schema[doc].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
     schema = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("pieces", T.ArrayType(piece))])
 
+    def rows(ids: np.ndarray, begins: np.ndarray, keys: pa.Array, n_tokens: np.ndarray) -> pa.RecordBatch:
+        """Whole sequences of ``ids``; document i begins at ``begins[i]``, below 0 if in an earlier batch."""
+        firsts = np.arange(0, len(ids), length)
+        end = int(n_tokens.sum())  # of the documents; what follows is filled up
+        cuts = np.union1d(np.maximum(begins, 0), firsts)
+        cuts = cuts[cuts < end]
+        owner = np.searchsorted(begins, cuts, side="right") - 1
+        struct = pa.StructArray.from_arrays(
+            [keys.take(pa.array(owner)), pa.array(cuts - begins[owner]), pa.array(np.diff(np.append(cuts, end)))], names=[name, "start", "length"]
+        )
+        offsets = np.append(np.searchsorted(cuts, firsts), len(cuts)).astype(np.int32)
+        size = length * ids.dtype.itemsize
+        edges = pa.py_buffer((np.arange(len(firsts) + 1) * size).astype(np.int32).tobytes())
+        whole = pa.Array.from_buffers(pa.binary(), len(firsts), [None, edges, pa.py_buffer(ids.tobytes())])
+        return pa.RecordBatch.from_arrays([whole, pa.array(n_tokens.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), struct)], names=schema.names)
+
     def cut(batches):
         encode = kept(("word ids", path), lambda: WordIds(path))
         end = np.array([end_id], dtype="<u4").tobytes()
-        held, held_n, held_pieces = [], 0, []
+        tail, begins, keys = np.zeros(0, dtype=kind), np.zeros(0, dtype=np.int64), None
         for batch in batches:
-            kind = pa.list_(pa.struct([(doc, batch.schema.field(0).type), ("start", pa.int64()), ("length", pa.int64())]))
-            ids_out, pieces_out = [], []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encode(t) + end, dtype="<u4").astype("<u2")
-                done = 0
-                while done < len(ids):
-                    take = min(length - held_n, len(ids) - done)
-                    held.append(ids[done : done + take].tobytes())
-                    held_pieces.append({doc: key, "start": done, "length": take})
-                    held_n += take
-                    done += take
-                    if held_n == length:
-                        ids_out.append(b"".join(held))
-                        pieces_out.append(held_pieces)
-                        held, held_n, held_pieces = [], 0, []
-            yield pa.RecordBatch.from_arrays([pa.array(ids_out, pa.binary()), pa.array([length] * len(ids_out), pa.int32()), pa.array(pieces_out, kind)], names=schema.names)
-        if held_n:
-            padded = b"".join(held) + np.full(length - held_n, end_id, dtype="<u2").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([padded], pa.binary()), pa.array([held_n], pa.int32()), pa.array([held_pieces], kind)], names=schema.names)
+            at = 0
+            while at < batch.num_rows:
+                texts, held = [], 0  # a step of bounded size
+                while at + len(texts) < batch.num_rows and held < STEP_BYTES:
+                    texts.append(encode(batch.column(1)[at + len(texts)].as_py()) + end)
+                    held += len(texts[-1])
+                new = np.frombuffer(b"".join(texts), dtype="<u4").astype(kind)
+                sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) // 4
+                mine = batch.column(0).slice(at, len(texts))
+                at += len(texts)
+                begins = np.concatenate([begins, len(tail) + np.cumsum(sizes) - sizes])
+                keys = mine if keys is None else pa.concat_arrays([keys, mine])
+                tail = np.concatenate([tail, new])
+                full = len(tail) // length * length
+                if full:
+                    yield rows(tail[:full], begins, keys, np.full(full // length, length))
+                    first = np.searchsorted(begins, full, side="right") - 1
+                    open_ = full < len(tail)
+                    begins, keys, tail = (begins[first:] - full, keys.slice(first), tail[full:]) if open_ else (begins[:0], None, tail[:0])
+        if len(tail):
+            yield rows(np.concatenate([tail, np.full(length - len(tail), end_id, dtype=kind)]), begins, keys, np.array([len(tail)]))
 
     return docs.select(doc, text).mapInArrow(cut, schema)
 
@@ -99,8 +126,9 @@ def materialise(docs: DataFrame, path: str, out: str, key: int = 20_240_229, len
     """Write the shards under ``out`` and return one row per sequence, without its ids.
 
     Columns: ``slot``, ``shard``, ``byte_offset`` in the shard's file, ``n_tokens``, ``ids_crc32``,
-    ``pieces``. Files are ``out/shards/shard=N/part-*``: ``length`` little-endian 16-bit ids and
-    ``RECORD_END`` per record. ``out/manifest`` has a row per shard. The ids are in a working table
+    ``pieces``. Files are ``out/shards/shard=N/part-*``: ``length`` little-endian ids of :func:`id_width` bytes and
+    ``RECORD_END`` per record. ``out/manifest`` has a row per shard. A key column named ``start`` or ``length``
+    has ``key_`` before its name in the pieces. The ids are in a working table
     while the shards are written, so a lost task is repeated from the same rows. No text gives
     ``end_id`` alone; an empty table gives no shard; equal rows give a sequence each.
     """
@@ -109,7 +137,8 @@ def materialise(docs: DataFrame, path: str, out: str, key: int = 20_240_229, len
     sequences(docs, path, length, doc, text, end_id).write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}).parquet(working)
     table = positioned(spark.read.parquet(working)).withColumn("all", F.lit(0))
     size = table.count()
-    stride = 2 * length + len(RECORD_END)
+    width = id_width(path)
+    stride = width * length + len(RECORD_END)
 
     @F.pandas_udf("long")
     def slot_of(number: pd.Series) -> pd.Series:
@@ -135,7 +164,7 @@ def materialise(docs: DataFrame, path: str, out: str, key: int = 20_240_229, len
         F.crc32("ids").alias("ids_crc32"),
         "pieces",
     )
-    rows.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count("*").alias("n_sequences"), (F.count("*") * stride).alias("n_bytes"), F.sum("ids_crc32").alias("crc_sum")).write.parquet(f"{out}/manifest")
+    rows.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count("*").alias("n_sequences"), (F.count("*") * stride).alias("n_bytes"), F.sum("ids_crc32").alias("crc_sum"), F.lit(width).alias("id_width"), F.lit(length).alias("length"), F.lit(per_shard).alias("per_shard")).write.parquet(f"{out}/manifest")
     return rows
 
 
@@ -150,21 +179,26 @@ def _placed(table: DataFrame, files: DataFrame) -> DataFrame:
     return table.join(F.broadcast(before) if few else before, F.col("file") == F.col("_file")).withColumn("number", F.col("_before") + F.col("row")).drop("_file", "_before", "all")
 
 
-def read_from(spark: SparkSession, out: str, slot: int, length: int = 2048, per_shard: int = 8192) -> DataFrame:
-    """The sequences from ``slot`` on: ``slot`` and ``ids``; earlier shards are not opened."""
-    stride = 2 * length + len(RECORD_END)
-    first = slot // per_shard
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{out}/shards")
-    named = files.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "path", "content").where(F.col("shard") >= first)
-    schema = "slot long, ids binary"
+def read_from(spark: SparkSession, out: str, slot: int) -> DataFrame:
+    """The sequences from ``slot`` on: ``slot`` and ``ids``; earlier shards are not opened, nor are records before it unpacked.
+
+    Sizes come from the manifest. A slot beyond the last gives no rows.
+    """
+    layout = spark.read.parquet(f"{out}/manifest").select("id_width", "length", "per_shard").first()
+    if layout is None:
+        return spark.createDataFrame([], "slot long, ids binary")
+    size, per_shard = layout.id_width * layout.length, layout.per_shard
+    stride = size + len(RECORD_END)
+    files = spark.read.format("binaryFile").load(f"{out}/shards").where(F.col("shard") >= slot // per_shard)
 
     def records(batches):
         for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = len(content) // stride
-                slots = [shard * per_shard + i for i in range(n)]
-                ids = [content[i * stride : i * stride + 2 * length] for i in range(n)]
-                keep = [i for i in range(n) if slots[i] >= slot]
-                yield pa.RecordBatch.from_arrays([pa.array([slots[i] for i in keep], pa.int64()), pa.array([ids[i] for i in keep], pa.binary())], names=["slot", "ids"])
-
-    return named.select("shard", "content").mapInArrow(records, schema)
+            for i in range(batch.num_rows):
+                first = batch.column(0)[i].as_py() * per_shard
+                content = memoryview(batch.column(1)[i].as_buffer())
+                for start in range(max(0, slot - first), len(content) // stride, 1024):
+                    some = range(start, min(start + 1024, len(content) // stride))
+                    ids = [bytes(content[k * stride : k * stride + size]) for k in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([first + k for k in some], pa.int64()), pa.array(ids, pa.binary())], names=["slot", "ids"])
+
+    return files.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(records, "slot long, ids binary")

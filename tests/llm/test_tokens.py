@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -108,7 +109,29 @@ def test_shards_round_trip(spark, tmp_path):
     for key, text in ((1, worlds.messy_rows()[0][1]), (5, worlds.messy_rows()[4][1]), (2, "")):
         whole = [i for _, part in sorted(texts[key]) for i in part]
         assert whole == library.encode(text, add_special_tokens=False).ids + [2]
-    later = training_order.read_from(spark, out, 70, length, per_shard).collect()
+    later = training_order.read_from(spark, out, 70).collect()
     assert sorted(r.slot for r in later) == list(range(70, len(rows)))
     assert {r.slot: zlib.crc32(bytes(r.ids)) for r in later} == {r.slot: r.ids_crc32 for r in rows if r.slot >= 70}
     assert training_order.materialise(worlds.empty(spark), WORDS, str(tmp_path / "none"), length=length).collect() == []
+
+
+def test_reading_on_opens_later_shards_only(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(worlds.words(i, 60))) for i in range(40)], "doc_id long, text string").repartition(3)
+    out = str(tmp_path / "order")
+    rows = training_order.materialise(docs, WORDS, out, length=16, per_shard=20).count()
+    later = training_order.read_from(spark, out, 50)
+    plan = later._jdf.queryExecution().executedPlan().toString()
+    assert "shard" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert [r.slot for r in later.orderBy("slot").collect()] == list(range(50, rows))
+    assert training_order.read_from(spark, out, rows + 5).collect() == []
+
+
+def test_wide_ids_and_key_names(spark, monkeypatch):
+    monkeypatch.setattr(training_order, "id_width", lambda path: 4)
+    docs = spark.createDataFrame([("a", "one two three four five"), ("b", None), (None, "six")], "length string, text string").coalesce(1)
+    got = training_order.sequences(docs, WORDS, 4, doc="length").collect()
+    ids = b"".join(r.ids[: 4 * r.n_tokens] for r in got)
+    plain = [i for t in ("one two three four five", "", "six") for i in [*Tokenizer.from_file(WORDS).encode(t, add_special_tokens=False).ids, 2]]
+    assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == plain
+    pieces = [p for r in got for p in r.pieces]
+    assert {p.key_length for p in pieces} == {"a", "b", None} and sum(p.length for p in pieces) == len(plain)
