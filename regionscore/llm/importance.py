@@ -29,6 +29,8 @@ from regionscore.llm.common import materialize, ship
 from regionscore.llm.words import ODD_1, WordNumbers, kept, mixed, slices
 
 WORD_BITS, SHAPE_BITS = 15, 14
+#: Text whose n-grams a worker holds at one time, about.
+STEP_BYTES = 500_000
 #: Added to the observed and to the expected count of an n-gram.
 PRIOR = 30.0
 SPACE = (1 << WORD_BITS) + (1 << SHAPE_BITS)
@@ -66,7 +68,7 @@ def _number(word: bytes) -> int:
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the n-grams of all texts, and the text each belongs to."""
     numbers, counts = kept("shaped words", lambda: WordNumbers(_number)).of(texts, lower=False)
-    owner = np.repeat(np.arange(len(counts)), counts)
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     words, shapes = numbers >> np.uint64(9), numbers & np.uint64(511)
     inner = owner[1:] == owner[:-1]
     same = (words[1:] == words[:-1]).astype(np.uint64)
@@ -74,9 +76,9 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     shape_pairs = mixed((shapes[:-1] << np.uint64(10)) + (shapes[1:] << np.uint64(1)) + same)[inner]
     singles = mixed(words)
     index = np.concatenate([
-        (singles >> np.uint64(64 - WORD_BITS)).astype(np.int64),
-        (pairs >> np.uint64(64 - WORD_BITS)).astype(np.int64),
-        (shape_pairs >> np.uint64(64 - SHAPE_BITS)).astype(np.int64) + (1 << WORD_BITS),
+        (singles >> np.uint64(64 - WORD_BITS)).astype(np.int32),
+        (pairs >> np.uint64(64 - WORD_BITS)).astype(np.int32),
+        (shape_pairs >> np.uint64(64 - SHAPE_BITS)).astype(np.int32) + (1 << WORD_BITS),
     ])
     return index, np.concatenate([owner, owner[1:][inner], owner[1:][inner]])
 
@@ -101,7 +103,7 @@ class ImportanceModel:
             return out
         words = index < (1 << WORD_BITS)
         for part, space in ((words, slice(0, 1 << WORD_BITS)), (~words, slice(1 << WORD_BITS, SPACE))):
-            pair, times = np.unique(owner[part] * SPACE + index[part], return_counts=True)
+            pair, times = np.unique(owner[part].astype(np.int64) * SPACE + index[part], return_counts=True)
             whose, gram = pair // SPACE, pair % SPACE
             size = np.bincount(whose, weights=times, minlength=len(good))
             mine = times * good[whose]
@@ -127,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 50_000, doc: str =
         raw, target = np.zeros(SPACE, dtype=np.int64), np.zeros(SPACE, dtype=np.int64)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for first, texts in slices(batch.column(1).to_pylist()):
+            for first, texts in slices((t.as_py() for t in batch.column(1)), STEP_BYTES):
                 index, owner = features(texts)
                 raw += np.bincount(index, minlength=SPACE)
                 wanted = np.fromiter((keys[first + i] in good.value for i in range(len(texts))), dtype=bool, count=len(texts))
@@ -153,7 +155,7 @@ def log_weight(spark, model: ImportanceModel, doc: str = "doc_id", text: str = "
 
         weight, number = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
         known = keys.tolist()
-        for first, part in slices(texts):
+        for first, part in slices(texts, STEP_BYTES):
             index, owner = features(part)
             end = first + len(part)
             good = np.fromiter((k in sent.value.good for k in known[first:end]), dtype=bool, count=len(part))
@@ -234,29 +236,32 @@ def resample(docs: DataFrame, model: ImportanceModel, k: int | None = None, seed
     as many as have a weight above 0. Documents whose key equals the k-th all stay. A text without
     words has no key and does not stay; without target labels all documents with words stay.
     """
-    spark = docs.sparkSession
-    scored = docs.select(F.col(doc), log_weight(spark, model, doc, text).alias("w")).select(doc, "w.*")
+    scored = docs.select(F.col(doc), log_weight(docs.sparkSession, model, doc, text).alias("_w"))
     raw = materialize(scored, "importance")
-    least = least_mean(raw)
-    relative = F.col("log_weight") - F.lit(least) * F.col("n_features")
-    table = raw.select(doc, "n_features", relative.alias("log_weight")).withColumn(
-        "gumbel_key", F.when(F.col("n_features") > 0, gumbel_key(F.col("log_weight"), F.col(doc), seed, scale))
-    )
+    key, needed, least = _drawn(raw, model, k, seed, scale, doc)
+    keep = F.coalesce(key >= F.lit(needed), F.lit(False)) if needed is not None else F.lit(False)
+    weight = F.col("_w.log_weight") - F.lit(least) * F.col("_w.n_features")
+    return raw.select(doc, "_w.n_features", weight.alias("log_weight"), key.alias("gumbel_key"), keep.alias("keep")), needed, least
+
+
+def _drawn(raw: DataFrame, model: ImportanceModel, k: int | None, seed: int, scale: float, doc: str) -> tuple[Column, float | None, float]:
+    """The Gumbel key of each row of a stored table with weights ``_w``, the k-th largest key, and the ``least_mean``."""
+    least = least_mean(raw.select("_w.*"))
+    weight, size = F.col("_w.log_weight") - F.lit(least) * F.col("_w.n_features"), F.col("_w.n_features")
+    key = F.when(size > 0, gumbel_key(weight, F.col(doc), seed, scale))
     if k is None:
-        wanted = table.where(F.col("n_features") > 0)
-        k = wanted.where(F.col("log_weight") > 0).count() if model.fitted else wanted.count()
-    needed = kth_largest(table, "gumbel_key", k)
-    keep = F.coalesce(F.col("gumbel_key") >= F.lit(needed), F.lit(False)) if needed is not None else F.lit(False)
-    return table.select(doc, "n_features", "log_weight", "gumbel_key", keep.alias("keep")), needed, least
+        wanted = raw.where(size > 0)
+        k = wanted.where(weight > 0).count() if model.fitted else wanted.count()
+    return key, kth_largest(raw.select(key.alias("gumbel_key")), "gumbel_key", k), least
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label_rows: int = 50_000, seed: int = 11, scale: float = 0.05, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the resampling draws, with their columns unchanged."""
-    spark = docs.sparkSession
+    """The rows of ``docs`` that the resampling draws, with their columns unchanged.
+
+    Rows with equal or without keys are weighed and drawn like any others. A column ``_w`` of ``docs`` is left out.
+    """
     model = fit(docs, labels, label_rows, doc, text)
-    _, needed, least = resample(docs, model, None, seed, scale, doc, text)
-    if needed is None:
-        return docs.limit(0)
-    weighed = docs.select(*[F.col(c) for c in docs.columns], log_weight(spark, model, doc, text).alias("_w"))
-    key = gumbel_key(F.col("_w.log_weight") - F.lit(least) * F.col("_w.n_features"), F.col(doc), seed, scale)
-    return weighed.where((F.col("_w.n_features") > 0) & (key >= F.lit(needed))).drop("_w")
+    # weighed once: the texts are stored beside their weights and read again for the rows that stay
+    weighed = materialize(docs.drop("_w").select("*", log_weight(docs.sparkSession, model, doc, text).alias("_w")), "weighed")
+    key, needed, _ = _drawn(weighed, model, None, seed, scale, doc)
+    return weighed.where(key >= F.lit(needed)).drop("_w") if needed is not None else docs.limit(0)
