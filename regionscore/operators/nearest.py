@@ -85,10 +85,10 @@ def build_quadtree(segments: DataFrame, feature_id: str, cell: float, most: int
     while True:
         full = pieces.groupBy("px", "py").agg(F.count("*").alias("n")).where(F.col("n") > most).select("px", "py")
         finer = cell * STEP ** (level - 1)
-        crowded = materialize(full, "crowded") if finer >= SMALLEST_CELL_M else None
-        if crowded is None or not crowded.limit(1).count():
+        if finer < SMALLEST_CELL_M or not full.count():
             leaves.append(pieces.withColumn("level", F.lit(level)))
             break
+        crowded = materialize(full, "crowded")
         first = crowded if first is None else first
         leaves.append(pieces.join(crowded, ["px", "py"], "left_anti").withColumn("level", F.lit(level)))
         parents = pieces.join(crowded, ["px", "py"], "left_semi")
@@ -225,26 +225,28 @@ def descend(places: DataFrame, tree: Quadtree, origin_id: str, feature_id: str,
     ``visited`` receives the nodes met at each level (for tests).
     """
     nodes, top = _nodes(tree)
-    node = F.struct("px", "py", "leaf", *BOX)
+    node = F.struct("level", "px", "py", "leaf", *BOX)
     children = (
         nodes.where(F.col("level") < top)
-        .groupBy((F.col("level") + 1).alias("level"), F.floor(F.col("px") / STEP).alias("px"), F.floor(F.col("py") / STEP).alias("py"))
+        .groupBy((F.col("level") + 1).alias("kl"), F.floor(F.col("px") / STEP).alias("kx"), F.floor(F.col("py") / STEP).alias("ky"))
         .agg(F.collect_list(node).alias("kids"))
     )
     children = materialize(children, "children")
     roots = nodes.where(F.col("level") == top).agg(F.collect_list(node).alias("kids"))  # one row of at most 25 nodes
     known = places.withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     usable = known.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    frontier = _closer(usable.crossJoin(F.broadcast(roots)), origin_id).withColumn("level", F.lit(top))
+    frontier = _closer(usable.crossJoin(F.broadcast(roots)), origin_id)
     by_origin = Window.partitionBy(origin_id)
     for level in range(top, tree.bottom, -1):
         if visited is not None:
             visited.append(frontier)
-        below = children.where(F.col("level") == level).drop("level")
-        met = frontier.where(~F.col("leaf")).drop("leaf", "level", *BOX).join(below, ["px", "py"]).drop("px", "py")
-        down = _closer(met, origin_id).withColumn("level", F.lit(level - 1))
-        # leaves met above wait for the end
-        frontier = down.unionByName(frontier.where("leaf")) if level <= 0 else down
+        below = children.where(F.col("kl") == level)
+        # leaves met above stay as they are: they meet no children, and a key of their own spreads them
+        leaf, own = F.col("leaf"), F.xxhash64(origin_id)
+        keyed = frontier.withColumns({"kl": F.when(leaf, F.lit(tree.bottom - 1)).otherwise(F.col("level")), "kx": F.when(leaf, own).otherwise(F.col("px")), "ky": F.when(leaf, own).otherwise(F.col("py"))})
+        met = keyed.join(below, ["kl", "kx", "ky"], "left").drop("kl", "kx", "ky")
+        met = met.withColumn("kids", F.when(leaf, F.array(node)).otherwise(F.col("kids"))).drop("level", "px", "py", "leaf", *BOX)
+        frontier = _closer(met, origin_id)
         frontier = frontier.withColumn("bound", F.min("bound").over(by_origin)).where(_within(_least(F.struct(*BOX)), F.col("bound")))
     if visited is not None:
         visited.append(frontier)
