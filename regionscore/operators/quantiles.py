@@ -1,8 +1,9 @@
 """Exact interpolated percentiles and exact global ranks without gathering the values.
 
-A sketch gives split points (a fixed number per column). Counting values per bucket tells which
-bucket holds each wanted position; only those buckets are then looked at value by value, with
-equal values already counted together, so a value shared by a third of all rows is one row.
+A wanted position lies in an interval of values. Counting the values in equal parts of it, with the least and the
+largest of each part, gives the part it is in, whose own least and largest value are the next interval; once an interval
+holds few values they are counted one by one. A pass returns a bounded number of rows, whatever the values and their number
+are, and equal values are always counted together.
 """
 
 from __future__ import annotations
@@ -15,88 +16,71 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionscore.config import DEFAULT
+from regionscore.storage import materialize
 
-BUCKETS = 256
-GROUP = 16
-
-
-def _above(cuts: list[float], value: Column) -> Column:
-    """Number of cuts below a value: first among every 16th cut, then inside that group."""
-    if not cuts:
-        return F.lit(0)
-    every = F.array(*[F.lit(c) for c in cuts[GROUP - 1 :: GROUP]]) if len(cuts) >= GROUP else F.array().cast("array<double>")
-    coarse = F.size(F.filter(every, lambda c: c < value))
-    group = F.slice(F.array(*[F.lit(c) for c in cuts]), coarse * GROUP + 1, F.lit(GROUP - 1))
-    return coarse * GROUP + F.size(F.filter(group, lambda c: c < value))
-
-
-def _split_points(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
-    """Bucket borders per column from one sketch pass: a fixed number of values per column."""
-    cuts = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    row = df.agg(*[F.percentile_approx(F.col(c), cuts, F.lit(10 * BUCKETS)).alias(c) for c in columns]).first()
-    return {c: sorted(set(row[c] or [])) for c in columns}
+#: Parts of an interval, and the number of values that are counted one by one.
+PARTS, FEW = 1024, 4096
+#: Distinct scores that one task ranks, about.
+RANKED_TOGETHER = 200_000
 
 
 def exact_percentiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float]) -> DataFrame:
     """``(metric, fraction, value)``: linear interpolation at ``fraction * (n - 1)``, NULLs ignored.
 
-    Three passes, none of which gathers values: a sketch for the split points, counts per bucket
-    (at most :data:`BUCKETS` rows per column reach the driver), and the distinct values of the
-    buckets that hold a wanted position. A column without values has no rows in the result.
+    All columns and positions narrow together, a pass over the data each time; an interval shrinks a thousandfold or to
+    the values there are. A column without values has no rows in the result. Infinite values are values like others.
     """
     clean = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
-    cuts = _split_points(clean, columns)
-    placed = clean.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"), _above(cuts[c], F.col(c)).alias("bucket"))
-                    for c in columns
-                ]
-            )
-        ).alias("v")
-    ).select("v.*").where(F.col("value").isNotNull())
-
-    wanted: list[tuple[str, int, float, int, float, int]] = []
-    per_metric: dict[str, list[tuple[int, int]]] = {}
-    for row in placed.groupBy("metric", "bucket").count().collect():
-        per_metric.setdefault(row["metric"], []).append((row["bucket"], row["count"]))
-    for metric, sizes in per_metric.items():
-        total = sum(n for _, n in sizes)
-        for fraction in fractions:
-            position = fraction * (total - 1)
-            for spot in {math.floor(position), math.ceil(position)}:
-                before = 0
-                for bucket, n in sorted(sizes):
-                    if before <= spot < before + n:
-                        wanted.append((metric, bucket, float(fraction), spot, position - math.floor(position), before))
-                        break
-                    before += n
-    spark = df.sparkSession
-    spots = spark.createDataFrame(
-        wanted, "metric string, bucket int, fraction double, spot bigint, part double, before bigint"
-    )
-    counted = (
-        placed.join(F.broadcast(spots.select("metric", "bucket").distinct()), ["metric", "bucket"])
-        .groupBy("metric", "bucket", "value")
-        .agg(F.count("*").alias("k"))
-    )
-    order = Window.partitionBy("metric", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("k").over(order))
-    upto = F.col("before") + F.col("upto")
-    found = (
-        ranked.join(F.broadcast(spots), ["metric", "bucket"])
-        .where((F.col("spot") < upto) & (F.col("spot") >= upto - F.col("k")))
-        .groupBy("metric", "fraction")
-        .agg(
-            F.min_by("value", "spot").alias("low"),
-            F.max_by("value", "spot").alias("high"),
-            F.first("part").alias("part"),
-        )
-    )
-    return found.select(
-        "metric", "fraction", (F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("value")
-    )
+    edges = clean.agg(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high"), F.count(c).alias("n")).alias(c) for c in columns]).first()
+    spots = {(c, s) for c in columns if edges[c].n for f in fractions for s in (math.floor(f * (edges[c].n - 1)), math.ceil(f * (edges[c].n - 1)))}
+    # (column, position) -> interval it lies in, values before the interval, values in it
+    held = {(c, s): (edges[c].low, edges[c].high, 0, edges[c].n) for c, s in spots}
+    found: dict[tuple[str, int], float] = {}
+    while held:
+        for key, (low, high, _, _) in list(held.items()):
+            if low == high:
+                found[key] = low
+                del held[key]
+        if not held:
+            break
+        intervals = sorted({(c, low, high, n <= FEW) for (c, _), (low, high, _, n) in held.items()})
+        counts = _counted(clean, intervals)
+        for (c, s), (low, high, before, _) in list(held.items()):
+            for first, last, n in counts[c, low, high]:
+                if s < before + n:
+                    held[c, s] = (first, last, before, n)
+                    break
+                before += n
+    rows = []
+    for c in columns:
+        for f in fractions if edges[c].n else ():
+            position = f * (edges[c].n - 1)
+            low, high = found[c, math.floor(position)], found[c, math.ceil(position)]
+            rows.append((c, float(f), low if low == high else low + (position - math.floor(position)) * (high - low)))
+    return df.sparkSession.createDataFrame(rows, "metric string, fraction double, value double")
+
+
+def _counted(clean: DataFrame, intervals: list[tuple[str, float, float, bool]]) -> dict[tuple[str, float, float], list[tuple[float, float, int]]]:
+    """The parts of each interval in order: least value, largest value, number. ``few`` intervals are counted value by value."""
+
+    def part(c: str, low: float, high: float, few: bool) -> Column:
+        value = F.col(c)
+        if not few and (math.isinf(low) or math.isinf(high)):  # infinite ends apart from what is between
+            return F.when(value == low, -1.0).when(value == high, 1.0).otherwise(0.0)
+        step = high / PARTS - low / PARTS
+        if few or low + step == low:  # few values, or few numbers that they can be
+            return value
+        return F.least(F.floor((value - low) / step), F.lit(PARTS - 1)).cast("double")
+
+    rows = F.array(*[
+        F.when(F.col(c).between(low, high), F.struct(F.lit(i).alias("i"), part(c, low, high, few).alias("part"), F.col(c).alias("value")))
+        for i, (c, low, high, few) in enumerate(intervals)
+    ])
+    hits = clean.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("h")).select("h.*")
+    out: dict[tuple[str, float, float], list[tuple[float, float, int]]] = {k[:3]: [] for k in intervals}
+    for r in hits.groupBy("i", "part").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n")).collect():
+        out[intervals[r.i][:3]].append((r.low, r.high, r.n))
+    return {k: sorted(v) for k, v in out.items()}
 
 
 def bounds(
@@ -137,20 +121,21 @@ def rank_desc_nulls_last(df: DataFrame, score: str, rank: str = "rank") -> DataF
 
     The rank of a score is one more than the number of rows above it, so it is found from the
     counts per distinct score. Published scores have one decimal (about a thousand distinct
-    values); other columns are counted bucket by bucket, so no task sees all values.
+    values); other columns are laid in order over as many tasks as their distinct scores need.
     """
     counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("__s")).agg(F.count("*").alias("__n"))
     size = F.col("__s").cast("double")
     if isinstance(df.schema[score].dataType, T.DecimalType) and df.schema[score].dataType.precision <= 5:
-        placed = counts.withColumn("__b", F.floor(size / 10.0))
+        placed = counts.withColumn("__b", -F.floor(size / 10.0))
     else:
-        cuts = _split_points(counts.select(size.alias("__s")), ["__s"])["__s"]
-        placed = counts.withColumn("__b", _above(cuts, size))
+        counts = materialize(counts, "score_counts")
+        tasks = max(1, -(-counts.count() // RANKED_TOGETHER))
+        placed = materialize(counts.repartitionByRange(tasks, F.desc("__s")).withColumn("__b", F.spark_partition_id()), "scores_in_order")
     per_bucket = placed.groupBy("__b").agg(F.sum("__n").alias("__m"))
-    above = Window.partitionBy(F.lit(1)).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(F.lit(1)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("__b", F.coalesce(F.sum("__m").over(above), F.lit(0)).alias("__o"))
     within = Window.partitionBy("__b").orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = placed.join(F.broadcast(offsets), "__b").select(
+    ranks = placed.join(offsets, "__b").select(
         "__s", (F.lit(1) + F.col("__o") + F.coalesce(F.sum("__n").over(within), F.lit(0))).cast("bigint").alias(rank)
     )
     scored = one_row(counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")))

@@ -31,8 +31,12 @@ MAX_PACKED = 64
 KEY = ("depth", "cx", "cy")
 
 
-def cell_of(value: Column, cell: float) -> Column:
-    return F.floor(value / F.lit(cell)).cast("bigint")
+def _wide(cell: float | Column) -> Column:
+    return cell if isinstance(cell, Column) else F.lit(cell)
+
+
+def cell_of(value: Column, cell: float | Column) -> Column:
+    return F.floor(value / _wide(cell)).cast("bigint")
 
 
 @dataclass
@@ -118,8 +122,8 @@ def edge_rows(df: DataFrame, keep: list[str], geom: str) -> DataFrame:
     return exploded.select(*keep, *[F.col(f"__e.{f}").alias(f) for f in G.EDGE_FIELDS])
 
 
-def with_rows(edges: DataFrame, cell: float, slack: float) -> DataFrame:
-    """One row per grid row an edge passes, with the edge's x range inside that row."""
+def with_rows(edges: DataFrame, cell: float | Column, slack: float | Column) -> DataFrame:
+    """One row per grid row an edge passes, with the edge's x range inside that row; the cell may differ from edge to edge."""
     ax, ay, bx, by = (F.col(f) for f in G.EDGE_FIELDS)
     low, high = F.least(ay, by), F.greatest(ay, by)
     rows = edges.withColumn("cy", F.explode(F.sequence(cell_of(low - slack, cell), cell_of(high + slack, cell))))
@@ -128,8 +132,8 @@ def with_rows(edges: DataFrame, cell: float, slack: float) -> DataFrame:
         y = F.least(F.greatest(y, low), high)
         return F.coalesce(ax + (y - ay) * (bx - ax) / F.nullif(by - ay, F.lit(0.0)), ax)
 
-    bottom = x_at(F.col("cy") * F.lit(cell) - slack)
-    top = x_at((F.col("cy") + 1) * F.lit(cell) + slack)
+    bottom = x_at(F.col("cy") * _wide(cell) - slack)
+    top = x_at((F.col("cy") + 1) * _wide(cell) + slack)
     flat = by == ay
     return rows.withColumns(
         {
@@ -139,13 +143,13 @@ def with_rows(edges: DataFrame, cell: float, slack: float) -> DataFrame:
     )
 
 
-def _row_cells(rows: DataFrame, cell: float) -> DataFrame:
+def _row_cells(rows: DataFrame, cell: float | Column) -> DataFrame:
     return rows.withColumn(
         "cx", F.explode(F.sequence(cell_of(F.col("x0"), cell), cell_of(F.col("x1"), cell)))
     ).drop("x0", "x1")
 
 
-def edge_cells(edges: DataFrame, cell: float, slack: float) -> DataFrame:
+def edge_cells(edges: DataFrame, cell: float | Column, slack: float | Column) -> DataFrame:
     """One row per cell an edge passes."""
     return _row_cells(with_rows(edges, cell, slack), cell)
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionscore.functions import geometry as G
-from regionscore.operators.region_index import cell_of, region_cells, suggest_cell
+from regionscore.operators.region_index import cell_of, edge_cells, region_cells, suggest_cell
+from regionscore.storage import materialize
 
 
 def structure_report(regions: DataFrame, *, region_id: str = "nuts_code", geom: str = "geom") -> DataFrame:
@@ -34,18 +35,14 @@ def _edges(rings: DataFrame) -> DataFrame:
 
 
 def _edge_cells(edges: DataFrame) -> DataFrame:
-    """Edges with the cells of their own region's grid: cells as long as the average edge.
+    """Edges with the cells they pass of their own region's grid: cells as long as the average edge.
 
-    With such cells an outline has a few edges per cell however many it has in total.
+    With such cells an outline has a few edges per cell however many it has in total, and all its edges
+    together pass about as many cells as there are edges, however long some of them are.
     """
     length = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
     sizes = edges.groupBy("region").agg(F.greatest(F.avg(length), F.lit(1e-9)).alias("cell"))
-    sized = edges.join(sizes, "region")
-    for low, high, key in (("ax", "bx", "cx"), ("ay", "by", "cy")):
-        first = F.floor(F.least(low, high) / F.col("cell")).cast("bigint")
-        last = F.floor(F.greatest(low, high) / F.col("cell")).cast("bigint")
-        sized = sized.withColumn(key, F.explode(F.sequence(first, last)))
-    return sized
+    return edge_cells(edges.join(sizes, "region"), F.col("cell"), F.col("cell") * 1e-9)
 
 
 def _contact(a: str, b: str) -> tuple[Column, Column, Column]:
@@ -87,8 +84,8 @@ def _touch_point(a: str, b: str) -> Column:
 def topology_report(regions: DataFrame, *, region_id: str = "nuts_code", geom: str = "geom") -> DataFrame:
     """``(region, reason)`` of structurally sound outlines that are not valid polygons.
 
-    Reasons: too few points, self-intersection, disconnected interior (two rings meeting in
-    several points), hole outside shell, nested holes, nested shells.
+    Reasons: too few points, self-intersection, disconnected interior (rings that touch one another in a cycle,
+    two rings in several points among them), hole outside shell, nested holes, nested shells.
     """
     rings = _ring_rows(regions, region_id, geom)
     distinct_points = F.size(F.array_distinct("line"))
@@ -118,19 +115,47 @@ def topology_report(regions: DataFrame, *, region_id: str = "nuts_code", geom: s
         _touch_point("a", "b").alias("at"),
     )
     crossing = met.where("bad").select("region", F.lit("self-intersection").alias("reason"))
-    split = (
-        met.where(~F.col("bad") & (F.col("pa") == F.col("pb")))
-        .groupBy("region", "pa", "ra", "rb")
-        .agg(F.count_distinct("at").alias("n"))
-        .where("n > 1")
-        .select("region", F.lit("disconnected interior").alias("reason"))
-    )
+    touching = materialize(met.where(~F.col("bad") & (F.col("pa") == F.col("pb"))).select("region", F.col("pa").alias("part"), "ra", "rb", "at"), "touching_rings")
+    contacts = touching.select("region", "part", F.explode(F.array("ra", "rb")).alias("ring"), "at").distinct()
+    split = with_contact_cycle(contacts).select("region", F.lit("disconnected interior").alias("reason"))
 
     nested = _nesting(rings.where(distinct_points >= 3))
     clean = nested.join(few.union(crossing).select("region").distinct(), "region", "left_anti")
     return few.union(crossing).union(split).union(clean).distinct().select(F.col("region").alias(region_id), "reason")
 
 
+def with_contact_cycle(contacts: DataFrame) -> DataFrame:
+    """``(region, part)`` whose rings touch one another in a cycle; ``contacts(region, part, ring, at)`` are distinct.
+
+    Rings and the places where they touch are the nodes of a graph, a contact is an edge. A graph is a forest
+    exactly if it has as many edges as nodes less the number of its trees; trees are counted by labels, the least
+    node of each, which jump along until they stay: about the logarithm of the longest chain of rings in rounds.
+    """
+    contacts = materialize(contacts, "contacts")
+    key = ["region", "part"]
+    if not contacts.limit(1).count():
+        return contacts.select(*key)
+    ring = F.concat(F.lit("r"), F.col("ring").cast("string"))
+    place = F.concat_ws(" ", F.lit("p"), F.col("at.x").cast("string"), F.col("at.y").cast("string"))
+    pairs = contacts.select(*key, ring.alias("u"), place.alias("v"))
+    pairs = materialize(pairs.unionByName(pairs.select(*key, F.col("v").alias("u"), F.col("u").alias("v"))), "contact_pairs")
+    labels = materialize(pairs.groupBy(*key, "u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "contact_labels")
+    while True:
+        # the least label around a node, and the label of that label
+        near = pairs.join(labels.withColumnsRenamed({"u": "v", "label": "near"}), [*key, "v"]).groupBy(*key, "u").agg(F.min("near").alias("near"))
+        best = labels.join(near, [*key, "u"]).select(*key, "u", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = best.select(*key, F.col("u").alias("label"), F.col("label").alias("further"))
+        new = best.join(jump, [*key, "label"], "left").select(*key, "u", "old", F.least("label", "further").alias("label"))
+        new = materialize(new, "contact_labels")
+        changed = new.where(F.col("label") != F.col("old")).limit(1).count()
+        labels = new.drop("old")
+        if not changed:
+            break
+    nodes = labels.groupBy(*key).agg(F.count("*").alias("nodes"), F.count_distinct("label").alias("trees"))
+    edges = contacts.groupBy(*key).agg(F.count("*").alias("edges"))
+    return edges.join(nodes, key).where(F.col("edges") > F.col("nodes") - F.col("trees")).select(*key)
+
+
 def _nesting(rings: DataFrame) -> DataFrame:
     """Holes outside their shell, holes in holes, shells in shells (rings here do not cross).
 

@@ -260,6 +260,42 @@ def test_outline_validity(spark):
     assert got == {n: {reason} for n, (_, _, reason) in OUTLINES.items() if reason}
 
 
+def triangle(x, y, dx, dy, ex, ey):
+    return ring((x, y), (x + dx, y + dy), (x + ex, y + ey))
+
+
+def test_holes_that_touch_in_a_cycle_cut_the_interior(spark):
+    shell = W.box(0, 0, 20, 20)
+    a, b, c = triangle(4, 4, 4, 0, 2, 3), triangle(8, 4, 4, 0, 2, 3), triangle(6, 7, 4, 0, 2, 4)  # a-b at (8,4), a-c at (6,7), b-c at (10,7)
+    chain = [triangle(2 + 2 * i, 12, 2, 0, 1, 2) for i in range(7)]  # each touches the next in a point
+    cases = {
+        "cycle of three": [shell, a, b, c],
+        "two of them": [shell, a, b],
+        "chain": [shell, *chain],
+        "chain from side to side": [shell, ring((0, 10), (4, 9), (4, 11)), ring((4, 9), (12, 8), (12, 12)), ring((12, 8), (20, 10), (13, 11))],
+        "chain to one side": [shell, ring((0, 10), (4, 9), (4, 11)), ring((4, 9), (12, 8), (12, 12))],
+        "all in one point": [shell, triangle(10, 10, 4, 0, 2, 2), triangle(10, 10, -4, 0, -2, 2), triangle(10, 10, -1, -4, 1, -4)],
+        "two points": [shell, ring((0, 5), (5, 10), (0, 15), (2, 10))],
+    }
+    df = W.districts(spark, [(n, "0", "x", rings) for n, rings in cases.items()])
+    got = {(r["nuts_code"], r["reason"]) for r in geometry_report(df).collect()}
+    assert got == {(n, "disconnected interior") for n in ("cycle of three", "chain from side to side", "two points")}
+
+
+def test_long_edges_among_many_short_ones(spark):
+    # 4,000 short edges and two that are thousands of times as long, oblique to the grid
+    from regionscore.operators import validity
+
+    n = 4000
+    wave = [[i * 0.001, (i % 2) * 0.001] for i in range(n)]
+    line = [*wave, [4000.0, 3000.0], [0.0, 3000.0], wave[0]]
+    df = W.districts(spark, [("DEA01", "0", "x", [line])])
+    rings = validity._ring_rows(df, "nuts_code", "geom")
+    cells = validity._edge_cells(validity._edges(rings))
+    assert cells.count() < 4 * n
+    assert geometry_report(df).collect() == []
+
+
 def test_voltage_and_traffic_coverage(spark):
     regions = W.districts(spark, [("DEA01", "1", "a", [W.box(7, 51, 7.5, 51.5)]), ("DEA02", "2", "b", [W.box(7.5, 51, 8, 51.5)])])
     d = M.prepare_districts(regions)
