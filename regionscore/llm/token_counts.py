@@ -71,8 +71,6 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", column: str = "
         import pandas as pd
 
         counter = kept(("piece lengths", path, id(lengths.value)), lambda: PieceLengths(path, lengths.value))
-        out = [counter(t) for t in texts]
-        counter.forget(lengths.value)
-        return pd.Series(out, dtype="int64")
+        return pd.Series([counter(t) for t in texts], dtype="int64")
 
     return rest.withColumn(column, n_tokens(F.col(text)))

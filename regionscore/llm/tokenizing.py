@@ -9,6 +9,7 @@ alone, so each distinct word is encoded once and looked up afterwards. Any other
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +21,7 @@ NOT_PLAIN = re.compile(f"[^\t\n\r -~{LETTERS}¡¿«»–—‘’“”…€]|<
 ODD_SPACE = re.compile(r"[\t\r]|[ \n]{2}")
 #: Words longer than this are encoded but not remembered.
 LONGEST_CACHED = 64
-MOST_CACHED = 250_000
+MOST_CACHED = 400_000
 
 
 def tokenizer(path: str):
@@ -41,21 +42,36 @@ def _byte_letters() -> list[str]:
 
 
 class _Remembering(dict):
-    """word -> value, made on a miss and forgotten when too many are held."""
+    """word -> value, made on a miss. When the table is full it becomes the one before, from which words met again are taken."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = MOST_CACHED):
         super().__init__()
-        self.make = make
+        self.make, self.half = make, most // 2
+        self.before: dict = {}
 
     def __missing__(self, word: str):
-        value = self.make(word)
+        value = self.before.get(word)
+        if value is None:
+            value = self.make(word)
         if len(word) <= LONGEST_CACHED:
-            if len(self) >= MOST_CACHED:
+            if len(self) >= self.half:
+                self.before = dict(self)
                 self.clear()
             self[word] = value
         return value
 
 
+class _Tiers(dict):
+    """A fixed table, and behind it a table of bounded size for what is not in it."""
+
+    def __init__(self, fixed: dict, rest: _Remembering):
+        super().__init__(fixed)
+        self.rest = rest
+
+    def __missing__(self, word: str):
+        return self.rest[word]
+
+
 class WordIds:
     """Ids (little-endian unsigned 32 bit) of a text under the lower-casing word tokenizer."""
 
@@ -64,13 +80,16 @@ class WordIds:
     def __init__(self, path: str):
         self.library = tokenizer(path)
         self.model = self.library.model
-        self.words = _Remembering(self._encode)
+        # words with marks at their ends share the ids of the bare word
+        self.pieces = _Remembering(self._piece, MOST_CACHED * 3 // 4)
+        self.words = _Remembering(lambda word: b"".join(map(self.pieces.__getitem__, self.PIECES.findall(word))))
 
-    def _encode(self, word: str) -> bytes:
-        letters, ids = _byte_letters(), []
-        for piece in self.PIECES.findall(word):
-            ids += [t.id for t in self.model.tokenize("".join([letters[b] for b in piece.encode()]))]
-        return np.array(ids, dtype="<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():  # visible ASCII stands for itself
+            letters = _byte_letters()
+            piece = "".join([letters[b] for b in piece.encode()])
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -89,13 +108,7 @@ class PieceLengths:
 
     def __init__(self, path: str, frequent: dict[str, int]):
         self.library = tokenizer(path)
-        self.cache = _Remembering(lambda piece: len(self.library.encode(piece, add_special_tokens=False).ids))
-        self.cache.update(frequent)
-
-    def forget(self, frequent: dict[str, int]) -> None:
-        if len(self.cache) > MOST_CACHED + len(frequent):
-            self.cache.clear()
-            self.cache.update(frequent)
+        self.lengths = _Tiers(frequent, _Remembering(lambda piece: len(self.library.encode(piece, add_special_tokens=False).ids)))
 
     def __call__(self, text: str | None) -> int:
         if not text:
@@ -103,7 +116,7 @@ class PieceLengths:
         pieces = split_pieces(text)
         if pieces is None:
             return len(self.library.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.cache.__getitem__, pieces))
+        return sum(map(self.lengths.__getitem__, pieces))
 
 
 def split_pieces(text: str) -> list[str] | None:

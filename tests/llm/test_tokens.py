@@ -135,3 +135,23 @@ def test_wide_ids_and_key_names(spark, monkeypatch):
     assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == plain
     pieces = [p for r in got for p in r.pieces]
     assert {p.key_length for p in pieces} == {"a", "b", None} and sum(p.length for p in pieces) == len(plain)
+
+
+def test_the_first_tier_outlives_an_overflow_of_the_second():
+    counter = PieceLengths(BYTES, {" the": 1, " of": 1})
+    counter.lengths.rest.half = 50
+    library = Tokenizer.from_file(BYTES)
+    for i in range(40):
+        text = " the of " + " ".join(worlds.words(i, 40, 0))
+        assert counter(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert counter.lengths[" the"] == 1 and dict.__contains__(counter.lengths, " of") and len(counter.lengths) == 2
+    assert len(counter.lengths.rest) <= 50 and len(counter.lengths.rest.before) <= 50
+
+
+def test_word_ids_with_a_small_table():
+    by_word = WordIds(WORDS)
+    by_word.words.half = by_word.pieces.half = 20
+    library = Tokenizer.from_file(WORDS)
+    for i in range(40):
+        text = ", ".join(worlds.words(i % 7, 50, 0)) + "! 12 it's."
+        assert np.frombuffer(by_word(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
