@@ -15,6 +15,8 @@ from regionscore.functions import geometry as G
 from regionscore.operators import spatial as SP
 from regionscore.operators.nearest import nearest
 from regionscore.operators.region_index import build_index
+from regionscore.sinks import export as EX
+from regionscore.sinks.layers import read_box, write_layer
 from regionscore.sources.features import read_features
 from regionscore.sources.splits import _CONTROLS, _WINDOWS, read_csv
 from regionscore.storage import new_path
@@ -189,3 +191,34 @@ def collection_read_back(spark, sf):
     accepted, _ = read_features(spark, path, id_keys=("id",), properties=("name",), kinds=("LineString",))
     first = F.get(G.positions(F.col("geom")), F.lit(0))
     return accepted.select("source_id", "name", F.size(G.positions(F.col("geom"))).alias("positions"), first["x"].alias("x"), first["y"].alias("y"))
+
+
+# --- layers laid out for box reads
+
+
+def _box_of(layer, path, spark, key):
+    write_layer(layer, path, rows_per_file=500)
+    return read_box(spark, path, 6.76, 50.4, 7.2, 51.24).select(key)
+
+
+@query("sites_in_box", sql("SELECT k AS site FROM site WHERE x0 <= 7.2 AND x1 >= 6.76 AND y0 <= 51.24 AND y1 >= 50.4", extra=SITES))
+def sites_in_box(spark, sf):
+    """Polygons of a written layer whose box meets a box."""
+    return _box_of(sites(spark, sf), new_path(spark, "sites"), spark, "site")
+
+
+@query("roads_in_box", sql(
+    "SELECT osm_id FROM (SELECT osm_id, least(ax, bx, cx) AS x0, greatest(ax, bx, cx) AS x1, least(ay, bz, cy) AS y0, greatest(ay, bz, cy) AS y1 FROM road) WHERE x0 <= 7200 AND x1 >= 6760 AND y0 <= 51240 AND y1 >= 50400", "road"))
+def roads_in_box(spark, sf):
+    """The same on lines."""
+    return _box_of(W.roads(spark, sf).drop("k"), new_path(spark, "roads"), spark, "osm_id")
+
+
+@query("written_order", sql("SELECT 'roads: features are in order' AS check, 0::BIGINT AS violations UNION ALL SELECT 'unordered: features are in order', count(*) FROM (SELECT k, lag(k) OVER (ORDER BY k) AS p FROM road) WHERE k::VARCHAR < p::VARCHAR", "road"))
+def written_order(spark, sf):
+    """Lines of a layer exported in order, and of one written by number although its keys are text."""
+    ordered, other = new_path(spark, "ordered"), new_path(spark, "unordered")
+    EX.export_features(W.roads(spark, sf).withColumnRenamed("osm_id", "source_id"), "source_id", ordered)
+    text = W.roads(spark, sf).select("k", F.concat(F.lit('{"properties":{"source_id":"'), F.col("k").cast("string"), F.lit('"}}')).alias("value"))
+    text.orderBy("k").select("value").write.text(other)
+    return EX.check_order(spark, ordered, "roads", "source_id").union(EX.check_order(spark, other, "unordered", "source_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from regionscore.config import DEFAULT, RegionConfig
 from regionscore.operators.quality import duplicate_keys, run_checks, snapshot_guard, violation
@@ -14,9 +15,12 @@ from regionscore.operators.validity import geometry_report
 from regionscore.plans import energy as E
 from regionscore.plans import measures as M
 from regionscore.plans import publish as P
+from regionscore.plans import scenario as SC
 from regionscore.plans import scores as S
 from regionscore.plans import verify as V
+from regionscore.schemas import PROPOSALS, PUBLISHED
 from regionscore.sinks.export import current_generation, export_snapshot, new_generation, promote
+from regionscore.sinks.layers import read_layer, write_layer
 from regionscore.storage import materialize, path_exists
 
 
@@ -34,6 +38,7 @@ class Inputs:
     renewable_balance: DataFrame
     snapshots: DataFrame
     motorways: DataFrame | None = None
+    proposals: DataFrame | None = None
 
 
 @dataclass
@@ -116,15 +121,39 @@ def analyse(inputs: Inputs, config: RegionConfig = DEFAULT, *, cell: float | Non
     return result
 
 
+def scenario(result: Analytics, *, cell: float | None = None) -> DataFrame:
+    """Baseline and scenario side by side, computed once; without proposals they are equal."""
+    t, proposals = result.tables, result.inputs.proposals
+    if "scenario" not in t:
+        if proposals is None:
+            proposals = result.districts.table.sparkSession.createDataFrame([], PROPOSALS)
+        measures = SC.scenario_measures(result.districts, t["district_metrics"], proposals, cell=cell)
+        t["scenario"] = materialize(SC.scenario_compare(measures, t["baseline"], t["ev_bounds"], t["opportunity"]), "scenario")
+    return t["scenario"]
+
+
+# One row for each region: measured, scored and published.
+COUNTED_TABLES = ("transport_raw", "transport", "grid_raw", "grid", "renewable_raw", "renewable", "opportunity", "baseline", "energy", "scenario")
+COUNTED_LAYERS = ("transport_load", "grid_proxy", "renewable_context", "infrastructure_opportunity", "ev_baseline_metrics", "ev_scenario_metrics", "district_priority")
+AREAS, ROUTES = ("Polygon", "MultiPolygon"), ("LineString", "MultiLineString")
+# What the geometry of each layer must be; district layers have outlines.
+LAYER_KINDS = {
+    "chargers": ("Point",),
+    "grid_readiness": ("Point", "MultiPoint", *ROUTES, *AREAS),
+    "renewable_potential": ("Point",),
+    "accessibility": ROUTES,
+    "regional_roads": ROUTES,
+    "autobahns": ROUTES,
+}
+
+
 def verify(result: Analytics, config: RegionConfig = DEFAULT, *, strict: bool = False) -> DataFrame:
     """All checks after a refresh as one ``(check, violations)`` table."""
     t, raw = result.tables, result.inputs
     baseline = t["baseline"]
     checks = [
-        *[
-            V.check_row_count(t[name], name, config.expected_regions)
-            for name in ("transport_raw", "grid_raw", "renewable_raw", "opportunity", "energy")
-        ],
+        *[V.check_row_count(t[name], name, config.expected_regions) for name in COUNTED_TABLES if name in t],
+        *([V.check_scenario(t["scenario"])] if "scenario" in t else []),
         V.check_station_semantics(raw.stations),
         V.check_station_totals(t["district_metrics"], M.station_owners(raw.stations, result.districts)),
         V.check_renewable_domain(t["renewable_raw"], t["renewable_bounds"]),
@@ -143,6 +172,20 @@ def verify(result: Analytics, config: RegionConfig = DEFAULT, *, strict: bool =
     return run_checks(checks, strict=strict)
 
 
+def verify_layers(layers: dict[str, DataFrame], config: RegionConfig = DEFAULT, *, strict: bool = False) -> DataFrame:
+    """The contract of published layers: required columns, geometry, positions, one row for each region, one priority definition."""
+    checks = []
+    for name, layer in layers.items():
+        required = PUBLISHED.get(name, ("nuts_code", "geom") if "nuts_code" in layer.columns else ())
+        checks.append(V.check_layer(layer, name, required, LAYER_KINDS.get(name, AREAS)))
+        if name in COUNTED_LAYERS:
+            checks.append(V.check_row_count(layer, f"published {name}", config.expected_regions))
+    if "district_priority" in layers:
+        same = set(layers["district_priority"].dtypes) <= set(layers["ev_baseline_metrics"].dtypes)
+        checks.append(layers["district_priority"].sparkSession.range(1).select(F.lit("district_priority has no columns of its own").alias("check"), F.lit(0 if same else 1).cast("bigint").alias("violations")))
+    return run_checks(checks, strict=strict)
+
+
 def published_layers(result: Analytics, config: RegionConfig = DEFAULT) -> dict[str, DataFrame]:
     """The published layers by name, geometry attached last."""
     t, raw, districts = result.tables, result.inputs, result.districts
@@ -159,6 +202,7 @@ def published_layers(result: Analytics, config: RegionConfig = DEFAULT) -> dict[
         "grid_absorption_risk": P.publish_grid_absorption_risk(t["energy"], districts),
         "infrastructure_opportunity": P.with_district_geometry(t["opportunity"], districts),
         "ev_baseline_metrics": P.with_district_geometry(t["baseline"], districts),
+        "ev_scenario_metrics": P.publish_scenario(scenario(result), districts),
         "district_priority": P.with_district_geometry(t["baseline"], districts),
         "score_model": t["score_model"],
         "traffic_assumptions": S.traffic_assumptions(districts.table.sparkSession),
@@ -182,10 +226,14 @@ def refresh(
         }
     )
     result = analyse(cleaned, config, cell=cell)
+    scenario(result, cell=cell)
     verify(result, config, strict=True)
     name, folder = new_generation(root)
-    for layer, df in published_layers(result, config).items():
-        df.write.mode("errorifexists").parquet(f"{folder}/{layer}")
+    layers = published_layers(result, config)
+    for layer, df in layers.items():
+        write_layer(df, f"{folder}/{layer}")
+    # checked as written, before the pointer moves
+    verify_layers({layer: read_layer(spark, f"{folder}/{layer}") for layer in layers}, config, strict=True)
     promote(spark, root, name)
     return result
 
@@ -201,7 +249,7 @@ def exported_layers(spark: SparkSession, root: str, config: RegionConfig = DEFAU
         "renewables": "renewable_potential",
     }
     present = {layer: f"{folder}/{name}" for layer, name in names.items() if path_exists(spark, f"{folder}/{name}")}
-    layers = {layer: spark.read.parquet(path) for layer, path in present.items()}
+    layers = {layer: read_layer(spark, path) for layer, path in present.items()}
     if "renewables" in layers:
         layers["renewables"] = P.displayed_renewables(layers["renewables"], config)
     return layers

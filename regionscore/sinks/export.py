@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regionscore.config import DEFAULT, RegionConfig
@@ -17,6 +17,7 @@ from regionscore.functions.geojson import geometry_to_json
 from regionscore.operators.quality import run_checks, violation
 from regionscore.operators.quantiles import one_row
 from regionscore.sources.inventory import file_digests
+from regionscore.sources.splits import pieces
 from regionscore.storage import path_exists
 
 # The exported layers, their key, and what a district must carry.
@@ -151,6 +152,24 @@ def verify_layer(
     return table
 
 
+def check_order(spark: SparkSession, path: str, name: str, key: str) -> DataFrame:
+    """Whether the lines of a written layer rise by key, from file to file as well.
+
+    Lines are compared with the one before in their split, splits of all files in order by their first and last key.
+    """
+    ident = F.get_json_object(F.col("raw").cast("string"), f"$.properties.{key}")
+    lines = pieces(spark, path, "\n").select(F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), "block", "at", ident.alias("key"))
+    inside = Window.partitionBy("file", "block").orderBy("at")
+    falls = F.col("key") < F.lag("key").over(inside)
+    splits = lines.withColumn("falls", falls).groupBy("file", "block").agg(
+        F.count_if("falls").alias("falls"), F.min_by("key", "at").alias("first"), F.max_by("key", "at").alias("last")
+    )
+    between = Window.partitionBy(F.lit(1)).orderBy("file", "block")  # a row for each split
+    joined = splits.withColumn("step", F.coalesce(F.col("first") < F.lag("last").over(between), F.lit(False)))
+    wrong = F.coalesce(F.sum("falls"), F.lit(0)) + F.count_if("step")
+    return joined.agg(F.lit(f"{name}: features are in order").alias("check"), wrong.cast("bigint").alias("violations"))
+
+
 def new_generation(root: str) -> tuple[str, str]:
     name = uuid.uuid4().hex
     return name, f"{root.rstrip('/')}/generations/{name}"
@@ -188,9 +207,7 @@ def export_snapshot(
     manifest_path = f"{folder}/manifest"
     build_manifest(layers).write.parquet(manifest_path)
     manifest = spark.read.parquet(manifest_path)
-    run_checks(
-        [verify_layer(read_exported(spark, f"{folder}/{layer}"), layer, manifest, config, keys[layer]) for layer in layers],
-        strict=True,
-    )
+    checks = [verify_layer(read_exported(spark, f"{folder}/{layer}"), layer, manifest, config, keys[layer]) for layer in layers]
+    run_checks([*checks, *[check_order(spark, f"{folder}/{layer}", layer, keys[layer]) for layer in layers]], strict=True)
     promote(spark, root, name)
     return manifest

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from regionscore.config import RegionConfig
 from regionscore.plans import publish as P
 from regionscore.plans import refresh as R
+from regionscore.sinks.layers import BOX, read_box, read_layer, write_layer
 from regionscore.plans import scenario as SC
 from regionscore.plans import verify as V
 from regionscore.sinks.export import current_generation
@@ -139,8 +140,40 @@ def test_refresh_publishes_only_after_checks(spark, tmp_path):
     assert current_generation(spark, str(tmp_path)) == served
     layer = spark.read.parquet(f"{tmp_path}/generations/{served}/ev_baseline_metrics")
     assert layer.count() == 6
+    compared = spark.read.parquet(f"{tmp_path}/generations/{served}/ev_scenario_metrics")
+    assert compared.count() == 6 and compared.where("chargers_total_delta <> 0").count() == 0
+    layers = {n: read_layer(spark, f"{tmp_path}/generations/{served}/{n}") for n in ("chargers", "ev_baseline_metrics", "district_priority")}
+    assert R.verify_layers(layers, SIX).where("violations > 0").count() == 0
+    broken = {**layers, "district_priority": layers["district_priority"].withColumn("own", F.lit(1)).limit(5), "chargers": layers["chargers"].drop("status")}
+    assert {r["check"] for r in R.verify_layers(broken, SIX).where("violations > 0").collect()} == {
+        "district_priority has no columns of its own", "published district_priority has 6 rows", "chargers: required columns",
+    }
     manifest = R.export(spark, str(tmp_path), str(tmp_path / "map"), SIX)
     assert {r["layer"]: r["features"] for r in manifest.collect()} == {"districts": 6, "chargers": 5, "regional_roads": 6, "renewables": 0}
     kinds = V.check_layer(layer, "districts", ["nuts_code", "ev_readiness_score"], ["Polygon", "MultiPolygon"])
     assert kinds.where("violations > 0").count() == 0
     assert V.check_layer(layer, "districts", ["absent"], ["Point"]).where("violations > 0").count() == 2
+
+
+def test_box_reads_skip_files(spark, tmp_path):
+    from regionscore.functions import geometry as G
+
+    points = spark.range(4000).select("id", (F.rand(1) * 20).alias("lon"), (F.rand(2) * 20 + 40).alias("lat"))
+    layer = spark.createDataFrame(points.collect(), points.schema).withColumn("geom", G.point(F.col("lon"), F.col("lat")))
+    layer = layer.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast(layer.schema["geom"].dataType).alias("geom")))
+    path = str(tmp_path / "layer")
+    write_layer(layer, path, rows_per_file=100)
+    found = read_box(spark, path, 3.0, 43.0, 5.0, 45.0)
+    want = {r.id for r in layer.where("lon BETWEEN 3 AND 5 AND lat BETWEEN 43 AND 45").collect()}
+    assert {r.id for r in found.collect()} == want and want
+    assert found.columns == layer.columns and read_layer(spark, path).count() == 4001
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all(f"({c}" in plan.split("PushedFilters:")[1].split("]")[0] for c in BOX)
+    # few files have a row in the box, so the statistics of the others rule them out
+    import pyarrow.parquet as pq
+
+    groups = [pq.ParquetFile(f).metadata.row_group(0) for f in sorted((tmp_path / "layer").glob("*.parquet"))]
+    names = [groups[0].column(i).path_in_schema for i in range(groups[0].num_columns)]
+    w, s_, e, n = (names.index(c) for c in BOX)
+    met = [g for g in groups if g.column(w).statistics.min <= 5 and g.column(e).statistics.max >= 3 and g.column(s_).statistics.min <= 45 and g.column(n).statistics.max >= 43]
+    assert len(groups) > 30 and len(met) < len(groups) / 4
