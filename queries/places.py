@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from queries import world as W
 from queries.registry import query, r
-from queries.spatial import _MARGIN_DISTRICTS
+from queries.spatial import _MARGIN_DISTRICTS, _geojson_texts
 from queries.world import sql, sql_lattice, sql_utm
 from regionscore.functions import geometry as G
 from regionscore.operators import spatial as SP
 from regionscore.operators.nearest import nearest
 from regionscore.operators.region_index import build_index
+from regionscore.operators.validity import geometry_grammar
 from regionscore.sinks import export as EX
 from regionscore.sinks.layers import read_box, write_layer
 from regionscore.sources.features import read_features
@@ -222,3 +223,18 @@ def written_order(spark, sf):
     text = W.roads(spark, sf).select("k", F.concat(F.lit('{"properties":{"source_id":"'), F.col("k").cast("string"), F.lit('"}}')).alias("value"))
     text.orderBy("k").select("value").write.text(other)
     return EX.check_order(spark, ordered, "roads", "source_id").union(EX.check_order(spark, other, "unordered", "source_id"))
+
+
+@query("nested_geometry_grammar", sql(
+    "SELECT k, NOT ((k % 6 = 2 AND k % 13 = 0) OR (k % 6 IN (4, 5) AND k % 11 = 0)) AND NOT (k % 17 = 0 AND k % 5 > 0) AS valid FROM (SELECT event_id AS k FROM events)"))
+def nested_geometry_grammar(spark, sf):
+    """All seven kinds, in up to four nested collections; some of the innermost collections are empty."""
+    t = _geojson_texts(spark, sf)
+    plain = F.concat(F.lit('{"type":"'), F.col("kind"), F.lit('","coordinates":'), F.col("coordinates"), F.lit("}"))
+    empty = F.lit('{"type":"GeometryCollection","geometries":[]}')
+    k = F.col("k")
+    text = F.when((k % 17 == 0) & (k % 5 > 0), empty).otherwise(plain)
+    for depth in range(1, 5):
+        around = F.concat(F.lit('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[7,51]},'), text, F.lit("]}"))
+        text = F.when(k % 5 >= depth, around).otherwise(text)
+    return geometry_grammar(t.select("k", text.alias("document")), "k", "document")

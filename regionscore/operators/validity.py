@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionscore.functions import geometry as G
+from regionscore.functions.geojson import geojson_is_valid
 from regionscore.operators.region_index import cell_of, edge_cells, region_cells, suggest_cell
 from regionscore.storage import materialize
 
@@ -232,3 +233,29 @@ def geometry_report(regions: DataFrame, *, region_id: str = "nuts_code", geom: s
     return broken.union(topology_report(sound, region_id=region_id, geom=geom))
 
 
+
+
+def geometry_grammar(documents: DataFrame, key: str, document: str) -> DataFrame:
+    """``(key, valid)`` of GeoJSON geometry texts of all seven kinds, collections nested to any depth.
+
+    Collections are opened level by level, all documents together: every round turns the collections of one depth into
+    their members, and a document is valid if every geometry met in it is. A collection needs a member.
+    """
+    level = documents.select(F.col(key), F.col(document).alias("text"))
+    found = level.select(key, F.lit(True).alias("valid")).limit(0)
+    while True:
+        parsed = level.withColumn("v", F.try_parse_json("text"))
+        kind = F.try_variant_get("v", "$.type", "string")
+        coordinates = F.to_json(F.try_variant_get("v", "$.coordinates", "variant"))
+        members = F.try_variant_get("v", "$.geometries", "array<variant>")
+        is_collection = F.coalesce(kind == "GeometryCollection", F.lit(False))
+        plain = F.coalesce(geojson_is_valid(kind, coordinates), F.lit(False))
+        opened = parsed.select(
+            key, is_collection.alias("collection"), F.when(is_collection, F.coalesce(F.size(members) > 0, F.lit(False))).otherwise(plain).alias("valid"),
+            F.when(is_collection, F.transform(members, lambda m: F.to_json(m))).alias("members"),
+        )
+        opened = materialize(opened, "geometries")
+        found = found.unionByName(opened.select(key, "valid"))
+        if not opened.where("collection AND valid").limit(1).count():
+            return found.groupBy(key).agg(F.bool_and("valid").alias("valid"))
+        level = opened.where("collection AND valid").select(key, F.explode("members").alias("text"))
