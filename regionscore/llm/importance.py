@@ -260,8 +260,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, label_rows: int = 50_000, seed
 
     Rows with equal or without keys are weighed and drawn like any others. A column ``_w`` of ``docs`` is left out.
     """
+    spark = docs.sparkSession
     model = fit(docs, labels, label_rows, doc, text)
-    # weighed once: the texts are stored beside their weights and read again for the rows that stay
-    weighed = materialize(docs.drop("_w").select("*", log_weight(docs.sparkSession, model, doc, text).alias("_w")), "weighed")
-    key, needed, _ = _drawn(weighed, model, None, seed, scale, doc)
-    return weighed.where(key >= F.lit(needed)).drop("_w") if needed is not None else docs.limit(0)
+    # weighed again for the rows that stay: a table of the texts beside their weights would lie in the shared folder until the end
+    _, needed, least = resample(docs, model, None, seed, scale, doc, text)
+    if needed is None:
+        return docs.limit(0)
+    weighed = docs.drop("_w").select("*", log_weight(spark, model, doc, text).alias("_w"))
+    key = gumbel_key(F.col("_w.log_weight") - F.lit(least) * F.col("_w.n_features"), F.col(doc), seed, scale)
+    return weighed.where((F.col("_w.n_features") > 0) & (key >= F.lit(needed))).drop("_w")
