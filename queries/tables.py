@@ -233,6 +233,34 @@ def proposal_feed(spark, sf):
     return stored_proposals(spark, f"{folder}/out").select("id", "nuts_code")
 
 
+_REUSED = sql(
+    "SELECT unnest(ids) AS id, unnest(requests) AS request_id FROM run WHERE i = (SELECT max(i) FROM run)", "pok",
+    extra="""o AS (SELECT row_number() OVER (ORDER BY created_at, id2, request) AS i, id2, request FROM (
+  SELECT created_at, 'p' || (k % 211)::VARCHAR AS id2, printf('%08x-0000-4000-8000-%012x', user_id, user_id) AS request FROM pok)),
+run AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS ids, []::VARCHAR[] AS requests UNION ALL
+  SELECT o.i, CASE WHEN list_contains(ids, id2) OR list_contains(requests, request) THEN ids ELSE list_append(ids, id2) END,
+    CASE WHEN list_contains(ids, id2) OR list_contains(requests, request) THEN requests ELSE list_append(requests, request) END
+  FROM run JOIN o ON o.i = run.i + 1)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("proposal_feed_with_reused_ids", _REUSED)
+def proposal_feed_with_reused_ids(spark, sf):
+    """Ids and request ids that come again, in three deliveries: stored as if one by one."""
+    folder = new_path(spark, "feed")
+    feed = W.proposals(spark, sf).withColumn("id", F.concat(F.lit("p"), (F.col("id").cast("bigint") % 211).cast("string")))
+    feed = feed.select(*[F.col(f.name).cast(f.dataType) for f in FEED_SCHEMA.fields])
+    at = F.unix_micros("created_at")
+    cuts = feed.agg(F.percentile_approx(at, F.array(F.lit(0.33), F.lit(0.66)), 1000)).first()[0] or [0, 0]
+    for low, high in ((None, cuts[0]), (cuts[0], cuts[1]), (cuts[1], None)):
+        part = feed.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        part.write.mode("append").parquet(f"{folder}/in")
+        started = start_proposal_feed(spark, f"{folder}/in", f"{folder}/checkpoint", f"{folder}/out", W.prepared(spark, sf).index, once=True, merge_every=2)
+        started.awaitTermination()
+        if started.exception():
+            raise started.exception()
+    return stored_proposals(spark, f"{folder}/out").select("id", "request_id")
+
+
 _HASHES = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(4))
 
 
