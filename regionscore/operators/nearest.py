@@ -2,7 +2,10 @@
 
 The features are cut into cells of a grid. A cell that holds too many of them is cut again, and again,
 where it is crowded and nowhere else; so every leaf of this quadtree (sixteen children a node) has few
-features, whatever places they crowd in. Most origins are settled by the nine cells around them.
+features, whatever places they crowd in. Most origins are settled by the nine cells around them, packed in one row.
+A feature longer than a cell has a piece in every cell it passes, so cutting crowded cells multiplies long features;
+cells are therefore cut no finer than the number of origins repays, and a bounded number of origins needs no cells at
+all: they travel to the features, which are read in place.
 
 The others descend the tree, all of them one level at a time: a node carries the tight box of its
 features, which gives the least distance any of them can have and, since every side of a tight box
@@ -19,19 +22,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionscore.functions.geometry import EDGE_FIELDS, point_segment_distance
+from regionscore.functions.geometry import EDGE_FIELDS, finite, point_segment_distance
 from regionscore.operators.region_index import cell_of, segment_pieces
 from regionscore.storage import materialize
 
 #: Children of a node along each axis.
 STEP = 4
 MAX_FEATURES_PER_LEAF = 64
+#: Up to so many origins are broadcast and meet every feature.
+FEW_ORIGINS = 64
 SMALLEST_CELL_M = 1e-3
 BOX = ("x0", "y0", "x1", "y1")
 
 
 def suggest_cell(segments: DataFrame) -> float:
-    """A cell holding a few features on average, no shorter than the average feature."""
+    """A cell holding one or two features on average, no shorter than the average feature.
+
+    Nine such cells seldom leave an origin among the features open.
+    """
     mid_x, mid_y = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
     w, h, n, longest = segments.agg(
         F.max(mid_x) - F.min(mid_x),
@@ -41,7 +49,7 @@ def suggest_cell(segments: DataFrame) -> float:
     ).first()
     if not n:
         return 1000.0
-    return max(SMALLEST_CELL_M, 2.0 * math.sqrt(max(w, 1.0) * max(h, 1.0) / n), longest or 0.0)
+    return max(SMALLEST_CELL_M, 1.3 * math.sqrt(max(w, 1.0) * max(h, 1.0) / n), longest or 0.0)
 
 
 @dataclass(frozen=True)
@@ -55,6 +63,7 @@ class Quadtree:
     bottom: int
     leaves: DataFrame
     crowded: DataFrame | None
+    most: int = MAX_FEATURES_PER_LEAF
 
     def size(self, level: int) -> float:
         return self.cell * STEP**level
@@ -99,7 +108,7 @@ def build_quadtree(segments: DataFrame, feature_id: str, cell: float, most: int
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
-    return Quadtree(cell, level, out, first)
+    return Quadtree(cell, level, out, first, most)
 
 
 def _pieces_within(parents: DataFrame, size: float, feature_id: str) -> DataFrame:
@@ -113,11 +122,16 @@ def _to_segment() -> Column:
     return point_segment_distance(F.col("x"), F.col("y"), *[F.col(f) for f in EDGE_FIELDS])
 
 
+def _length(dx: Column, dy: Column) -> Column:
+    """For bounds, which allow for rounding."""
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def _least(box: Column) -> Column:
     """Distance from the origin to a box: nothing in it is nearer."""
     dx = F.greatest(box["x0"] - F.col("x"), F.col("x") - box["x1"], F.lit(0.0))
     dy = F.greatest(box["y0"] - F.col("y"), F.col("y") - box["y1"], F.lit(0.0))
-    return F.hypot(dx, dy)
+    return _length(dx, dy)
 
 
 def _most(box: Column) -> Column:
@@ -125,12 +139,9 @@ def _most(box: Column) -> Column:
 
     Each side is touched; the feature touching the nearer side of one axis is no farther than that side's far end.
     """
-    x, y = F.col("x"), F.col("y")
-    near_x = F.least(F.abs(x - box["x0"]), F.abs(x - box["x1"]))
-    near_y = F.least(F.abs(y - box["y0"]), F.abs(y - box["y1"]))
-    far_x = F.greatest(F.abs(x - box["x0"]), F.abs(x - box["x1"]))
-    far_y = F.greatest(F.abs(y - box["y0"]), F.abs(y - box["y1"]))
-    return F.least(F.hypot(near_x, far_y), F.hypot(far_x, near_y))
+    to_x, to_y = F.abs(F.col("x") - (box["x0"] + box["x1"]) / 2), F.abs(F.col("y") - (box["y0"] + box["y1"]) / 2)
+    half_x, half_y = (box["x1"] - box["x0"]) / 2, (box["y1"] - box["y0"]) / 2
+    return F.least(_length(to_x - half_x, to_y + half_y), _length(to_x + half_x, to_y - half_y))
 
 
 def _within(distance: Column, bound: Column) -> Column:
@@ -152,10 +163,15 @@ def nearest(
     ``segments`` is ``(feature_id, ax, ay, bx, by)`` in metres. Features equally near are
     decided by the lowest id. Several features in one place are first reduced to that lowest id.
     """
+    places = origins.select(F.col(origin_id), F.col(x).alias("x"), F.col(y).alias("y"))
+    count = places.count()
+    if count <= FEW_ORIGINS:
+        return _of_few(places, segments, origin_id, feature_id)
     # Written once: read by the choice of the cell and by the division.
     segments = materialize(segments.groupBy(*EDGE_FIELDS).agg(F.min(feature_id).alias(feature_id)), "features")
-    tree = build_quadtree(segments, feature_id, cell or suggest_cell(segments))
-    places = origins.select(F.col(origin_id), F.col(x).alias("x"), F.col(y).alias("y"))
+    # An origin meets a few leaves: leaves of this size cost all origins together no more than reading the features a few times.
+    most = max(MAX_FEATURES_PER_LEAF, segments.count() // count)
+    tree = build_quadtree(segments, feature_id, cell or suggest_cell(segments), most)
     close = materialize(_in_block(places, tree, origin_id, feature_id), "nearest")
     open_ = F.col("distance_m").isNull() | (F.col("distance_m") > F.col("reach"))
     settled = close.where(~open_).drop("reach", "x", "y")
@@ -167,6 +183,44 @@ def nearest(
     return settled.unionByName(answers)
 
 
+def _of_few(places: DataFrame, segments: DataFrame, origin_id: str, feature_id: str) -> DataFrame:
+    """The nearest feature of a bounded number of origins: the features stay where they are and meet all of them.
+
+    One pass finds the distances, a second one the lowest id among the features at that distance.
+    """
+    segments = materialize(segments.select(feature_id, *EDGE_FIELDS), "features")
+    usable = places.where(finite(F.col("x")) & finite(F.col("y")) & F.col(origin_id).isNotNull())
+    met = segments.crossJoin(F.broadcast(usable)).select(origin_id, F.col(feature_id).alias("f"), _to_segment().alias("d"))
+    least = materialize(met.groupBy(origin_id).agg(F.min("d").alias("distance_m")), "distances")
+    first = met.join(F.broadcast(least), origin_id).where(F.col("d") == F.col("distance_m"))
+    found = least.join(first.groupBy(origin_id).agg(F.min("f").alias(feature_id)), origin_id, "left")
+    return places.select(origin_id).join(F.broadcast(found), origin_id, "left").select(origin_id, feature_id, "distance_m")
+
+
+def _blocks(tree: Quadtree, feature_id: str) -> DataFrame:
+    """Per cell the uncrowded features of the 3 x 3 cells around it; a row without a feature tells that one of these is crowded.
+
+    Features are laid out for their neighbours, not origins, which are usually more.
+    """
+    here = tree.leaves.where("level = 0").select("px", "py", feature_id, *EDGE_FIELDS)
+    if tree.crowded is not None:
+        here = here.unionByName(tree.crowded, allowMissingColumns=True)
+    for c in ("px", "py"):
+        here = here.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    return here
+
+
+def _least_of(places: DataFrame, features: DataFrame, on: list[str], *more: Column) -> DataFrame:
+    """Places that meet features, with the least distance to one: numbers alone, so no pairs are sorted."""
+    return places.join(features, on).groupBy(*places.columns).agg(F.min(_to_segment()).alias("distance_m"), *more)
+
+
+def _lowest_of(places: DataFrame, features: DataFrame, on: list[str], feature_id: str) -> DataFrame:
+    """The lowest id among the features at ``distance_m``."""
+    at = places.join(features, on).where(_to_segment().eqNullSafe(F.col("distance_m")))
+    return at.groupBy(*places.columns).agg(F.min(feature_id).alias(feature_id))
+
+
 def _in_block(places: DataFrame, tree: Quadtree, origin_id: str, feature_id: str) -> DataFrame:
     """The nearest feature among the uncrowded ones of the 3 x 3 cells around each origin.
 
@@ -174,16 +228,11 @@ def _in_block(places: DataFrame, tree: Quadtree, origin_id: str, feature_id: str
     crowded cell nothing is settled.
     """
     cell = tree.cell
-    col, row = cell_of(F.col("x"), cell), cell_of(F.col("y"), cell)
-    around = (
-        places.withColumn("px", F.explode(F.sequence(col - 1, col + 1)))
-        .withColumn("py", F.explode(F.sequence(row - 1, row + 1)))
-    )
-    here = tree.leaves.where("level = 0").select("px", "py", feature_id, *EDGE_FIELDS, F.lit(False).alias("crowded"))
-    if tree.crowded is not None:
-        here = here.unionByName(tree.crowded.withColumn("crowded", F.lit(True)), allowMissingColumns=True)
-    seen = F.when(~F.col("crowded"), F.struct(_to_segment().alias("d"), F.col(feature_id).alias("f")))
-    best = around.join(here, ["px", "py"]).groupBy(origin_id).agg(F.min(seen).alias("best"), F.max("crowded").alias("crowded"))
+    here = places.withColumns({"px": cell_of(F.col("x"), cell), "py": cell_of(F.col("y"), cell)})
+    blocks = _blocks(tree, feature_id)
+    least = _least_of(here, blocks, ["px", "py"], F.bool_or(F.col("ax").isNull()).alias("crowded"))
+    found = F.when(F.col("distance_m").isNotNull(), F.struct(F.col("distance_m").alias("d"), F.col(feature_id).alias("f")))
+    best = _lowest_of(least, blocks, ["px", "py"], feature_id).groupBy(origin_id).agg(F.min(found).alias("best"), F.max("crowded").alias("crowded"))
 
     def gap(value: str) -> Column:
         inner = F.col(value) - cell_of(F.col(value), cell) * F.lit(cell)
@@ -236,7 +285,6 @@ def descend(places: DataFrame, tree: Quadtree, origin_id: str, feature_id: str,
     known = places.withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     usable = known.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     frontier = _closer(usable.crossJoin(F.broadcast(roots)), origin_id)
-    by_origin = Window.partitionBy(origin_id)
     for level in range(top, tree.bottom, -1):
         if visited is not None:
             visited.append(frontier)
@@ -247,16 +295,21 @@ def descend(places: DataFrame, tree: Quadtree, origin_id: str, feature_id: str,
         met = keyed.join(below, ["kl", "kx", "ky"], "left").drop("kl", "kx", "ky")
         met = met.withColumn("kids", F.when(leaf, F.array(node)).otherwise(F.col("kids"))).drop("level", "px", "py", "leaf", *BOX)
         frontier = _closer(met, origin_id)
-        frontier = frontier.withColumn("bound", F.min("bound").over(by_origin)).where(_within(_least(F.struct(*BOX)), F.col("bound")))
     if visited is not None:
         visited.append(frontier)
-    measured = frontier.select(origin_id, "x", "y", "level", "px", "py").join(tree.leaves.select("level", "px", "py", feature_id, *EDGE_FIELDS), ["level", "px", "py"])
-    best = measured.groupBy(origin_id).agg(F.min(F.struct(_to_segment().alias("d"), F.col(feature_id).alias("f"))).alias("best"))
-    return best.select(origin_id, F.col("best.f").alias(feature_id), F.col("best.d").alias("distance_m"))
+    leaf_key = ["level", "px", "py"]
+    leaves = tree.leaves.select(*leaf_key, feature_id, *EDGE_FIELDS)
+    least = materialize(_least_of(frontier.select(origin_id, "x", "y", *leaf_key).distinct(), leaves, leaf_key), "leaf_distances")
+    # of the leaves met only the one with the least distance is read again
+    best = least.groupBy(origin_id).agg(F.min("distance_m").alias("distance_m"))
+    found = _lowest_of(least.join(best, [origin_id, "distance_m"]), leaves, leaf_key, feature_id)
+    return found.groupBy(origin_id, "distance_m").agg(F.min(feature_id).alias(feature_id)).select(origin_id, feature_id, "distance_m")
 
 
 def _closer(met: DataFrame, origin_id: str) -> DataFrame:
-    """Nodes among ``kids`` that may hold the answer, one row each, with the bound they give."""
-    bound = F.least(F.col("bound"), F.array_min(F.transform("kids", _most)))
-    near = met.withColumn("bound", bound).withColumn("kids", F.filter("kids", lambda k: _within(_least(k), F.col("bound"))))
-    return near.select(origin_id, "x", "y", "bound", F.explode("kids").alias("k")).select(origin_id, "x", "y", "bound", "k.*")
+    """Nodes among ``kids`` that may hold the answer, one row each, with the bound they all give."""
+    near = met.select(origin_id, "x", "y", "bound", F.explode("kids").alias("k")).select(origin_id, "x", "y", "bound", "k.*")
+    box = F.struct(*BOX)
+    near = near.withColumn("least", _least(box)).where(_within(F.col("least"), F.col("bound")))
+    bound = F.least(F.col("bound"), F.min(_most(box)).over(Window.partitionBy(origin_id)))
+    return near.withColumn("bound", bound).where(_within(F.col("least"), F.col("bound"))).drop("least")

@@ -318,3 +318,58 @@ def test_two_population_figures_give_two_rows(spark):
     )
     got = sorted((r["population"], r["copies"]) for r in M.population_of(regions, people).collect())
     assert got == [(10, 2), (20, 1)]
+
+
+def _long_lines(spark, n):
+    """Lines of up to a third of the field's width, which cross one another everywhere."""
+    i = F.col("id")
+    ax, ay = (i * 37 % 101).cast("double") * 10, (i * 53 % 103).cast("double") * 10
+    bx, by = ax + (i % 7 - 3) * 100.0, ay + (i % 5 - 2) * 150.0
+    return spark.range(n).select(F.concat(F.lit("l"), i.cast("string")).alias("f"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+
+
+def _by_brute_force(origins, segments):
+    pairs = origins.crossJoin(segments).withColumn("d", G.point_segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")]))
+    best = pairs.groupBy("o").agg(F.min(F.struct("d", "f")).alias("b")).select("o", "b.f", "b.d")
+    return {r.o: (r.f, pytest.approx(r.d, abs=1e-9)) for r in best.collect()}
+
+
+def test_a_few_origins_never_cut_long_features_into_cells(spark, monkeypatch):
+    from regionscore.operators import nearest as N
+
+    def cut(*_):
+        raise AssertionError("long features were cut into cells for a few origins")
+
+    monkeypatch.setattr(N, "segment_pieces", cut)
+    lines = _long_lines(spark, 500)
+    origins = spark.createDataFrame([("a", 500.0, 500.0), ("b", -400.0, 20.0), ("c", 333.0, 777.0)], "o string, x double, y double")
+    unknown = spark.createDataFrame([("n", None, 1.0), (None, 5.0, 5.0)], "o string, x double, y double")
+    got = nearest(origins.union(unknown), lines.union(lines.limit(0)), origin_id="o", feature_id="f", x="x", y="y")
+    found = {r.o: (r.f, r.distance_m) for r in got.collect()}
+    assert found == {**_by_brute_force(origins, lines), "n": (None, None), None: (None, None)}
+
+
+def test_pieces_of_long_features_follow_the_origins(spark, monkeypatch):
+    from regionscore.operators import nearest as N
+
+    lines, build, pieces = _long_lines(spark, 20_000), N.build_quadtree, []
+
+    def counted(*args):
+        tree = build(*args)
+        pieces.append(tree.leaves.count())
+        return tree
+
+    monkeypatch.setattr(N, "build_quadtree", counted)
+    origins = spark.range(70).select(F.col("id").alias("o"), (F.col("id") * 17 % 71 * 20.0 - 200).alias("x"), (F.col("id") * 29 % 73 * 20.0 - 200).alias("y"))
+    got = {r.o: (r.f, r.distance_m) for r in nearest(origins, lines, origin_id="o", feature_id="f", x="x", y="y").collect()}
+    assert got == _by_brute_force(origins, lines)
+    assert pieces[0] < 25 * 20_000
+
+
+def test_many_origins_take_the_lowest_of_equally_near_features(spark):
+    i = F.col("id")
+    points = spark.range(400).select(F.format_string("p%03d", 399 - i).alias("f"), (i % 20 * 10.0).alias("x"), (F.floor(i / 20) * 10.0).alias("y"))
+    origins = spark.range(300).select(i.alias("o"), (i % 20 * 10.0 + 5).alias("x"), (F.floor(i / 20) * 14.0 - 40).alias("y"))
+    segments = points.select("f", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    got = {r.o: (r.f, r.distance_m) for r in nearest(origins, segments, origin_id="o", feature_id="f", x="x", y="y").collect()}
+    assert got == _by_brute_force(origins, segments)
