@@ -1,4 +1,4 @@
-"""Outline checks: ring structure per row, topology as a join of edges that share a cell.
+"""Outline checks: ring structure per row, topology within the row of a small outline, else as a join of edges that share a cell.
 
 Nothing is ever repaired; a region with any reason here must not be used for assignment.
 """
@@ -13,6 +13,9 @@ from regionscore.functions.geojson import geojson_is_valid
 from regionscore.operators.region_index import cell_of, edge_cells, region_cells, suggest_cell
 from regionscore.storage import materialize
 
+#: Outlines with at most so many edges are compared edge by edge in their own row; nothing of them is shuffled.
+SMALL_OUTLINE_EDGES = 128
+
 
 def structure_report(regions: DataFrame, *, region_id: str = "nuts_code", geom: str = "geom") -> DataFrame:
     """``(region, reason)`` of outlines whose rings are not usable at all."""
@@ -24,8 +27,66 @@ def _ring_rows(regions: DataFrame, region_id: str, geom: str) -> DataFrame:
     """One row per ring, consecutive repeated positions removed."""
     parts = regions.select(F.col(region_id).alias("region"), F.posexplode(F.col(f"{geom}.parts")).alias("part", "rings"))
     rings = parts.select("region", "part", F.posexplode("rings").alias("ring", "line"))
-    kept = F.filter("line", lambda p, i: (i == 0) | (p != F.get(F.col("line"), i - 1)))
-    return rings.withColumn("line", kept)
+    return rings.withColumn("line", _without_repeats(F.col("line")))
+
+
+def _without_repeats(line: Column) -> Column:
+    return F.filter(line, lambda p, i: (i == 0) | (p != F.get(line, i - 1)))
+
+
+def _by_size(regions: DataFrame, region_id: str, geom: str) -> tuple[DataFrame, DataFrame]:
+    """Outlines small enough for their own row, and the others; rows that share an id, or have none, are among the others."""
+    repeated = regions.groupBy(region_id).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(region_id).alias("__id"))
+    few = F.coalesce(F.size(G.edges(F.col(geom))) <= SMALL_OUTLINE_EDGES, F.lit(False)) & F.col(region_id).isNotNull()
+    marked = regions.select(region_id, geom, few.alias("__few")).join(repeated, F.col(region_id) == F.col("__id"), "left")
+    alone = F.col("__few") & F.col("__id").isNull()
+    return marked.where(alone).select(region_id, geom), marked.where(~alone).select(region_id, geom)
+
+
+def _rings_in_row(regions: DataFrame, region_id: str, geom: str) -> DataFrame:
+    """``(region, rings)``: the usable rings of an outline, in the order of parts and rings."""
+    rings = F.flatten(
+        F.transform(
+            F.col(f"{geom}.parts"),
+            lambda part, p: F.transform(part, lambda line, r: F.struct(p.alias("part"), r.alias("ring"), _without_repeats(line).alias("line"))),
+        )
+    )
+    usable = F.filter(rings, lambda r: F.size(F.array_distinct(r["line"])) >= 3)
+    return regions.select(F.col(region_id).alias("region"), usable.alias("rings"))
+
+
+def _pairs_in_row(outlines: DataFrame) -> DataFrame:
+    """Every two edges ``(region, a, b)`` of an outline once."""
+    edges = F.flatten(
+        F.transform(
+            "rings",
+            lambda r: F.transform(
+                G.ring_edges(r["line"]),
+                lambda e, i: F.struct(r["part"].alias("part"), r["ring"].alias("ring"), (F.size(r["line"]) - 1).alias("edges"), i.alias("i"), *[e[f].alias(f) for f in G.EDGE_FIELDS]),
+            ),
+        )
+    )
+    one = outlines.select("region", edges.alias("edges")).select("region", "edges", F.posexplode("edges").alias("k", "a"))
+    return one.select("region", "a", F.explode(F.slice("edges", F.col("k") + 2, F.size("edges"))).alias("b"))
+
+
+def _inside_in_row(outlines: DataFrame) -> DataFrame:
+    """For every two rings of an outline how many vertices of the one lie in the other, and whether one does strictly."""
+    pairs = outlines.select("region", "rings", F.explode("rings").alias("v")).select("region", "v", F.explode("rings").alias("o"))
+    other = (F.col("v.part") != F.col("o.part")) | (F.col("v.ring") != F.col("o.ring"))
+    edges = G.ring_edges(F.col("o.line"))
+
+    def seen(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        east = F.filter("edges", lambda e: ((e["ay"] > y) != (e["by"] > y)) & G.passes_east(e, x, y))
+        return F.struct((F.size(east) % 2 == 1).alias("odd"), F.exists("edges", lambda e: G.on_edge(e, x, y)).alias("on"))
+
+    found = pairs.where(other).withColumn("edges", edges).withColumn("seen", F.transform(F.array_distinct("v.line"), seen))
+    return found.select(
+        "region", "v.part", "v.ring", F.col("o.part").alias("outer_part"), F.col("o.ring").alias("outer_ring"),
+        F.exists("seen", lambda s: s["odd"] & ~s["on"]).alias("strict"),
+        F.size(F.filter("seen", lambda s: s["odd"] | s["on"])).cast("bigint").alias("covered"),
+    )
 
 
 def _edges(rings: DataFrame) -> DataFrame:
@@ -82,32 +143,32 @@ def _touch_point(a: str, b: str) -> Column:
     return F.coalesce(*[F.when(lies_on(x, y, o), F.struct(x.alias("x"), y.alias("y"))) for x, y, o in candidates])
 
 
-def topology_report(regions: DataFrame, *, region_id: str = "nuts_code", geom: str = "geom") -> DataFrame:
-    """``(region, reason)`` of structurally sound outlines that are not valid polygons.
-
-    Reasons: too few points, self-intersection, disconnected interior (rings that touch one another in a cycle,
-    two rings in several points among them), hole outside shell, nested holes, nested shells.
-    """
-    rings = _ring_rows(regions, region_id, geom)
-    distinct_points = F.size(F.array_distinct("line"))
-    few = rings.where(distinct_points < 3).select("region", F.lit("too few points").alias("reason"))
-
-    cells = _edge_cells(_edges(rings.where(distinct_points >= 3)))
+def _pairs_in_cells(rings: DataFrame) -> DataFrame:
+    """Two edges ``(region, a, b)`` of a region for each cell that both pass."""
+    cells = _edge_cells(_edges(rings))
     a, b = cells.alias("a"), cells.alias("b")
     order = F.struct(F.col("a.part"), F.col("a.ring"), F.col("a.i")) < F.struct(F.col("b.part"), F.col("b.ring"), F.col("b.i"))
+    crosses, overlaps, touches = _contact("a", "b")
+    same = (F.col("a.region") == F.col("b.region")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
+    fields = ("part", "ring", "edges", "i", *G.EDGE_FIELDS)
+    return a.join(b, same & order & (crosses | overlaps | touches)).select(
+        F.col("a.region").alias("region"), *[F.struct(*[F.col(f"{e}.{f}").alias(f) for f in fields]).alias(e) for e in "ab"]
+    )
+
+
+def _met(pairs: DataFrame) -> DataFrame:
+    """Pairs of edges that meet, other than neighbours at their common end; ``bad`` where an outline may not."""
     same_ring = (F.col("a.part") == F.col("b.part")) & (F.col("a.ring") == F.col("b.ring"))
     gap = F.col("b.i") - F.col("a.i")
     neighbours = same_ring & ((gap == 1) | (gap == F.col("a.edges") - 1))
     crosses, overlaps, touches = _contact("a", "b")
-    met = a.join(
-        b,
-        (F.col("a.region") == F.col("b.region"))
-        & (F.col("a.cx") == F.col("b.cx"))
-        & (F.col("a.cy") == F.col("b.cy"))
-        & order
-        & (crosses | overlaps | (touches & ~neighbours)),
-    ).select(
-        F.col("a.region").alias("region"),
+    # most pairs are apart, which their boxes tell
+    near = F.lit(True)
+    for p, q in (("ax", "bx"), ("ay", "by")):
+        a, b = ([F.col(f"{e}.{p}"), F.col(f"{e}.{q}")] for e in "ab")
+        near = near & (F.greatest(*a) >= F.least(*b)) & (F.greatest(*b) >= F.least(*a))
+    return pairs.where(near).where(crosses | overlaps | (touches & ~neighbours)).select(
+        "region",
         F.col("a.part").alias("pa"),
         F.col("a.ring").alias("ra"),
         F.col("b.part").alias("pb"),
@@ -115,12 +176,33 @@ def topology_report(regions: DataFrame, *, region_id: str = "nuts_code", geom: s
         (crosses | overlaps | (same_ring & touches & ~neighbours)).alias("bad"),
         _touch_point("a", "b").alias("at"),
     )
+
+
+def topology_report(regions: DataFrame, *, region_id: str = "nuts_code", geom: str = "geom") -> DataFrame:
+    """``(region, reason)`` of structurally sound outlines that are not valid polygons.
+
+    Reasons: too few points, self-intersection, disconnected interior (rings that touch one another in a cycle,
+    two rings in several points among them), hole outside shell, nested holes, nested shells.
+    """
+    rings = _ring_rows(regions, region_id, geom)
+    distinct_points = F.size(F.array_distinct("line"))
+    few = rings.where(distinct_points < 3).select("region", F.lit("too few points").alias("reason"))
+
+    small, large = _by_size(regions, region_id, geom)
+    # the work of a row is large beside its bytes, by which files are split
+    in_rows = _rings_in_row(small.repartition(region_id), region_id, geom)
+    met, inside = _met(_pairs_in_row(in_rows)), _inside_in_row(in_rows)
+    if large.limit(1).count():
+        long = _ring_rows(large, region_id, geom).where(distinct_points >= 3)
+        met = met.unionByName(_met(_pairs_in_cells(long)))
+        inside = inside.unionByName(_inside_in_cells(long))
+    met = materialize(met, "meeting_edges")
     crossing = met.where("bad").select("region", F.lit("self-intersection").alias("reason"))
     touching = materialize(met.where(~F.col("bad") & (F.col("pa") == F.col("pb"))).select("region", F.col("pa").alias("part"), "ra", "rb", "at"), "touching_rings")
     contacts = touching.select("region", "part", F.explode(F.array("ra", "rb")).alias("ring"), "at").distinct()
     split = with_contact_cycle(contacts).select("region", F.lit("disconnected interior").alias("reason"))
 
-    nested = _nesting(rings.where(distinct_points >= 3))
+    nested = _nesting(rings.where(distinct_points >= 3), materialize(inside.where("covered > 0"), "rings_inside"))
     clean = nested.join(few.union(crossing).select("region").distinct(), "region", "left_anti")
     return few.union(crossing).union(split).union(clean).distinct().select(F.col("region").alias(region_id), "reason")
 
@@ -157,12 +239,8 @@ def with_contact_cycle(contacts: DataFrame) -> DataFrame:
     return edges.join(nodes, key).where(F.col("edges") > F.col("nodes") - F.col("trees")).select(*key)
 
 
-def _nesting(rings: DataFrame) -> DataFrame:
-    """Holes outside their shell, holes in holes, shells in shells (rings here do not cross).
-
-    Every vertex meets the other rings of its region through grid cells. Where rings do not
-    cross, one vertex strictly inside another ring decides.
-    """
+def _inside_in_cells(rings: DataFrame) -> DataFrame:
+    """As :func:`_inside_in_row`, by cells: every vertex meets the other rings of its region through the grid."""
     outlines = rings.select(
         F.struct("region", "part", "ring").alias("rid"),
         F.struct(F.lit("Polygon").alias("type"), F.array(F.array(F.col("line"))).alias("parts")).alias("outline"),
@@ -191,7 +269,7 @@ def _nesting(rings: DataFrame) -> DataFrame:
     on = F.exists("edges", lambda e: G.on_edge(e, x, y))
     odd = G.odd_in_cell(F.col("edges"), F.col("odd"), (F.col("cx") + 1) * F.lit(cell), F.col("cy") * F.lit(cell), x, y)
     other = (F.col("part") != F.col("outer_part")) | (F.col("ring") != F.col("outer_ring"))
-    inside = (
+    return (
         vertices.join(cells, ["region", "cx", "cy"])
         .where(other)
         .groupBy("region", "part", "ring", "outer_part", "outer_ring")
@@ -200,6 +278,13 @@ def _nesting(rings: DataFrame) -> DataFrame:
             F.count_if(F.col("full") | odd | on).alias("covered"),
         )
     )
+
+
+def _nesting(rings: DataFrame, inside: DataFrame) -> DataFrame:
+    """Holes outside their shell, holes in holes, shells in shells (rings here do not cross).
+
+    Where rings do not cross, one vertex strictly inside another ring decides.
+    """
     own_shell = inside.where((F.col("part") == F.col("outer_part")) & (F.col("outer_ring") == 0)).select(
         "region", "part", "ring", "covered"
     )

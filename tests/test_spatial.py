@@ -373,3 +373,34 @@ def test_many_origins_take_the_lowest_of_equally_near_features(spark):
     segments = points.select("f", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
     got = {r.o: (r.f, r.distance_m) for r in nearest(origins, segments, origin_id="o", feature_id="f", x="x", y="y").collect()}
     assert got == _by_brute_force(origins, segments)
+
+
+def test_small_outlines_stay_in_their_rows(spark, monkeypatch):
+    from regionscore.operators import validity as V
+
+    def shifted(west):
+        step = [(0, 0), (18, 0), (18, 5), (9, 5), (9, 12), (0, 12)]
+        left, far, across = [(1, 1), (4, 1), (2, 4)], [(22, 2), (25, 2), (24, 5)], [(7, 3), (11, 4), (11, 8), (7, 8)]
+        frame, first, second = [(0, 0), (30, 0), (30, 30), (0, 30)], [(2, 2), (26, 4), (6, 26)], [(8, 8), (12, 8), (9, 11)]
+        star, thin = [(0, 0), (12, 10), (12, 0), (6, 12), (0, 10)], [(3, 3), (5, 3)]
+        touching = [(0, 12), (4, 8), (9, 12), (4, 10)]
+        shapes = [[[step, left]], [[step, far]], [[step, across]], [[frame, first, second]], [[star]], [[thin]], [[step], [far]], [[step], [left]], [[step, left, touching]]]
+        return [(f"{west}-{i}", [[[(x + west, float(y)) for x, y in (*ring, ring[0])] for ring in part] for part in shape]) for i, shape in enumerate(shapes)]
+
+    rows = [(name, ("MultiPolygon", parts)) for west in (0.0, 40.0) for name, parts in shifted(west)]
+    kind = "name string, geom struct<type: string, parts: array<array<array<struct<x: double, y: double>>>>>"
+    df = spark.createDataFrame(rows, kind)
+    by_cells = {}
+    with monkeypatch.context() as m:
+        m.setattr(V, "SMALL_OUTLINE_EDGES", 0)
+        by_cells = {(r.name, r.reason) for r in V.topology_report(df, region_id="name").collect()}
+
+    def cut(*_, **__):
+        raise AssertionError("a small outline was cut into cells")
+
+    monkeypatch.setattr(V, "region_cells", cut)
+    monkeypatch.setattr(V, "edge_cells", cut)
+    got = {(r.name, r.reason) for r in V.topology_report(df, region_id="name").collect()}
+    assert got == by_cells
+    assert {(n.split("-")[1], reason) for n, reason in got} >= {("1", "hole outside shell"), ("3", "nested holes"), ("4", "self-intersection"), ("5", "too few points"), ("7", "nested shells")}
+    assert not {n for n, _ in got} & {"0.0-0", "40.0-0", "0.0-6"}
