@@ -8,9 +8,12 @@ they stand; each is linked to the smallest of them, which keeps all of them conn
 
 *Large sets* scan inverted lists. A partner must share one of the first ``n - ceil(t n) + 1``
 shingles in any fixed order; the order is by hash with the heavy shingles (in more than one
-document of ``heavy_share``) at the end, so that common passages do not fill the lists. Each
-list first compares its members with one leader; members whose components are then the same
-need no further comparison, all others are compared pair by pair. Every comparison is of whole sets.
+document of ``heavy_share``) at the end, so that common passages do not fill the lists. Lists of the
+same members are one list. Each list first compares its members with one leader, in every turn another;
+members whose components are then the same need no further comparison, all others meet pair by pair.
+A pair goes on only if the parities of its shingles (``SKETCH_BITS`` counters modulo two a set) allow it:
+each counter that differs takes a shingle that one of the sets alone has, so the number of these bounds
+the difference from below and no link is lost. Every comparison is of whole sets.
 
 The boundary between the two is the largest size whose subsets cost less than its lists, by
 the sizes counted and the share of repeated shingles measured on the input.
@@ -18,13 +21,15 @@ the sizes counted and the share of repeated shingles measured on the input.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import ceil, comb
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +45,11 @@ LARGEST_SMALL = 24
 BROADCAST_ROWS = 1_000_000
 #: Members of one leader that one task compares.
 GROUP_ROWS = 512
+#: Turns of leaders end with the first that links less than one in so many of its pairs.
+FEW_LINKS = 10
+#: Parities kept of each set, in columns of 64.
+SKETCH_BITS = 512
+SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
 
 
 def _sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,6 +58,51 @@ def _sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return numbers, owner, np.bincount(owner, minlength=len(texts))
 
 
+def _parities(numbers: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Per text the parity of how many shingles fall on each of ``SKETCH_BITS`` bits, 64 bits an array; empty sets have none."""
+    full = n > 0
+    starts = (np.cumsum(n) - n)[full]
+    column, bit = (numbers >> np.uint64(6)) % np.uint64(len(SKETCH)), np.uint64(1) << (numbers & np.uint64(63))
+    out = [np.zeros(len(n), dtype=np.uint64) for _ in SKETCH]
+    if len(starts):
+        for i, words in enumerate(out):
+            words[full] = np.bitwise_xor.reduceat(np.where(column == np.uint64(i), bit, np.uint64(0)), starts)
+    return [words.view(np.int64) for words in out]
+
+
+def _wide_parities(numbers: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The same for sets of more than ``SKETCH_BITS`` shingles, whose few parities tell nothing, on as many bits as they have shingles (a power of two); null for others."""
+    out: list[np.ndarray | None] = [None] * len(n)
+    starts = np.cumsum(n) - n
+    for i in np.flatnonzero(n > SKETCH_BITS).tolist():
+        bits = 1 << (int(n[i]).bit_length() - 1)
+        odd = np.bincount((numbers[starts[i] : starts[i] + n[i]] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def _apart(other: str) -> Column:
+    """Shingles that at least one of two sets has alone: parities that differ from those in the columns beginning with ``other``."""
+    return reduce(add, [F.bit_count(F.col(s).bitwiseXOR(F.col(f"{other}{s}"))) for s in SKETCH])
+
+
+def _near(other: str, both: Column, num: int, den: int) -> Column:
+    """Whether two sets of ``both`` shingles together may be similar by their parities."""
+    return _apart(other) * (den + num) <= both * (den - num)
+
+
+def _widely_near(x: Column, y: Column, both: Column, num: int, den: int) -> Column:
+    """``_near`` by the wide parities, the longer ones folded to half their bits; true where a set has none."""
+    least = F.least(F.size(x), F.size(y))
+
+    def folded(v: Column) -> Column:
+        return F.when(F.size(v) > least, F.zip_with(F.slice(v, 1, least), F.slice(v, least + 1, least), lambda p, q: p.bitwiseXOR(q))).otherwise(v)
+
+    differ = F.zip_with(folded(x), folded(y), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(differ, F.lit(0), lambda total, one: total + one)
+    return F.when(x.isNotNull() & y.isNotNull() & (F.greatest(F.size(x), F.size(y)) <= 2 * least), apart * (den + num) <= both * (den - num)).otherwise(True)
+
+
 def _least(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
@@ -98,9 +153,9 @@ def _survey(docs: DataFrame, width: int, heavy_share: float) -> tuple[dict[int,
 
 
 def _prefixes(docs: DataFrame, width: int, num: int, den: int, small: int, heavy: np.ndarray) -> DataFrame:
-    """Key, set size, digest of the set, the shingles that a partner shares one of, and the whole set if small."""
+    """Key, set size, digest and parities of the set, the shingles that a partner shares one of, and the whole set if small."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
-    schema = T.StructType([docs.schema["key"], T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("whole", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema["key"], T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("whole", T.ArrayType(T.LongType())), *(T.StructField(s, T.LongType()) for s in SKETCH), T.StructField("wide", T.ArrayType(T.LongType()))])
 
     def cut(batches):
         for batch in batches:
@@ -121,7 +176,7 @@ def _prefixes(docs: DataFrame, width: int, num: int, den: int, small: int, heavy
                 few = np.repeat(n <= small, n)
                 held = np.where(n <= small, n, 0)
                 whole = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32()), pa.array(numbers[few].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), prefix, whole], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), prefix, whole, *map(pa.array, _parities(numbers, n)), _wide_parities(numbers, n)], names=schema.names)
 
     return docs.select("key", "text").mapInArrow(cut, schema)
 
@@ -196,7 +251,7 @@ def _compare(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int)
     return dealt.mapInArrow(similar, schema)
 
 
-def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, doc: str = "doc_id", text: str = "text", heavy_share: float = 1 / 2000, star_rounds: int = 3) -> DataFrame:
+def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, doc: str = "doc_id", text: str = "text", heavy_share: float = 1 / 2000, star_rounds: int = 5) -> DataFrame:
     """One row per row of ``docs``: the document, ``n_shingles`` and ``component_id``.
 
     Two documents link when ``den * shared >= num * union`` of their sets of ``width``-word shingles
@@ -214,39 +269,49 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int
     reps = known.groupBy("d1", "d2", "n").agg(F.min("key").alias("rep"))
     chosen = known.groupBy("d1", "d2", "n").agg(F.min("key").alias("rep"), F.first("prefix").alias("prefix"), F.first("whole").alias("whole"))
     least_listed = _least(small + 1, num, den)
+    inside = Window.partitionBy("h")
     lists = (
         chosen.where(F.col("n") >= least_listed)
         .select(F.posexplode("prefix").alias("at", "h"), "rep", "n")
-        .withColumn("size", F.count("*").over(Window.partitionBy("h")))
+        .withColumns({"size": F.count("*").over(inside), "list": F.bit_xor(F.xxhash64("rep")).over(inside)})
         .where("size > 1")
-        .select("h", "rep", "n", "at")
+        .select("h", "list", "rep", "n", "at")
     )
     lists = materialize(lists, "lists")
     # a set's prefix shingles that any other set's prefix holds: no more than its prefix
     shared = materialize(lists.groupBy("rep", "n").agg(F.collect_list("h").alias("hs")), "shared")
+    # shingles of one passage list the same sets; each of these lists would give the same pairs, so one stands for all,
+    # from the first place of any of them (lists whose hashes agree by chance become one with the members of both)
+    parities = known.where(F.col("n") >= least_listed).groupBy("d1", "d2", "n").agg(F.min("key").alias("rep"), *[F.first(s).alias(s) for s in (*SKETCH, "wide")])
+    parities = materialize(parities.select("rep", *SKETCH, "wide"), "parities")
+    lists = materialize(lists.groupBy("list", "rep", "n").agg(F.min("at").alias("at")).join(parities.drop("wide"), "rep"), "lists")
     links = [materialize(_subsets(chosen.where(F.col("n") <= small).select("rep", "whole"), num, den), "links")] if small else []
     for turn in range(star_rounds):
         placed = _labelled(lists, links)
         # within one size class of a list, the leader has the smallest size that may still fit
         step = F.floor(F.ln(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))) if turn % 2 == 0 else F.round(F.ln(F.col("n").cast("double")) / F.lit(float(np.log(den / num))))
-        order = ["n", "rep"] if turn == 0 else [F.xxhash64("rep", F.lit(turn)), F.col("rep")]
-        led = placed.withColumn("first", F.first(F.struct("rep", "n", "component")).over(Window.partitionBy("h", step).orderBy(*order)))
-        pairs = led.where((F.col("component") != F.col("first.component")) & (F.least("n", "first.n") * den >= F.greatest("n", "first.n") * num)).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
+        order = ["n", "rep"] if turn == 0 else [F.xxhash64("rep", "list", F.lit(turn)), F.col("rep")]
+        led = placed.withColumn("first", F.first(F.struct("rep", "n", "component", *SKETCH)).over(Window.partitionBy("list", step).orderBy(*order)))
+        fits = (F.least("n", "first.n") * den >= F.greatest("n", "first.n") * num) & _near("first.", F.col("n") + F.col("first.n"), num, den)
+        pairs = led.where((F.col("component") != F.col("first.component")) & fits).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
         pairs = materialize(_possible(pairs, shared, num, den), "pairs")
-        if pairs.isEmpty():
+        compared = pairs.count()
+        if not compared:
             break
         new = materialize(_compare(plain, pairs, width, num, den), "links")
         links.append(new)
-        if new.isEmpty():
+        # another leader a list pays while it links a good part of those it meets; what is left then meets pair by pair
+        if new.count() * FEW_LINKS < compared:
             break
     placed = _labelled(lists, links)
-    mixed_lists = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    left = materialize(placed.join(mixed_lists, "h"), "unsettled")
-    one = left.select("h", F.col("rep").alias("a"), "n", F.col("component").alias("c"), "at")
-    two = left.select("h", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("e"), F.col("at").alias("to"))
+    mixed_lists = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list")
+    left = materialize(placed.join(mixed_lists, "list").join(parities.select("rep", "wide"), "rep"), "unsettled")
+    one = left.select("list", F.col("rep").alias("a"), "n", F.col("component").alias("c"), "at", *SKETCH, "wide")
+    two = left.select(F.col("list").alias("same"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("e"), F.col("at").alias("to"), *[F.col(s).alias(f"other_{s}") for s in SKETCH], F.col("wide").alias("other_wide"))
     # in the list of the first shingle that two sets share, what follows it must suffice
     enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) * (den + num) >= num * (F.col("n") + F.col("m"))
-    rest = one.join(two, "h").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("e")) & enough).select("a", "b").distinct()
+    near = _near("other_", F.col("n") + F.col("m"), num, den) & _widely_near(F.col("wide"), F.col("other_wide"), F.col("n") + F.col("m"), num, den)
+    rest = one.join(two, (F.col("list") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("e")) & enough & near).select("a", "b").distinct()
     rest = materialize(_possible(rest, shared, num, den), "pairs")
     if not rest.isEmpty():
         links.append(materialize(_compare(plain, rest, width, num, den), "links"))
@@ -287,7 +352,7 @@ def _labelled(lists: DataFrame, links: list[DataFrame]) -> DataFrame:
     if not links:
         return lists.withColumn("component", F.col("rep"))
     classes = components(_all(links))
-    return lists.join(classes, F.col("rep") == F.col("node"), "left").select("h", "rep", "n", "at", F.coalesce("component", "rep").alias("component"))
+    return lists.join(classes, F.col("rep") == F.col("node"), "left").select("list", "rep", "n", "at", *SKETCH, F.coalesce("component", "rep").alias("component"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from regionscore.llm import decontaminate, jaccard_join
@@ -76,6 +77,45 @@ def test_classes_are_those_of_all_pairs(spark, seed, width, num, den):
     assert all(r.n_shingles == len(shingle_set(texts[r.doc_id], width)) for r in rows)
 
 
+def test_parities_bound_the_difference_from_below():
+    """Of sets of any size, also where one has twice the parities of the other: no more than what one of them has alone."""
+    rng = np.random.default_rng(3)
+    for n, m, shared in [(5, 4, 4), (300, 280, 250), (500, 530, 480), (1000, 1040, 990), (2040, 2060, 0), (0, 600, 0)]:
+        pool = rng.integers(0, 2**63, n + m, dtype=np.uint64)
+        one, two = pool[:n], np.concatenate([pool[:shared], pool[n : n + m - shared]])
+        sizes = np.array([len(one), len(two)])
+        numbers = np.concatenate([one, two])
+        words = jaccard_join._parities(numbers, sizes)
+        differ = sum(int(w[0] ^ w[1]).bit_count() if w[0] ^ w[1] >= 0 else (int(w[0] ^ w[1]) + 2**64).bit_count() for w in words)
+        assert differ <= n + m - 2 * shared and (n + m - 2 * shared) % 2 == differ % 2
+        wide = jaccard_join._wide_parities(numbers, sizes).to_pylist()
+        assert [w is None for w in wide] == [k <= jaccard_join.SKETCH_BITS for k in sizes.tolist()]
+
+
+@pytest.mark.parametrize("length", [100, 1100])
+def test_texts_alike_but_not_enough_are_not_paired(spark, monkeypatch, length):
+    """Variants of one text that share most shingles meet in long lists; their pairs were compared one by one, by the square of the group."""
+    rng, base, texts = random.Random(7), worlds.words(5, length, 0), {}
+    for i in range(120):
+        one = list(base)
+        for at in rng.sample(range(length), length // 40):
+            one[at] = f"v{i}x{at}"
+        texts[i] = " ".join(one)
+    texts[500], texts[501] = texts[3], texts[4] + " more"
+    rows, real = [], jaccard_join.materialize
+
+    def counted(table, name):
+        out = real(table, name)
+        if name == "pairs":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    found = jaccard_join.similarity_classes(worlds.table(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute_classes(texts, 5, 80, 100)
+    assert sum(rows) <= 5 * len(texts)
+
+
 def test_classes_of_messy_and_empty_tables(spark):
     rows = jaccard_join.similarity_classes(worlds.messy(spark)).collect()
     found = {(r.doc_id, r.n_shingles > 0): r.component_id for r in rows}
