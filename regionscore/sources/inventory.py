@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,45 @@ def _aliased(key: Column, names: Mapping[str, str]) -> Column:
     return result
 
 
+def _streamed_sha256(spark: SparkSession, path: Column) -> Column:
+    """SHA-256 of the file at each path, in a task that reads it from its store a buffer at a time.
+
+    Spark's own readers hold a file's bytes as one value, several times over, and none above 2 GB. These are the calls
+    ``new DigestUtils("SHA-256").digestAsHex(path.getFileSystem(conf).open(path))`` of libraries that come with Spark; the
+    stream closes at its end.
+    """
+    jvm = spark.sparkContext._jvm
+    made, sql, utils = jvm.org.apache.spark.sql.catalyst.expressions, jvm.org.apache.spark.sql, jvm.org.apache.spark.util.Utils
+    seq, text = jvm.PythonUtils.toSeq, sql.types.DataTypes.StringType
+
+    def kind(name: str) -> JavaObject:
+        return sql.types.ObjectType(utils.classForName(name, True, False))
+
+    def new(name: str, *given: JavaObject) -> JavaObject:
+        return made.objects.NewInstance(kind(name).cls(), seq(list(given)), seq([]), False, kind(name), jvm.scala.Option.empty())
+
+    def call(on: JavaObject, method: str, result: JavaObject, *given: JavaObject) -> JavaObject:
+        return made.objects.Invoke(on, method, result, seq(list(given)), seq([]), True, True, True)
+
+    # the settings of this session go along with the tasks, as with a reader
+    settings = jvm.org.apache.spark.util.SerializableConfiguration(spark._jsparkSession.sessionState().newHadoopConf())
+    settings = made.Literal(settings, kind("org.apache.spark.util.SerializableConfiguration"))
+    settings = call(settings, "value", kind("org.apache.hadoop.conf.Configuration"))
+    name = call(sql.classic.ExpressionUtils.expression(path._jc), "toString", kind("java.lang.String"))
+    file = new("org.apache.hadoop.fs.Path", name)
+    store = call(file, "getFileSystem", kind("org.apache.hadoop.fs.FileSystem"), settings)
+    stream = new("org.apache.commons.io.input.AutoCloseInputStream", call(store, "open", kind("java.io.InputStream"), file))
+    digest = new("org.apache.commons.codec.digest.DigestUtils", made.Literal("SHA-256", kind("java.lang.String")))
+    digits = call(digest, "digestAsHex", kind("java.lang.String"), stream)
+    utf8 = utils.classForName("org.apache.spark.unsafe.types.UTF8String", True, False)
+    result = made.objects.StaticInvoke(utf8, text, "fromString", seq([digits]), seq([]), True, True, True, jvm.scala.Option.empty())
+    return Column(sql.classic.ExpressionUtils.column(result))
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, bytes, sha256)`` of every file below a path; each file is hashed by one task."""
+    """``(path, bytes, sha256)`` of every file below a path; each file is hashed by one task, which holds a buffer of it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.col("length").alias("bytes"), _streamed_sha256(spark, F.col("path")).alias("sha256"))
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:

@@ -120,6 +120,33 @@ def test_catalogs_and_format_report(spark, tmp_path):
     assert report["e.csv"] == "invalid CSV header or data row" and report["f.csv"] == "not readable CSV" and report["c.json"] == "not valid JSON"
 
 
+def test_digests_hold_no_file_as_a_value(spark, tmp_path):
+    bodies = {
+        "large.bin": bytes(range(256)) * 12_000 + b"end", "zeros.csv": bytes(200_000), "marked.csv": b"\xef\xbb\xbfa;b\r\n" * 300, "packed.gz": b"not packed\n" * 300,
+        "a b%20#\u00e4.json": b"{}", "below/large.bin": b"another of the same name" * 100,
+    }
+    (tmp_path / "below").mkdir()
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    expected = {name: (len(body), hashlib.sha256(body).hexdigest()) for name, body in bodies.items()}
+    store = {"fs.viewfs.mounttable.digests.link./in": f"file://{tmp_path}", "fs.viewfs.impl.disable.cache": "true"}
+    # readers refuse to hold more than this as one value; real files come above the 2 GB that one can have
+    settings = {**store, "spark.sql.sources.binaryFile.maxLength": "1000"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        for root in (str(tmp_path), "viewfs://digests/in"):
+            rows = IN.file_digests(spark, root).collect()
+            assert {r["path"].split(f"{root}/")[1]: (r["bytes"], r["sha256"]) for r in rows} == expected and len(rows) == len(expected)
+        lost = IN.file_digests(spark, str(tmp_path))
+        (tmp_path / "large.bin").unlink()
+        with pytest.raises(Exception, match="large.bin"):
+            lost.collect()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 def test_inventory_runs_and_lineage(spark, tmp_path):
     (tmp_path / "in").mkdir(), (tmp_path / "side").mkdir()
     body = b"payload"
